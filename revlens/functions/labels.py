@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +19,11 @@ def aspect_first_match(low_text: Column, rules: dict[str, list[str]] | None = No
     return chain.otherwise(lx.NOISE)
 
 
-def aspect_lexicon(clean_text: Column, word_runs: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
+def aspect_lexicon(clean_text: Column, padded: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """First aspect, in lexicon order, with a whole-word hit or a substring hit of a longer word."""
     chain = None
     for label, words in (lexicon or lx.ASPECT_LEXICON).items():
-        test = tx.hit_any(clean_text, word_runs, words)
+        test = tx.hit_any(clean_text, padded, words)
         chain = F.when(test, label) if chain is None else chain.when(test, label)
     return chain.otherwise(lx.NOISE)
 
@@ -30,17 +32,15 @@ def sign_of_difference(positive: Column, negative: Column) -> Column:
     return F.signum(positive - negative).cast("int")
 
 
-def whole_word_counts(word_runs: Column, positive: list[str], negative: list[str]) -> tuple[Column, Column]:
-    return (
-        F.size(F.array_intersect(word_runs, tx.string_array(positive))),
-        F.size(F.array_intersect(word_runs, tx.string_array(negative))),
-    )
+def whole_word_count(padded: Column, words: list[str]) -> Column:
+    """Number of distinct list words in the text as whole words."""
+    return reduce(lambda a, b: a + b, [tx.contains_word(padded, w).cast("int") for w in dict.fromkeys(words)])
 
 
-def polarity_with_score(clean_text: Column, word_runs: Column, score: Column, positive=None, negative=None) -> Column:
+def polarity_with_score(clean_text: Column, padded: Column, score: Column, positive=None, negative=None) -> Column:
     """Sign of hit counts; a tie is decided by the stars."""
-    pos = tx.hit_count(clean_text, word_runs, positive or lx.POSITIVE_WORDS_RICH)
-    neg = tx.hit_count(clean_text, word_runs, negative or lx.NEGATIVE_WORDS_RICH)
+    pos = tx.hit_count(clean_text, padded, positive or lx.POSITIVE_WORDS_RICH)
+    neg = tx.hit_count(clean_text, padded, negative or lx.NEGATIVE_WORDS_RICH)
     diff = pos - neg
     return F.when(diff > 0, 1).when(diff < 0, -1).when(number(score) >= 4, 1).otherwise(-1)
 

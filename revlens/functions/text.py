@@ -23,6 +23,7 @@ NON_WORD_RUN = rf"[^{WORD}{PERSIAN_RANGE}]+"
 NOT_TEXT_FA = rf"[^{WORD}{SPACE}.!?؟]"
 NOT_TEXT_EN = rf"[^{WORD}{SPACE}.!?]"
 PUNCTUATION_RUN = r"[.!?؟]+"
+PERSIAN_MARK = rf"[{PERSIAN_RANGE}&&[^{WORD}]]"
 PERSIAN_DIGITS, LATIN_DIGITS = "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 
 
@@ -53,10 +54,21 @@ def split_words(text: Column) -> Column:
 
 
 def split_word_runs(text: Column) -> Column:
-    """Runs of word characters: a word of these equals a whole-word hit in the text."""
+    """Runs of word characters."""
     return F.split(text, rf"[^{WORD}]+")
 
 
+def padded_words(text: Column) -> Column:
+    """Word runs between single spaces, with a space at both ends: ``' w '`` is in it for a whole-word hit of w."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, rf"[^{WORD}]+", " "), F.lit(" "))
+
+
+def padded_clean_words(clean_text: Column) -> Column:
+    """``padded_words`` of text that ``clean_symbols`` made: only kept Persian marks are left to part words."""
+    plain = F.when(F.rlike(clean_text, F.lit(PERSIAN_MARK)), F.regexp_replace(clean_text, PERSIAN_MARK, " "))
+    return F.concat(F.lit(" "), plain.otherwise(clean_text), F.lit(" "))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0)).cast("bigint")
 
@@ -117,33 +129,27 @@ def count_contained(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
-def hit_any(text: Column, word_runs: Column, words: list[str], longer_than: int = 3) -> Column:
-    """Whole-word hit, or substring hit for words longer than ``longer_than`` characters.
+def contains_word(padded: Column, word: str) -> Column:
+    return F.contains(padded, F.lit(f" {word} "))
+
 
-    A whole-word hit of a long word is a substring hit as well, so long words need only the substring test
-    and short words only the token test.
+def hit_tests(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> list[Column]:
+    """Per list word: whole-word hit, or substring hit for words longer than ``longer_than`` characters.
+
+    A whole-word hit is a substring hit as well, so long words need only the substring test. Plain substring
+    search is several times faster than a regex alternation of the same words.
     """
-    long = [w for w in words if len(w) > longer_than]
-    short = [w for w in words if len(w) <= longer_than]
-    tests = []
-    if short:
-        tests.append(F.arrays_overlap(word_runs, string_array(short)))
-    if long:
-        tests.append(contains_any(text, long))
-    return reduce(lambda a, b: a | b, tests)
-
-
-def hit_count(text: Column, word_runs: Column, words: list[str], longer_than: int = 3) -> Column:
-    """Number of distinct list words hit by the rule of ``hit_any``."""
-    words = list(dict.fromkeys(words))
-    long = [w for w in words if len(w) > longer_than]
-    short = [w for w in words if len(w) <= longer_than]
-    total = F.lit(0)
-    if short:
-        total = total + F.size(F.array_intersect(word_runs, string_array(short)))
-    if long:
-        total = total + count_contained(text, long)
-    return total
+    return [
+        F.contains(text, F.lit(w)) if len(w) > longer_than else contains_word(padded, w) for w in dict.fromkeys(words)
+    ]
+
+
+def hit_any(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> Column:
+    return reduce(lambda a, b: a | b, hit_tests(text, padded, words, longer_than))
+
+
+def hit_count(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> Column:
+    return reduce(lambda a, b: a + b, [t.cast("int") for t in hit_tests(text, padded, words, longer_than)])
 
 
 def flag_keywords(text: Column, lang: Column, keywords: dict[str, list[str]] | None = None) -> Column:

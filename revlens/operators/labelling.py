@@ -15,8 +15,17 @@ def with_final_clean(df: DataFrame, content: str = "content", out: str = "final_
     return evaluate_once(df, **{out: tx.clean_symbols_final(F.col(content))})
 
 
-def _with_runs(df: DataFrame, text: str) -> DataFrame:
-    return evaluate_once(df, _runs=tx.split_word_runs(F.lower(F.coalesce(F.col(text), F.lit("")))))
+def with_padded_words(df: DataFrame, text: str = "final_clean_content", out: str = "_words") -> DataFrame:
+    """The word column of a cleaned text, to be shared by the labelling steps that follow."""
+    return evaluate_once(df, **{out: tx.padded_clean_words(F.col(text))})
+
+
+def _with_words(df: DataFrame, text: str, words: str | None) -> tuple[DataFrame, str, str, list[str]]:
+    """Lower-case text and its padded words, computed here unless the caller has them already."""
+    if words:
+        return df, text, words, []
+    low = evaluate_once(df, _low=F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return evaluate_once(low, _padded=tx.padded_words(F.col("_low"))), "_low", "_padded", ["_low", "_padded"]
 
 
 def aspect_first_match(df: DataFrame, text: str = "cleaned_content", rules=None, out: str = "Final_Aspect") -> DataFrame:
@@ -24,9 +33,11 @@ def aspect_first_match(df: DataFrame, text: str = "cleaned_content", rules=None,
     return evaluate_once(low, **{out: lb.aspect_first_match(F.col("_low"), rules)}).drop("_low")
 
 
-def aspect_lexicon(df: DataFrame, text: str = "final_clean_content", lexicon=None, out: str = "Final_Aspect") -> DataFrame:
-    runs = _with_runs(df, text)
-    return evaluate_once(runs, **{out: lb.aspect_lexicon(F.col(text), F.col("_runs"), lexicon)}).drop("_runs")
+def aspect_lexicon(
+    df: DataFrame, text: str = "final_clean_content", lexicon=None, out: str = "Final_Aspect", words: str | None = None
+) -> DataFrame:
+    rows, low, padded, extra = _with_words(df, text, words)
+    return evaluate_once(rows, **{out: lb.aspect_lexicon(F.col(low), F.col(padded), lexicon)}).drop(*extra)
 
 
 def drop_noise(df: DataFrame, label: str = "Final_Aspect") -> DataFrame:
@@ -38,23 +49,23 @@ def sentiment_lexicon(
 ) -> DataFrame:
     """Sign of whole-word hit counts; only texts without any whole-word hit are tested by substring."""
     positive, negative = positive or lx.POSITIVE_WORDS, negative or lx.NEGATIVE_WORDS
-    low = evaluate_once(df, _low=F.lower(F.coalesce(F.col(text), F.lit(""))))
-    pos, neg = lb.whole_word_counts(tx.split_word_runs(F.col("_low")), positive, negative)
-    counted = evaluate_once(low, _pos=pos, _neg=neg)
-    sub = lb.sign_of_difference(tx.count_contained(F.col("_low"), positive), tx.count_contained(F.col("_low"), negative))
+    rows, low, padded, extra = _with_words(df, text, None)
+    counted = evaluate_once(
+        rows, _pos=lb.whole_word_count(F.col(padded), positive), _neg=lb.whole_word_count(F.col(padded), negative)
+    )
+    sub = lb.sign_of_difference(tx.count_contained(F.col(low), positive), tx.count_contained(F.col(low), negative))
     none = (F.col("_pos") == 0) & (F.col("_neg") == 0)
     polarity = F.when(none, sub).otherwise(lb.sign_of_difference(F.col("_pos"), F.col("_neg")))
-    return evaluate_once(counted, **{out: polarity}).drop("_low", "_pos", "_neg")
+    return evaluate_once(counted, **{out: polarity}).drop(*extra, "_pos", "_neg")
 
 
 def sentiment_with_score(
     df: DataFrame, text: str = "final_clean_content", score: str = "score", positive=None, negative=None,
-    out: str = "Sentiment_Polarity",
+    out: str = "Sentiment_Polarity", words: str | None = None,
 ) -> DataFrame:
-    low = evaluate_once(df, _low=F.lower(F.coalesce(F.col(text), F.lit(""))))
-    runs = evaluate_once(low, _runs=tx.split_word_runs(F.col("_low")))
-    value = lb.polarity_with_score(F.col("_low"), F.col("_runs"), F.col(score), positive, negative)
-    return evaluate_once(runs, **{out: value}).drop("_low", "_runs")
+    rows, low, padded, extra = _with_words(df, text, words)
+    value = lb.polarity_with_score(F.col(low), F.col(padded), F.col(score), positive, negative)
+    return evaluate_once(rows, **{out: value}).drop(*extra)
 
 
 def fill_sentiment(
@@ -63,11 +74,13 @@ def fill_sentiment(
 ) -> DataFrame:
     """Missing polarity counts as 0, and only rows at 0 get a new value."""
     current = F.coalesce(F.col(polarity).cast("int"), F.lit(0)) if polarity in df.columns else F.lit(0)
-    low = evaluate_once(df, _low=F.lower(F.coalesce(F.col(text), F.lit(""))), _now=current)
-    runs = evaluate_once(low, _runs=F.when(F.col("_now") == 0, tx.split_word_runs(F.col("_low"))))
-    value = lb.polarity_with_score(F.col("_low"), F.col("_runs"), F.col(score), positive, negative)
+    now = df.withColumn("_now", current)
+    # Rows that keep their value skip the text work.
+    needed = evaluate_once(now, _low=F.when(F.col("_now") == 0, F.lower(F.coalesce(F.col(text), F.lit("")))))
+    rows = evaluate_once(needed, _padded=tx.padded_words(F.col("_low")))
+    value = lb.polarity_with_score(F.col("_low"), F.col("_padded"), F.col(score), positive, negative)
     filled = F.when(F.col("_now") == 0, value).otherwise(F.col("_now"))
-    return evaluate_once(runs, **{polarity: filled}).drop("_low", "_runs", "_now")
+    return evaluate_once(rows, **{polarity: filled}).drop("_low", "_padded", "_now")
 
 
 def composite_trust(

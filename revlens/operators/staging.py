@@ -32,3 +32,12 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     """Join to a table that is normally tiny: broadcast after a size check, shuffle with AQE skew handling beyond it."""
     side, _ = small_side(small, max_rows)
     return df.join(side, on, how)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give costly per-row work all cores when a file scan has fewer partitions than the cluster has cores.
+
+    Larger inputs have more partitions than that and pass unchanged, without a shuffle. Only for plain scans.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -10,7 +10,7 @@ from revlens.operators import labelling as lab
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import reviews, table
+from revlens.plans.fixtures import documents, reviews, table
 from revlens.plans.trust import label_reviews, trusted_reviews
 
 LISTS = {"lexicon": demo.ASPECTS, "positive": demo.POSITIVE, "negative": demo.NEGATIVE}
@@ -48,7 +48,7 @@ _FIRST = sq.first_case(
 
 @query("aspect_first_match", f'SELECT doc_id, {_FIRST} AS "Final_Aspect" FROM documents')
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return lab.aspect_first_match(docs, "text", demo.FIRST_MATCH).select("doc_id", "Final_Aspect")
 
 
@@ -80,7 +80,7 @@ _SUB_NEG = sq.count_of(f"contains(t, {sq.quoted(w)})" for w in demo.NEGATIVE)
               FROM (SELECT doc_id, lower(text) AS t FROM documents))""",
 )
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     out = lab.sentiment_lexicon(docs, "text", demo.POSITIVE, demo.NEGATIVE)
     return out.select("doc_id", "Sentiment_Polarity")
 
@@ -168,7 +168,7 @@ _HITS = ", ".join(f"len(list_distinct(list_filter(w, lambda x: list_contains({sq
         FROM (SELECT doc_id, [{_HITS}] AS h FROM (SELECT doc_id, {sq.words('text')} AS w FROM documents))""",
 )
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return lab.seed_anchor(docs, demo.TOPICS, "text").select("doc_id", "anchor")
 
 

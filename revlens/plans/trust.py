@@ -13,10 +13,10 @@ from revlens.operators import trends as tr
 
 def label_reviews(df: DataFrame, lexicon=None, positive=None, negative=None) -> DataFrame:
     """Clean text, aspect, polarity and trust for every review; nothing is filtered yet."""
-    clean = lab.with_final_clean(df)
-    aspects = lab.aspect_lexicon(clean, lexicon=lexicon)
-    polarity = lab.sentiment_with_score(aspects, positive=positive, negative=negative)
-    return lab.composite_trust(polarity)
+    clean = lab.with_padded_words(lab.with_final_clean(df))
+    aspects = lab.aspect_lexicon(clean, lexicon=lexicon, words="_words")
+    polarity = lab.sentiment_with_score(aspects, positive=positive, negative=negative, words="_words")
+    return lab.composite_trust(polarity).drop("_words")
 
 
 def trusted_reviews(df: DataFrame, **lists) -> DataFrame:
