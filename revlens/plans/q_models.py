@@ -1 +1,319 @@
-"""Queries."""
+"""Queries: sampling, features, models, word vectors and topics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revlens.functions import text as tx
+from revlens.operators import features as ft
+from revlens.operators import labelling as lab
+from revlens.operators import models as md
+from revlens.operators import ranking as rk
+from revlens.operators import stats as st
+from revlens.plans import demo
+from revlens.plans import sqltext as sq
+from revlens.plans.catalog import query
+from revlens.plans.fixtures import documents, table
+from revlens.plans.q_labels import CHAIN, labelled, trusted
+from revlens.session import materialised, scratch_path
+from revlens.sources import sinks
+
+
+@query(
+    "stratified_split_70_15_15",
+    """SELECT o_orderkey, o_orderpriority, CASE WHEN r * 100 <= 70 * n THEN 'train' WHEN r * 100 <= 85 * n THEN 'val' ELSE 'test' END AS part
+       FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS r,
+             count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return rk.hash_split(rows, "o_orderkey", [("train", 70), ("val", 15), ("test", 15)], "o_orderpriority")
+
+
+@query(
+    "train_test_80_20",
+    """SELECT o_orderkey, o_orderstatus, CASE WHEN r * 100 <= 80 * n THEN 'train' ELSE 'test' END AS part
+       FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat(o_orderkey, ':42'))) AS r,
+             count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    return rk.hash_split(rows, "o_orderkey", [("train", 80), ("test", 20)], "o_orderstatus", 42)
+
+
+@query(
+    "train_test_plain",
+    """SELECT event_id, CASE WHEN r * 100 <= 80 * n THEN 'train' ELSE 'test' END AS part
+       FROM (SELECT event_id, row_number() OVER (ORDER BY md5(concat(event_id, ':42'))) AS r, count(*) OVER () AS n FROM events)""",
+)
+def _(spark, folder):
+    return rk.hash_split(table(spark, folder, "events").select("event_id"), "event_id", [("train", 80), ("test", 20)], None, 42)
+
+
+@query(
+    "merge_rare_classes",
+    """WITH c AS (SELECT source, n_words AS score, count(*) AS k FROM d GROUP BY ALL),
+         m AS (SELECT source, sum(k) AS total, arg_max(score, (k, -score)) AS common FROM c GROUP BY source)
+       SELECT doc_id, d.source, CASE WHEN c.k < 10 THEN m.common ELSE d.n_words END AS score
+       FROM d JOIN c ON d.source = c.source AND d.n_words = c.score JOIN m ON d.source = m.source WHERE m.total >= 10""".replace(
+        "WITH c", "WITH d AS (SELECT doc_id, source, CAST(1 + doc_id * doc_id % 7 AS INT) AS n_words FROM documents), c"
+    ),
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").select(
+        "doc_id", "source", (1 + F.col("doc_id") * F.col("doc_id") % 7).cast("int").alias("score")
+    )
+    return ft.merge_rare_classes(rows, ["source"]).select("doc_id", "source", "score")
+
+
+@query("sample_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat(o_orderkey, ':42')), o_orderkey LIMIT 500")
+def _(spark, folder):
+    return rk.sample_n(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 42)
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(
+    "one_hot",
+    "SELECT o_orderkey, "
+    + ", ".join(f"CAST(o_orderpriority = '{p}' AS INT)::DOUBLE AS \"is_{p}\"" for p in _PRIORITIES) + " FROM orders",
+)
+def _(spark, folder):
+    return ft.one_hot(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").drop("o_orderpriority")
+
+
+_ASPECT_NAMES = sorted([*demo.ASPECTS, "Noise"])
+
+
+@query(
+    "polarity_interaction",
+    sq.reviews(
+        "SELECT review_id, "
+        + ", ".join(
+            f"CASE WHEN \"Final_Aspect\" = '{a}' THEN \"Sentiment_Polarity\" ELSE 0 END::DOUBLE AS \"pol_{a}\"" for a in _ASPECT_NAMES
+        )
+        + " FROM labelled",
+        *CHAIN,
+    ),
+)
+def _(spark, folder):
+    rows = labelled(spark, folder).select("review_id", "Final_Aspect", "Sentiment_Polarity")
+    return ft.polarity_interaction(rows, "Final_Aspect", labels=_ASPECT_NAMES).drop("Final_Aspect", "Sentiment_Polarity")
+
+
+@query(
+    "balanced_weights",
+    """SELECT doc_id, quality, (SELECT count(*) FROM labels)::DOUBLE / ((SELECT count(DISTINCT quality) FROM labels) * n) AS weight
+       FROM labels JOIN (SELECT quality, count(*) AS n FROM labels GROUP BY 1) USING (quality)""",
+)
+def _(spark, folder):
+    return ft.balanced_weights(table(spark, folder, "labels").select("doc_id", "quality"), "quality")
+
+
+# Terms of a text in SQL: tokens of two or more word characters, and pairs of neighbours.
+_TERMS = rf"""tok AS (SELECT conv_id * 100 + turn AS doc, list_filter(regexp_split_to_array(lower(text), '[^{sq.W}]+'), lambda t: length(t) >= 2) AS w
+  FROM conversations),
+terms AS (SELECT doc, unnest(w) AS term FROM tok UNION ALL
+  SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS term FROM tok),
+vocab AS (SELECT term, count(*) AS total, count(DISTINCT doc) AS df FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500),
+weights AS (SELECT doc, term, count(*) AS tf, count(*) * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS raw
+  FROM terms JOIN vocab USING (term) GROUP BY doc, term, df)"""
+
+
+def _turns(spark, folder):
+    return table(spark, folder, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), "text")
+
+
+@query(
+    "tfidf",
+    f"WITH {_TERMS} SELECT doc, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)), 9) AS weight FROM weights",
+)
+def _(spark, folder):
+    rows = ft.tfidf(_turns(spark, folder), "doc", "text", 500)
+    return rows.withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    "tfidf_vectors",
+    f"""WITH {_TERMS} SELECT doc, count(*) AS terms, round(max(w), 6) AS top_weight, round(sum(w), 6) AS weight_sum
+        FROM (SELECT doc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM weights) GROUP BY doc""",
+)
+def _(spark, folder):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _turns(spark, folder)
+    vectors = ft.fit_tfidf(rows, "text", 500).transform(rows)
+    values = F.filter(vector_to_array("text_features"), lambda x: x > 0)
+    out = vectors.select("doc", values.alias("v")).filter(F.size("v") > 0)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return out.select(
+        "doc", F.size("v").cast("bigint").alias("terms"), F.round(F.array_max("v"), 6).alias("top_weight"),
+        F.round(total, 6).alias("weight_sum"),
+    )
+
+
+def trusted_stage(spark, folder):
+    """The labelled stage, written once: several jobs of a model read it."""
+    return materialised(trusted(spark, folder).select(
+        "review_id", "score", "final_clean_content", "Final_Aspect", "Sentiment_Polarity", "Composite_Trust"
+    ), "trusted")
+
+
+@query("hybrid_features")
+def _(spark, folder):
+    rows = trusted_stage(spark, folder)
+    names = ft.labels_of(rows, "Final_Aspect")
+    hot = ft.one_hot(rows, "Final_Aspect", names)
+    vectors = ft.fit_tfidf(hot, "final_clean_content", 500).transform(hot)
+    out = ft.hybrid_features(["is_" + n for n in names], "text_features").transform(vectors)
+    from pyspark.ml.functions import vector_to_array
+
+    v = vector_to_array("features")
+    return out.select("review_id", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
+
+
+def _ranked(fitted):
+    return md.importance_ranking(fitted)
+
+
+@query("rf_score")
+def _(spark, folder):
+    rows = materialised(labelled(spark, folder).select("review_id", "score", "Final_Aspect", "Sentiment_Polarity"), "labelled")
+    return _ranked(md.rf_score(rows))
+
+
+@query("rf_trust")
+def _(spark, folder):
+    return _ranked(md.rf_trust(trusted_stage(spark, folder)))
+
+
+@query("rf_hybrid")
+def _(spark, folder):
+    return md.model_accuracy(md.rf_hybrid(trusted_stage(spark, folder)))
+
+
+@query("rf_text")
+def _(spark, folder):
+    return md.model_confusion(md.rf_text(trusted_stage(spark, folder)))
+
+
+@query("importance_ranking")
+def _(spark, folder):
+    return _ranked(md.rf_trust(trusted_stage(spark, folder), trees=100))
+
+
+@query("save_model")
+def _(spark, folder):
+    rows = trusted_stage(spark, folder)
+    fitted = md.rf_trust(rows, trees=50)
+    path = scratch_path(spark, "model")
+    sinks.save_model(fitted.model, path)
+    loaded = sinks.load_model(path)
+    kept = [c for c in fitted.predictions.columns if c.startswith("is_")]
+    again = loaded.transform(fitted.predictions.select("review_id", "label_text", *[F.col(f"`{c}`") for c in kept]))
+    both = again.select("review_id", F.col("predicted").alias("reloaded")).join(
+        fitted.predictions.select("review_id", "predicted"), "review_id"
+    )
+    return st.accuracy(both, "predicted", "reloaded").withColumnRenamed("accuracy", "same_share")
+
+
+@query("shapley_ranking")
+def _(spark, folder):
+    rows = trusted_stage(spark, folder)
+    return md.shapley_ranking(md.rf_hybrid(rows, trees=60), rows)
+
+
+def _tokens(spark, folder):
+    rows = documents(spark, folder, "doc_id", "text")
+    clean = rows.select("doc_id", tx.clean_symbols_letters(F.col("text")).alias("clean"))
+    from revlens.operators.filters import sentences
+
+    return sentences(clean, "clean", 3).select("doc_id", "tokens")
+
+
+@query("word_vectors")
+def _(spark, folder):
+    model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
+    return model.getVectors().select("word", F.size(_as_array("vector")).alias("dims"))
+
+
+def _as_array(column):
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(column)
+
+
+@query("expand_lexicon_trained")
+def _(spark, folder):
+    model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
+    vectors = model.getVectors().select("word", _as_array("vector").alias("vector"))
+    seeds = {"first": demo.POSITIVE, "second": demo.NEGATIVE}
+    return md.lexicon_sets(md.expand_lexicon(vectors, seeds, 8, 0.45)).select("label", F.size("words").alias("n"), "words")
+
+
+_SEEDS = {f"label{i}": [f"v{i}", f"v{i + 10}", f"v{i + 20}", "v999999"] for i in range(10)}
+_SEED_VALUES = ", ".join(f"('{k}', '{w}')" for k, ws in _SEEDS.items() for w in ws)
+
+
+@query(
+    "expand_lexicon",
+    f"""WITH seeds AS (SELECT * FROM (VALUES {_SEED_VALUES}) s(label, seed)),
+        vecs AS (SELECT concat('v', vec_id) AS word, embedding::DOUBLE[] AS v FROM embeddings),
+        sims AS (SELECT a.word AS seed, b.word, list_cosine_similarity(a.v, b.v) AS s FROM vecs a JOIN vecs b ON a.word <> b.word
+                 WHERE a.word IN (SELECT seed FROM seeds)),
+        best AS (SELECT * FROM sims WHERE s > 0.2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY s DESC, word) <= 10),
+        grown AS (SELECT label, word, max(s) AS s FROM best JOIN seeds USING (seed) GROUP BY ALL)
+        SELECT label, seed AS word, NULL::DOUBLE AS similarity FROM seeds
+        UNION ALL SELECT label, word, round(s, 6) FROM grown WHERE (label, word) NOT IN (SELECT (label, seed) FROM seeds)""",
+)
+def _(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector")
+    )
+    return md.expand_lexicon(vectors, _SEEDS, 10, 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+def _clustered(spark, folder, min_size):
+    vectors = table(spark, folder, "embeddings")
+    words = lab.seed_anchor(documents(spark, folder, "doc_id", "text"), demo.TOPICS, "text")
+    rows = vectors.join(words.withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    return md.topic_clusters(materialised(rows, "vectors"), anchor="anchor", k=10, min_size=min_size)
+
+
+@query("topic_clusters")
+def _(spark, folder):
+    return _clustered(spark, folder, 40).groupBy("topic").agg(F.count("*").alias("docs"))
+
+
+@query("topic_info")
+def _(spark, folder):
+    return md.topic_info(_clustered(spark, folder, 40), "topic", "text")
+
+
+@query(
+    "topic_words",
+    f"""WITH tok AS (SELECT lang AS topic, unnest({sq.words('text')}) AS word FROM documents),
+        tf AS (SELECT topic, word, count(*) AS tf FROM tok GROUP BY ALL),
+        f AS (SELECT word, sum(tf) AS f FROM tf GROUP BY 1),
+        a AS (SELECT avg(n) AS mean FROM (SELECT topic, sum(tf) AS n FROM tf GROUP BY 1))
+        SELECT topic, word, tf, round(tf * ln(1 + mean / f), 6) AS weight FROM tf JOIN f USING (word), a
+        QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(tf * ln(1 + mean / f), 9) DESC, word) <= 10""",
+)
+def _(spark, folder):
+    words = md.topic_words(documents(spark, folder, "doc_id", "lang", "text"), "lang", "text", 10)
+    return words.select("topic", "word", "tf", F.round("weight", 6).alias("weight"))
+
+
+@query("balance_classes")
+def _(spark, folder):
+    rows = labelled(spark, folder).select("review_id", "Composite_Trust")
+    return sinks.balance_classes(rows, "Composite_Trust", "review_id").groupBy("Composite_Trust").agg(F.count("*").alias("n"))
+
+
+@query("model_confusion_trust")
+def _(spark, folder):
+    fitted = md.rf_trust(trusted_stage(spark, folder), trees=100)
+    return st.confusion_matrix(fitted.predictions, "label_text", "predicted", ["0", "1"])
+
+

@@ -44,7 +44,7 @@ def rows_of(columns, rows):
 
 KINDS = {
     "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "DATE": "date",
-    "TIMESTAMP": "timestamp", "FLOAT": "float",
+    "TIMESTAMP": "timestamp_ntz", "FLOAT": "float",
 }
 
 
