@@ -8,62 +8,71 @@ from pyspark.sql import functions as F
 from revlens.functions.text import SPACE, fa_digits_to_latin
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("bigint")
-
+def jalali_to_gregorian(y: Column, m: Column, d: Column) -> Column:
+    """Date of a Solar Hijri year, month and day; null when there is no such day.
 
-def _day_number(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a Solar Hijri date, by the 33-year leap cycle."""
+    Leap years follow the 33-year cycle. The day number counts the days of whole cycles and years, then of the
+    months: six of 31 days, then of 30.
+    """
+    y, m, d = (c.cast("int") for c in (y, m, d))
     a = y + F.lit(1595)
+    cycle_year = F.pmod(a, F.lit(33))
+    cycles = F.floor(a / F.lit(33)).cast("int")
+    leap = (F.pmod(cycle_year, F.lit(4)) == 0) & (cycle_year != 32)
+    last = F.when(m < 7, 31).when(m < 12, 30).when(leap, 30).otherwise(29)
+    valid = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
     before_month = F.when(m < 7, (m - 1) * 31).otherwise((m - 7) * 30 + 186)
-    return F.lit(-355668 - 719528) + a * 365 + _div(a, 33) * 8 + _div(F.pmod(a, F.lit(33)) + 3, 4) + d + before_month
+    leap_days = cycles * 8 + F.floor((cycle_year + 3) / F.lit(4)).cast("int")
+    days = F.lit(-355668 - 719528) + a * 365 + leap_days + d + before_month
+    return F.when(valid, F.date_from_unix_date(days))
 
 
-def jalali_to_gregorian(y: Column, m: Column, d: Column) -> Column:
-    """Date of a Solar Hijri year, month and day; null when there is no such day."""
-    y, m, d = (c.cast("bigint") for c in (y, m, d))
-    one = F.lit(1).cast("bigint")
-    leap = _day_number(y + 1, one, one) - _day_number(y, one, one) == 366
-    last = F.when(m < 7, 31).when(m < 12, 30).when(leap, 30).otherwise(29)
-    valid = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last)
-    return F.when(valid, F.date_from_unix_date(_day_number(y, m, d).cast("int")))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also where it is used in several CASE branches."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _numbers(parts: Column, y: Column, m: Column, d: Column) -> Column:
+    pick = [F.get(parts, i).try_cast("int").alias(n) for n, i in (("y", y), ("m", m), ("d", d))]
+    return _let(F.struct(*pick), lambda t: jalali_to_gregorian(t["y"], t["m"], t["d"]))
 
-def _four_digit_jalali_year(part: Column) -> Column:
-    return (F.length(part) == 4) & part.try_cast("int").between(1300, 1500)
+
+def _is_jalali_year(part: Column) -> Column:
+    return F.rlike(part, F.lit("^(1[34][0-9]{2}|1500)$"))
 
 
 def parse_general(text: Column) -> Column:
-    """ISO dates and timestamps, and the slash forms year first or month first; null when unreadable."""
-    return F.coalesce(
-        text.try_cast("date"),
-        F.try_to_timestamp(text, F.lit("yyyy/M/d")).cast("date"),
-        F.try_to_timestamp(text, F.lit("M/d/yyyy")).cast("date"),
-    )
+    """ISO dates and timestamps, and the slash forms year first or month first; null when unreadable.
+
+    Slash forms are rewritten to the ISO form: a cast that fails gives null without the cost of a parser error.
+    """
+    iso = F.when(F.contains(text, F.lit("/")), F.translate(text, "/", "-")).otherwise(text)
+    month_first = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})\b.*$", "$3-$1-$2")
+    return F.when(F.rlike(text, F.lit(r"^\d{1,2}/")), month_first.try_cast("date")).otherwise(iso.try_cast("date"))
 
 
 def unify_date(text: Column) -> Column:
     """One date column from mixed calendars: a year 1300..1500, first or last, marks Solar Hijri."""
-    plain = fa_digits_to_latin(text.cast("string"))
+    return _let(fa_digits_to_latin(text.cast("string")), _unify_plain)
+
+
+def _unify_plain(plain: Column) -> Column:
     token = F.translate(F.substring_index(plain, " ", 1), "/", "-")
-    parts = F.split(token, "-")
-    first, middle, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.size(parts) - 1)
-    year_first = jalali_to_gregorian(first.try_cast("int"), middle.try_cast("int"), F.get(parts, F.lit(2)).try_cast("int"))
-    year_last = jalali_to_gregorian(last.try_cast("int"), middle.try_cast("int"), first.try_cast("int"))
-    return (
-        F.when(_four_digit_jalali_year(first), year_first)
-        .when(_four_digit_jalali_year(last), year_last)
-        .otherwise(parse_general(plain))
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    return _let(
+        F.split(token, "-"),
+        lambda parts: F.when(_is_jalali_year(F.get(parts, zero)), _numbers(parts, zero, one, two))
+        .when(_is_jalali_year(F.get(parts, F.size(parts) - 1)), _numbers(parts, F.size(parts) - 1, one, zero))
+        .otherwise(parse_general(plain)),
     )
 
 
 def parse_native_date(text: Column) -> Column:
     """Strict ``year/month/day`` Solar Hijri with Persian or Latin digits, first token only."""
-    token = F.regexp_substr(fa_digits_to_latin(text), F.lit(rf"[^{SPACE}]+"))
-    strict = F.rlike(token, F.lit(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"))
-    parts = F.split(token, "/")
-    y, m, d = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
-    return F.when(strict, jalali_to_gregorian(y, m, d))
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    token = F.regexp_extract(fa_digits_to_latin(text), rf"^[{SPACE}]*([0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}})(?:[{SPACE}]|$)", 1)
+    # A text of another form gives the token '', whose parts are no numbers.
+    return _let(F.split(token, "/"), lambda parts: _numbers(parts, zero, one, two))
 
 
 def parse_date(text: Column, native: Column) -> Column:

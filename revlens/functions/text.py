@@ -115,10 +115,15 @@ def is_blank(text: Column) -> Column:
 
 
 def is_generic_or_short(text: Column, filler: list[str] | None = None) -> Column:
-    """Null, at most two words, or nothing but filler words."""
-    words = split_words(F.lower(text))
-    only_filler = F.size(F.array_except(words, string_array(filler or lx.GENERIC_WORDS))) == 0
-    return text.isNull() | (F.size(words) <= 2) | only_filler
+    """Null, at most two words, or nothing but filler words.
+
+    One anchored pattern: on a longer text it fails at the first word that is no filler, after a few characters.
+    """
+    words = "|".join(filler or lx.GENERIC_WORDS)
+    gap, word = rf"[{SPACE}]", rf"[^{SPACE}]+"
+    short = rf"(?:{word}(?:{gap}+{word})?)?"
+    only_filler = rf"(?:{words})(?:{gap}+(?:{words}))*"
+    return F.coalesce(F.rlike(text, F.lit(rf"(?iu)^{gap}*(?:{short}|{only_filler}){gap}*\z")), F.lit(True))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

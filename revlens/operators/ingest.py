@@ -74,14 +74,10 @@ def quota_full(
 ) -> DataFrame:
     """Per group, whether every month of the spine has reached the target."""
     group = group or GROUP
-    full = F.count_if(F.col("stored") >= target) == len(spine)
-    counts = month_counts(df, spine, group, date)
-    months = df.select(*group).distinct().join(
-        counts.groupBy(*group).agg(full.alias("is_full"), F.count("*").alias("months_seen")), group, "left"
-    )
-    return months.select(
-        *group, F.coalesce("is_full", F.lit(False)).alias("is_full"), F.coalesce("months_seen", F.lit(0)).alias("months_seen")
-    )
+    counts = df.groupBy(*group, month_key(F.col(date)).alias("month")).agg(F.count("*").alias("stored"))
+    listed = F.col("month").isin(spine)
+    full = F.count_if(listed & (F.col("stored") >= target)) == len(spine)
+    return counts.groupBy(*group).agg(full.alias("is_full"), F.count_if(listed).alias("months_seen"))
 
 
 def quota_overflow(

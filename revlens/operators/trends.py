@@ -9,6 +9,7 @@ from revlens import lexicons as lx
 from revlens.functions import dates as dt
 from revlens.operators.ranking import top_n_per_key
 from revlens.operators.staging import join_small
+from revlens.session import materialised
 
 
 def monthly_trust(df: DataFrame, date: str = "Unified_Date", trust: str = "Composite_Trust") -> DataFrame:
@@ -45,15 +46,16 @@ def rolling_mean_2(df: DataFrame, keys: list[str], month: str = "Month", value:
     return df.withColumn("Smoothed", F.avg(value).over(window))
 
 
+def _version_stats(df: DataFrame, version: str, keys: list[str], trust: str) -> DataFrame:
+    return df.dropna(subset=[version, trust, *keys]).groupBy(*keys, version).agg(
+        (F.avg(trust) * 100).alias("Trust_Level_Pct"), F.count("*").alias("reviews")
+    )
+
+
 def trust_by_version(
     df: DataFrame, version: str = "Major_Minor_Version", keys: list[str] | None = None, trust: str = "Composite_Trust"
 ) -> DataFrame:
-    keys = keys or []
-    rows = df.dropna(subset=[version, trust, *keys])
-    stats = rows.groupBy(*keys, version).agg(
-        (F.avg(trust) * 100).alias("Trust_Level_Pct"), F.count("*").alias("reviews")
-    )
-    return stats.orderBy(*keys, version)
+    return _version_stats(df, version, keys or [], trust).orderBy(*(keys or []), version)
 
 
 def top_versions(by_version: DataFrame, n: int = lx.TOP_VERSIONS, version: str = "Major_Minor_Version") -> DataFrame:
@@ -95,10 +97,11 @@ def release_stages(
 ) -> DataFrame:
     """Trust per app and release stage.
 
-    Support, app choice and version choice all need group sizes only, so the reviews are read and shuffled once
-    and the rest works on one row per app and version.
+    Support, app choice and version choice all need group sizes only, so the reviews are read and shuffled once;
+    the rest works on the stored table of one row per app and version.
     """
-    by_version = trust_by_version(df, version, [app]).filter(F.col("reviews") >= support)
+    by_version = _version_stats(df, version, [app], "Composite_Trust").filter(F.col("reviews") >= support)
+    by_version = materialised(by_version, "release-stages")
     best = by_version.groupBy(app).agg(F.sum("reviews").alias("_n")).orderBy(F.col("_n").desc(), F.col(app)).limit(apps)
     chosen = by_version.join(F.broadcast(best.select(app)), app, "left_semi")
     return stage_dense_rank(last_n_per_group(chosen, app, version, last), app, version)

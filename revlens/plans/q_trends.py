@@ -28,7 +28,7 @@ _YMD = "1300 + o_custkey % 200 AS y, 1 + o_orderkey % 13 AS m, 1 + (o_orderkey /
 
 def _parts(spark, folder):
     return table(spark, folder, "orders").select(
-        "o_orderkey", (1300 + F.col("o_custkey") % 200).alias("y"), (1 + F.col("o_orderkey") % 13).alias("m"),
+        "o_orderkey", "o_orderdate", (1300 + F.col("o_custkey") % 200).alias("y"), (1 + F.col("o_orderkey") % 13).alias("m"),
         (1 + F.floor(F.col("o_orderkey") / 13) % 31).alias("d"),
     )
 
@@ -57,7 +57,7 @@ def _pad(c, n):
         FROM p LEFT JOIN months USING (y, m)""",
 )
 def _(spark, folder):
-    rows = _parts(spark, folder).join(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    rows = _parts(spark, folder)
     y, m, d = _pad(F.col("y"), 4), _pad(F.col("m"), 2), _pad(F.col("d"), 2)
     kind = F.col("o_orderkey") % 5
     text = (

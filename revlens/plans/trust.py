@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.functions import dates as dt
 from revlens.functions import text as tx
@@ -26,6 +27,8 @@ def trusted_reviews(df: DataFrame, **lists) -> DataFrame:
 
 def aspect_trend(df: DataFrame, date: str = "date", **lists) -> DataFrame:
     """How trust per aspect moves by month, smoothed over two observed months."""
-    rows = trusted_reviews(df, **lists).withColumn("Unified_Date", dt.unify_date(F.col(date)))
+    parsed = isinstance(df.schema[date].dataType, T.DateType)
+    unified = F.col(date) if parsed else dt.unify_date(F.col(date))
+    rows = trusted_reviews(df, **lists).withColumn("Unified_Date", unified)
     rows = rows.withColumn("Aspect_EN", tx.recode_label(F.col("Final_Aspect")))
     return tr.rolling_mean_2(tr.monthly_trust_by(rows, ["Aspect_EN"]), ["Aspect_EN"])
