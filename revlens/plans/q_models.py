@@ -15,7 +15,7 @@ from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
 from revlens.plans.fixtures import documents, table
-from revlens.plans.q_labels import CHAIN, labelled, trusted
+from revlens.plans.q_labels import CHAIN, TRUSTED, labelled, trusted
 from revlens.session import materialised, scratch_path
 from revlens.sources import sinks
 
@@ -162,7 +162,21 @@ def trusted_stage(spark, folder):
     ), "trusted")
 
 
-@query("hybrid_features")
+@query(
+    "hybrid_features",
+    sq.reviews(
+        rf"""SELECT review_id, CAST((SELECT count(DISTINCT "Final_Aspect") FROM trusted) + 500 AS INT) AS width,
+             CAST(1 + count(term) AS INT) AS filled
+             FROM trusted LEFT JOIN (SELECT DISTINCT doc, term FROM terms WHERE term IN (SELECT term FROM vocab)) ON doc = review_id
+             GROUP BY review_id""",
+        *TRUSTED,
+        rf"""tok AS (SELECT review_id AS doc, list_filter(regexp_split_to_array(lower(t), '[^{sq.W}]+'), lambda x: length(x) >= 2) AS w
+             FROM trusted)""",
+        """terms AS (SELECT doc, unnest(w) AS term FROM tok UNION ALL
+             SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS term FROM tok)""",
+        "vocab AS (SELECT term, count(*) AS total FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)",
+    ),
+)
 def _(spark, folder):
     rows = trusted_stage(spark, folder)
     names = ft.labels_of(rows, "Final_Aspect")
@@ -307,7 +321,15 @@ def _(spark, folder):
     return words.select("topic", "word", "tf", F.round("weight", 6).alias("weight"))
 
 
-@query("balance_classes")
+@query(
+    "balance_classes",
+    sq.reviews(
+        """SELECT "Composite_Trust", count(*) AS n FROM labelled
+           JOIN (SELECT "Composite_Trust", min(count(*)) OVER () / count(*) AS share FROM labelled GROUP BY 1) USING ("Composite_Trust")
+           WHERE CAST(concat('0x', substr(md5(concat(review_id, ':42')), 1, 8)) AS BIGINT) / 4294967296.0 < share GROUP BY 1""",
+        *CHAIN,
+    ),
+)
 def _(spark, folder):
     rows = labelled(spark, folder).select("review_id", "Composite_Trust")
     return sinks.balance_classes(rows, "Composite_Trust", "review_id").groupBy("Composite_Trust").agg(F.count("*").alias("n"))

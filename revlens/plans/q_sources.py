@@ -107,8 +107,8 @@ def _(spark, folder):
         F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 5).alias("rate"),
         F.date_format("ts", "yyyy/MM/dd").alias("date"),
     )
-    # One reply per app and hour, as a store would page them.
-    replies = table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(
+    # Replies page by page, as a store sends them: ids are unique, so a page holds at most 20 reviews.
+    replies = table(spark, folder, "events").groupBy("event_type", F.floor(F.col("event_id") / 20).alias("page")).agg(
         F.to_json(
             F.struct(F.struct(F.struct(F.collect_list(review).alias("reviews")).alias("reviewReply")).alias("singleReply"))
         ).alias("payload")

@@ -16,6 +16,9 @@ CLUSTER_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keeps the seen keys of a long feed on disk instead of in the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Lets the group limit run before the shuffle for quotas above the default of 1000.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }

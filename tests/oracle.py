@@ -25,11 +25,16 @@ def connect(folder: str):
     return con
 
 
+EXACT = False  # compare doubles bit by bit
+
+
 def _cell(value):
     if value is None:
         return "~"
     if isinstance(value, bool):
         return str(value)
+    if isinstance(value, float) and EXACT:
+        return repr(value)
     if isinstance(value, float):
         return "nan" if math.isnan(value) else f"{value:.6f}" if abs(value) < 1e6 else f"{value:.3f}"
     if isinstance(value, (list, tuple)):
@@ -77,8 +82,11 @@ def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("-d", default="/root/testdata/sf0.01")
     parser.add_argument("--plain", action="store_true", help="a session without the package's settings")
+    parser.add_argument("--exact", action="store_true", help="compare doubles bit by bit")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
+    global EXACT
+    EXACT = args.exact
     if args.plain:
         from pyspark.sql import SparkSession
 
