@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlens.functions.text import SPACE, fa_digits_to_latin
+from revlens.functions.text import SPACE, fa_digits_to_latin, let
 
 
 def jalali_to_gregorian(y: Column, m: Column, d: Column) -> Column:
@@ -27,14 +27,9 @@ def jalali_to_gregorian(y: Column, m: Column, d: Column) -> Column:
     return F.when(valid, F.date_from_unix_date(days))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row, also where it is used in several CASE branches."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _numbers(parts: Column, y: Column, m: Column, d: Column) -> Column:
     pick = [F.get(parts, i).try_cast("int").alias(n) for n, i in (("y", y), ("m", m), ("d", d))]
-    return _let(F.struct(*pick), lambda t: jalali_to_gregorian(t["y"], t["m"], t["d"]))
+    return let(F.struct(*pick), lambda t: jalali_to_gregorian(t["y"], t["m"], t["d"]))
 
 
 def _is_jalali_year(part: Column) -> Column:
@@ -53,13 +48,13 @@ def parse_general(text: Column) -> Column:
 
 def unify_date(text: Column) -> Column:
     """One date column from mixed calendars: a year 1300..1500, first or last, marks Solar Hijri."""
-    return _let(fa_digits_to_latin(text.cast("string")), _unify_plain)
+    return let(fa_digits_to_latin(text.cast("string")), _unify_plain)
 
 
 def _unify_plain(plain: Column) -> Column:
     token = F.translate(F.substring_index(plain, " ", 1), "/", "-")
     zero, one, two = F.lit(0), F.lit(1), F.lit(2)
-    return _let(
+    return let(
         F.split(token, "-"),
         lambda parts: F.when(_is_jalali_year(F.get(parts, zero)), _numbers(parts, zero, one, two))
         .when(_is_jalali_year(F.get(parts, F.size(parts) - 1)), _numbers(parts, F.size(parts) - 1, one, zero))
@@ -72,7 +67,7 @@ def parse_native_date(text: Column) -> Column:
     zero, one, two = F.lit(0), F.lit(1), F.lit(2)
     token = F.regexp_extract(fa_digits_to_latin(text), rf"^[{SPACE}]*([0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}})(?:[{SPACE}]|$)", 1)
     # A text of another form gives the token '', whose parts are no numbers.
-    return _let(F.split(token, "/"), lambda parts: _numbers(parts, zero, one, two))
+    return let(F.split(token, "/"), lambda parts: _numbers(parts, zero, one, two))
 
 
 def parse_date(text: Column, native: Column) -> Column:

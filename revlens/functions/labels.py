@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +32,15 @@ def sign_of_difference(positive: Column, negative: Column) -> Column:
 
 def whole_word_count(padded: Column, words: list[str]) -> Column:
     """Number of distinct list words in the text as whole words."""
-    return reduce(lambda a, b: a + b, [tx.contains_word(padded, w).cast("int") for w in dict.fromkeys(words)])
+    return tx.count_contained(padded, tx.in_spaces(words))
 
 
 def polarity_with_score(clean_text: Column, padded: Column, score: Column, positive=None, negative=None) -> Column:
     """Sign of hit counts; a tie is decided by the stars."""
     pos = tx.hit_count(clean_text, padded, positive or lx.POSITIVE_WORDS_RICH)
     neg = tx.hit_count(clean_text, padded, negative or lx.NEGATIVE_WORDS_RICH)
-    diff = pos - neg
-    return F.when(diff > 0, 1).when(diff < 0, -1).when(number(score) >= 4, 1).otherwise(-1)
+    by_score = F.when(number(score) >= 4, 1).otherwise(-1)
+    return tx.let(pos - neg, lambda diff: F.when(diff > 0, 1).when(diff < 0, -1).otherwise(by_score))
 
 
 def number(score: Column) -> Column:

@@ -31,6 +31,11 @@ def string_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also where several CASE branches or lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_urls(text: Column) -> Column:
     return F.regexp_replace(text, URL_PATTERN, "")
 
@@ -127,52 +132,65 @@ def is_generic_or_short(text: Column, filler: list[str] | None = None) -> Column
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Whether any word is a substring. Plain search is several times faster than a regex alternation."""
+    return F.exists(string_array(words), lambda w: F.contains(text, w))
 
 
 def count_contained(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
-
+    """Number of distinct list words that are substrings."""
+    return F.size(F.filter(string_array(dict.fromkeys(words)), lambda w: F.contains(text, w)))
 
-def contains_word(padded: Column, word: str) -> Column:
-    return F.contains(padded, F.lit(f" {word} "))
 
+def in_spaces(words: list[str]) -> list[str]:
+    """Whole words as they stand in a padded text."""
+    return [f" {w} " for w in words]
 
-def hit_tests(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> list[Column]:
-    """Per list word: whole-word hit, or substring hit for words longer than ``longer_than`` characters.
 
-    A whole-word hit is a substring hit as well, so long words need only the substring test. Plain substring
-    search is several times faster than a regex alternation of the same words.
-    """
-    return [
-        F.contains(text, F.lit(w)) if len(w) > longer_than else contains_word(padded, w) for w in dict.fromkeys(words)
-    ]
+def _by_length(words: list[str], longer_than: int) -> tuple[list[str], list[str]]:
+    return [w for w in words if len(w) > longer_than], [w for w in words if len(w) <= longer_than]
 
 
 def hit_any(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> Column:
-    return reduce(lambda a, b: a | b, hit_tests(text, padded, words, longer_than))
+    """Whole-word hit, or substring hit for words longer than ``longer_than`` characters.
+
+    A whole-word hit is a substring hit as well, so long words need only the substring test.
+    """
+    long, short = _by_length(words, longer_than)
+    tests = [contains_any(c, ws) for c, ws in ((text, long), (padded, in_spaces(short))) if ws]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def hit_count(text: Column, padded: Column, words: list[str], longer_than: int = 3) -> Column:
-    return reduce(lambda a, b: a + b, [t.cast("int") for t in hit_tests(text, padded, words, longer_than)])
+    """Number of distinct list words hit by the rule of ``hit_any``."""
+    long, short = _by_length(words, longer_than)
+    counts = [count_contained(c, ws) for c, ws in ((text, long), (padded, in_spaces(short))) if ws]
+    return reduce(lambda a, b: a + b, counts)
 
 
 def flag_keywords(text: Column, lang: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     """True when the text contains a keyword of its language; null text and unknown languages give False."""
-    low = F.lower(text)
-    flag = F.lit(False)
-    for key, words in (keywords or lx.HALLUCINATION_WORDS).items():
-        flag = F.when(lang == key, F.coalesce(contains_any(low, words), F.lit(False))).otherwise(flag)
-    return flag
 
+    def flags(low: Column) -> Column:
+        chain = F.lit(False)
+        for key, words in (keywords or lx.HALLUCINATION_WORDS).items():
+            chain = F.when(lang == key, F.coalesce(contains_any(low, words), F.lit(False))).otherwise(chain)
+        return chain
 
-def category_flags(text: Column, lang: Column, categories=None, english: str = "en_us") -> dict[str, Column]:
-    """One boolean column per category; keywords are plain substrings, case-insensitive."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return {
-        name: F.when(lang == english, contains_any(low, words["en"])).otherwise(contains_any(low, words["fa"]))
-        for name, words in (categories or lx.EXPERT_CATEGORIES).items()
-    }
+    return let(F.lower(text), flags)
+
+
+def category_flags(text: Column, lang: Column, categories=None, english: str = "en_us") -> Column:
+    """A struct with one boolean per category; keywords are plain substrings, case-insensitive."""
+    categories = categories or lx.EXPERT_CATEGORIES
+
+    def flags(low: Column) -> Column:
+        tests = [
+            F.when(lang == english, contains_any(low, words["en"])).otherwise(contains_any(low, words["fa"]))
+            for words in categories.values()
+        ]
+        return F.struct(*[t.alias(name) for t, name in zip(tests, categories)])
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), flags)
 
 
 def fa_digits_to_latin(text: Column) -> Column:
@@ -196,12 +214,15 @@ def recode_label(label: Column, names: dict[str, str] | None = None, trim: bool
 
 def recode_by_substring(label: Column, rules: dict[str, list[str]] | None = None) -> Column:
     """First rule with a substring hit wins; the zero-width non-joiner counts as a space."""
-    text = F.translate(label, "‌", " ")
-    chain = None
-    for name, words in (rules or lx.SUBSTRING_RULES_SHORT).items():
-        test = contains_any(text, words)
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
-    return chain.otherwise(text)
+
+    def first_rule(text: Column) -> Column:
+        chain = None
+        for name, words in (rules or lx.SUBSTRING_RULES_SHORT).items():
+            test = contains_any(text, words)
+            chain = F.when(test, name) if chain is None else chain.when(test, name)
+        return chain.otherwise(text)
+
+    return let(F.translate(label, "‌", " "), first_rule)
 
 
 def in_persian_script(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revlens import lexicons as lx
 from revlens.functions import labels as lb
 from revlens.functions import text as tx
+from revlens.operators.staging import evaluate_once
 
 
 def app_basic_stats(df: DataFrame, platform: str = "platform_type", app: str = "app_label") -> DataFrame:
@@ -100,11 +101,10 @@ def mention_pct(
     categories = categories or lx.EXPERT_CATEGORIES
     names = list(categories)
     level = lb.trust_level_exact(F.col("score"))
-    flags = tx.category_flags(F.col(content), F.col(lang), categories, english)
-    wide = (
-        df.withColumn("Trust_Level", level).filter(F.col("Trust_Level") != lx.LEVEL_NEUTRAL)
-        .groupBy("Trust_Level")
-        .agg(*[(F.avg(flags[n].cast("int")) * 100).alias(n) for n in names])
+    rows = df.withColumn("Trust_Level", level).filter(F.col("Trust_Level") != lx.LEVEL_NEUTRAL)
+    flagged = evaluate_once(rows, _flags=tx.category_flags(F.col(content), F.col(lang), categories, english))
+    wide = flagged.groupBy("Trust_Level").agg(
+        *[(F.avg(F.col("_flags")[n].cast("int")) * 100).alias(n) for n in names]
     )
     long = wide.unpivot("Trust_Level", names, "Category", "Mention_Percentage")
     return long.withColumn("Category", F.translate("Category", "_", " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlens import lexicons as lx
 from revlens.functions import text as tx
 from revlens.operators import filters as fl
+from revlens.operators.staging import evaluate_once
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
@@ -162,7 +163,7 @@ def category_sql(column: str, lang: str, name: str) -> str:
 )
 def _(spark, folder):
     flags = tx.category_flags(F.col("content"), F.col("lang"), demo.CATEGORIES, "en")
-    return reviews(spark, folder).select("review_id", *[c.alias(n) for n, c in flags.items()])
+    return evaluate_once(reviews(spark, folder), flags=flags).select("review_id", "flags.*")
 
 
 @query(
