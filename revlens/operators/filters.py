@@ -52,9 +52,3 @@ def unmapped_labels(df: DataFrame, recoded: str = "Aspect_EN", label: str = "Fin
 
 def load_docs(df: DataFrame, split: str = "train", text: str = "cleaned_content", part: str = "part") -> DataFrame:
     return df.filter(F.col(part) == split).select(text).dropna()
-
-
-def limit_per_key(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    from revlens.operators.ranking import top_n_per_key
-
-    return top_n_per_key(df, keys, order, n)

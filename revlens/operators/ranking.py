@@ -16,20 +16,25 @@ def _numbered(df: DataFrame, keys: list, order: list[Column], n: int, out: str)
 
 
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 512, out: str | None = None
+    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: tuple[int, ...] = (65536, 256),
+    out: str | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each key in a total order.
 
     Up to the session's group-limit threshold Spark cuts each key to ``n`` rows before the shuffle. For larger
-    ``n`` the same cut is made within salted parts of the key first, which is exact: a row among the first ``n``
-    of its key is among the first ``n`` of its part.
+    ``n`` the same cut is made within ever fewer parts of the key first, which is exact: a row among the first
+    ``n`` of its key is among the first ``n`` of its part. The second level keeps the last one from collecting
+    ``n`` rows of every first part in one task.
     """
     rank = out or "_rank"
     limit = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
     if n > limit:
         # The input partition as salt: balanced whatever the rows hold, and the same when a task is retried.
-        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-        df = _numbered(df.withColumn("_salt", salt), [*keys, "_salt"], order, n, "_part_rank").drop("_salt", "_part_rank")
+        df = df.withColumn("_salt", F.spark_partition_id())
+        for parts in salts:
+            salted = df.withColumn("_salt", F.pmod(F.col("_salt"), F.lit(parts)))
+            df = _numbered(salted, [*keys, "_salt"], order, n, "_part_rank").drop("_part_rank")
+        df = df.drop("_salt")
     ranked = _numbered(df, keys, order, n, rank)
     return ranked if out else ranked.drop(rank)
 

@@ -6,6 +6,7 @@ spine bounds the state instead, as older rows never enter it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +40,12 @@ def read_sink(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame
     """Everything admitted so far; an empty table before the first batch."""
     full = T.StructType([f for f in schema.fields if f.name not in ("month", "batch")])
     full = full.add("month", T.StringType()).add("batch", T.LongType())
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(sink)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(full).option("basePath", sink).parquet(sink)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).option("basePath", sink).parquet(sink)
 
 
 def stream_quota(

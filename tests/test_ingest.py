@@ -68,6 +68,8 @@ def test_large_quota_takes_the_salted_way(spark):
         salted = top_n_per_key(df, ["app_label"], ig.newest_first(), 40)
         assert "_salt" in salted._jdf.queryExecution().toString()
         assert ids(salted) == normal
+        few = top_n_per_key(df, ["app_label"], ig.newest_first(), 40, salts=(3, 2))
+        assert ids(few) == normal
     finally:
         spark.conf.set(GROUP_LIMIT, old)
 

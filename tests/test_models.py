@@ -49,6 +49,12 @@ def test_split_does_not_depend_on_the_prefix_length(spark, digits):
     assert {r.id for r in got.collect()} == {r.id for r in base.collect()}
 
 
+def test_last_pass_of_a_split_has_no_shuffle(spark):
+    df = spark.range(1000).withColumn("c", F.col("id") % 3)
+    plan = rk.hash_split(df, "id", [("a", 50), ("b", 50)], "c")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Sort " not in plan
+
+
 def test_split_of_a_tiny_class_and_of_copies(spark):
     tiny = spark.createDataFrame([(1, "x")], "id int, c string")
     assert [r.part for r in rk.hash_split(tiny, "id", [("train", 70), ("test", 30)], "c").collect()] == ["test"]
