@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from revlens.llm.bpe_trie import op3_bpe_trie
+from revlens.llm.mixing import OP7_SQL, op7_fair_mix
+from revlens.llm.sharding import OP6_SQL, op6_extendible_shards
 from revlens.llm.token_blocks import op2_token_blocks
 from revlens.llm.token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_blocks, op3_bpe_trie, op5_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_token_blocks, op3_bpe_trie, op5_token_counts, op6_extendible_shards, op7_fair_mix)}
+SQL = {"op6_extendible_shards": OP6_SQL, "op7_fair_mix": OP7_SQL}
