@@ -65,13 +65,15 @@ def text_slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable],
+              also: tuple[str, ...] = ()) -> DataFrame:
     """Append columns that are computed from one text column, in Arrow batches without a shuffle.
 
-    ``make()`` runs once per task and gives a function from a list of texts (None where null) to one sequence or
-    Arrow array per field. All columns of ``df`` stay; ``fields`` must have new names.
+    ``make()`` runs once per task and gives a function from a list of texts (None where null), and one more list for each
+    column in ``also``, to one sequence or Arrow array per field. All columns of ``df`` stay; ``fields`` must have new
+    names.
     """
-    at = df.columns.index(text)
+    at, more = df.columns.index(text), [df.columns.index(c) for c in also]
     new = T.StructType.fromDDL(", ".join("`" + name.replace("`", "``") + "` " + kind for name, kind in fields))
     schema = T.StructType([*df.schema.fields, *new.fields])
 
@@ -83,7 +85,7 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
         work = make()
         for batch in batches:
             for part in text_slices(batch, at):
-                made = work(part.column(at).to_pylist())
+                made = work(part.column(at).to_pylist(), *(part.column(i).to_pylist() for i in more))
                 new = [
                     x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type)
                     for x, f in zip(made, list(arrow)[len(part.columns):], strict=True)
