@@ -41,6 +41,9 @@ def ordered_ranges(df: DataFrame, key: str, text: str, ranges: int) -> tuple[Dat
     many.append(1)
     opens.append(None)
     at = col(number).cast("int")
+    if max(width.values()) == 1:  # no key fills a range; keeps the texts out of the plan
+        number_of = F.when(at == len(edges) + 1, F.lit(len(edges))).otherwise(at)
+        return df.withColumn(number, number_of).drop(position), number, total
     look = lambda xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), at + 1)
     many_here = look(many, "int")
     inside = F.when(many_here == 1, F.lit(0)).when(

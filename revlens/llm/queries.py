@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from revlens.llm.additive_model import op9_additive_model
+from revlens.llm.bloom_digest import op10_bloom_digest
 from revlens.llm.bpe_trie import op3_bpe_trie
 from revlens.llm.kneser_ney import op8_kneser_ney
 from revlens.llm.mixing import OP7_SQL, op7_fair_mix
@@ -12,5 +13,5 @@ from revlens.llm.token_counts import op5_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op2_token_blocks, op3_bpe_trie, op5_token_counts, op6_extendible_shards, op7_fair_mix,
-    op8_kneser_ney, op9_additive_model)}
+    op8_kneser_ney, op9_additive_model, op10_bloom_digest)}
 SQL = {"op6_extendible_shards": OP6_SQL, "op7_fair_mix": OP7_SQL}
