@@ -10,8 +10,9 @@ from revlens.llm.mixing import OP7_SQL, op7_fair_mix
 from revlens.llm.sharding import OP6_SQL, op6_extendible_shards
 from revlens.llm.token_blocks import op2_token_blocks
 from revlens.llm.token_counts import op5_token_counts
+from revlens.llm.toxicity import op4_term_automata
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_blocks, op3_bpe_trie, op5_token_counts, op6_extendible_shards, op7_fair_mix,
+    op2_token_blocks, op3_bpe_trie, op4_term_automata, op5_token_counts, op6_extendible_shards, op7_fair_mix,
     op8_kneser_ney, op9_additive_model, op10_bloom_digest)}
 SQL = {"op6_extendible_shards": OP6_SQL, "op7_fair_mix": OP7_SQL}
