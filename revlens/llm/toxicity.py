@@ -259,12 +259,12 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], list[str]]:
     strong = lambda df: df.filter((F.col("docs") >= LEAST_DOCS) & ((F.col("pos") + 0.5) / (F.col("neg") + 0.5) * (n / p) >= RATIO) & (
         evidence(F.col("pos"), F.col("neg"), p, n) >= EVIDENCE))
     words = [r["word"] for r in strong(found).select("word").orderBy("word").collect()]  # bounded by the sample
-    prefixes = found.filter(F.length("word") > STEM).select(
-        "*", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(STEM + 6)) - 1),
+    prefixes = found.filter(F.length("word") >= STEM).select(
+        "*", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(STEM + 6))),
                                    lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"))
     prefixes = prefixes.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("docs").alias("docs"),
-                                            F.sum((F.col("pos") > 0).cast("int")).alias("family"))
-    stems = {r["stem"]: r["pos"] for r in strong(prefixes.filter(F.col("family") >= FAMILY)).select("stem", "pos").collect()}
+                                            F.max("pos").alias("most"), F.sum((F.col("pos") > 0).cast("int")).alias("family"))
+    stems = {r["stem"]: r["pos"] for r in strong(prefixes.filter((F.col("family") >= FAMILY) & (2 * F.col("most") <= F.col("pos")))).select("stem", "pos").collect()}
     # of nested stems with about the same support the longest, and of the rest the shortest
     whole = [s for s in stems if not any(t.startswith(s) and len(t) == len(s) + 1 and stems[t] >= 0.9 * stems[s] for t in stems)]
     stems_kept = sorted(s for s in whole if not any(s != t and s.startswith(t) for t in whole))
