@@ -74,9 +74,9 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
     names.
     """
     at, more = df.columns.index(text), [df.columns.index(c) for c in also]
-    new = T.StructType.fromDDL(", ".join("`" + name.replace("`", "``") + "` " + kind for name, kind in fields))
-    schema = T.StructType([*df.schema.fields, *new.fields])
-
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # mapInArrow looks columns up by name, dots or not
+    new = T.StructType.fromDDL(", ".join(f"n{i} {kind}" for i, (_, kind) in enumerate(fields)))
+    schema = T.StructType([*plain.schema.fields, *new.fields])
     arrow = to_arrow_schema(schema)
 
     def task(batches):
@@ -94,7 +94,7 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
                     [*(c.cast(f.type) if c.type != f.type else c for c, f in zip(part.columns, arrow)), *new],
                     schema=arrow)
 
-    return df.mapInArrow(task, schema)
+    return plain.mapInArrow(task, schema).toDF(*df.columns, *[name for name, _ in fields])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
