@@ -42,7 +42,7 @@ STRIP = ".,;:!?\"'()[]{}“”„«»…|#*%&<>~^_=+"
 #: A term needs this much evidence (twice the log likelihood ratio), this ratio of rates, and documents.
 EVIDENCE, RATIO, LEAST_DOCS, FAMILY = 30.0, 8.0, 3, 4
 STEM = 3  # least letters of a stem
-PLAIN = np.array([-3.0, 3.0, 1.0, 0.3, 1.0, 1.0])
+PLAIN = np.array([-3.0, 3.0, 2.0, 0.3, 1.0, 1.0])
 
 
 def edits(term: str) -> int:
@@ -201,14 +201,14 @@ class ToxicityModel:
         return score
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the penalty is a share of the rows."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Logistic regression by Newton's method; a weight that the rows say nothing about keeps its prior value."""
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    w = np.zeros(x.shape[1])
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - penalty @ w
+        slope = x.T @ (y - p) - penalty @ (w - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), slope)
         w += step / max(1.0, np.abs(step).max() / 2)
     return w
@@ -295,7 +295,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label: str = "toxic", key
     if known["y"].nunique() == 2:
         x = np.array(known["x"].tolist(), np.float64)
         order = np.lexsort((known["y"], *x.T))  # sums in one order on every run
-        model.weights = np.round(logistic(x[order], known["y"].to_numpy(np.float64)[order]), 9)
+        model.weights = np.round(logistic(x[order], known["y"].to_numpy(np.float64)[order], PLAIN), 9)
     return model
 
 
