@@ -124,7 +124,7 @@ def is_generic_or_short(text: Column, filler: list[str] | None = None) -> Column
 
     One anchored pattern: on a longer text it fails at the first word that is no filler, after a few characters.
     """
-    words = "|".join(filler or lx.GENERIC_WORDS)
+    words = "|".join(rf"\Q{w}\E" for w in (filler or lx.GENERIC_WORDS))
     gap, word = rf"[{SPACE}]", rf"[^{SPACE}]+"
     short = rf"(?:{word}(?:{gap}+{word})?)?"
     only_filler = rf"(?:{words})(?:{gap}+(?:{words}))*"

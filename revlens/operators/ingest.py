@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from revlens.functions.dates import month_key
 from revlens.operators.ranking import first_per_key, top_n_per_key
-from revlens.operators.staging import join_small
 
 GROUP = ["app_label", "lang"]
 
+# A quota: one number for all groups, or a table of the group columns and ``target``. Groups it does not list admit nothing.
+Target = int | DataFrame
+
 
 def month_spine(anchor: DataFrame, start: str = "start", months: int = 6) -> DataFrame:
     """The last ``months`` month keys up to each distinct start date, newest first by ``position``."""
@@ -45,13 +47,29 @@ def newest_first(ts: str = "full_date", key: str = "review_id") -> list[Column]:
     return [F.col(ts).desc(), F.col(key)]
 
 
+def with_target(df: DataFrame, target: Target, group: list[str], out: str = "_target") -> DataFrame:
+    """Each row's quota; the table of targets has a row per group."""
+    if isinstance(target, int):
+        return df.withColumn(out, F.lit(target))
+    listed = target.select(*group, F.col("target").alias(out))
+    return df.join(listed, group, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def _largest(target: Target) -> int:
+    return target if isinstance(target, int) else target.agg(F.max("target")).first()[0] or 0
+
+
 def quota_admit(
-    df: DataFrame, spine: list[str], target: int, group: list[str] | None = None, date: str = "date",
-    order: list[Column] | None = None,
+    df: DataFrame, spine: list[str], target: Target, group: list[str] | None = None, date: str = "date",
+    order: list[Column] | None = None, salts: tuple[int, ...] = (),
 ) -> DataFrame:
-    """Per group and month keep the first ``target`` reviews, newest first."""
-    rows = _in_spine(df, spine, date)
-    return top_n_per_key(rows, [*(group or GROUP), "month"], order or newest_first(), target)
+    """Per group and month keep the first ``target`` reviews, newest first.
+
+    Rows are first cut to the largest target, then to their own group's.
+    """
+    group, rows = group or GROUP, _in_spine(df, spine, date)
+    ranked = top_n_per_key(rows, [*group, "month"], order or newest_first(), _largest(target), salts, "_rank")
+    return with_target(ranked, target, group).filter(F.col("_rank") <= F.col("_target")).drop("_rank", "_target")
 
 
 def month_counts(df: DataFrame, spine: list[str], group: list[str] | None = None, date: str = "date") -> DataFrame:
@@ -59,33 +77,36 @@ def month_counts(df: DataFrame, spine: list[str], group: list[str] | None = None
 
 
 def quota_resume(
-    existing: DataFrame, new: DataFrame, spine: list[str], target: int, group: list[str] | None = None,
-    date: str = "date", order: list[Column] | None = None,
+    existing: DataFrame, new: DataFrame, spine: list[str], target: Target, group: list[str] | None = None,
+    date: str = "date", order: list[Column] | None = None, salts: tuple[int, ...] = (),
 ) -> DataFrame:
     """Admit new reviews after counting what each group and month already holds."""
     keys = [*(group or GROUP), "month"]
-    rows = top_n_per_key(_in_spine(new, spine, date), keys, order or newest_first(), target, out="_rank")
-    counted = join_small(rows, month_counts(existing, spine, group, date), keys, "left")
-    return counted.filter(F.col("_rank") + F.coalesce("stored", F.lit(0)) <= target).drop("_rank", "stored")
+    rows = top_n_per_key(_in_spine(new, spine, date), keys, order or newest_first(), _largest(target), salts, "_rank")
+    rows = with_target(rows, target, group or GROUP)
+    counted = rows.join(month_counts(existing, spine, group, date), keys, "left")
+    admitted = counted.filter(F.col("_rank") + F.coalesce("stored", F.lit(0)) <= F.col("_target"))
+    return admitted.drop("_rank", "stored", "_target")
 
 
 def quota_full(
-    df: DataFrame, spine: list[str], target: int, group: list[str] | None = None, date: str = "date"
+    df: DataFrame, spine: list[str], target: Target, group: list[str] | None = None, date: str = "date"
 ) -> DataFrame:
     """Per group, whether every month of the spine has reached the target."""
     group = group or GROUP
     counts = df.groupBy(*group, month_key(F.col(date)).alias("month")).agg(F.count("*").alias("stored"))
+    counts = with_target(counts, target, group)
     listed = F.col("month").isin(spine)
-    full = F.count_if(listed & (F.col("stored") >= target)) == len(spine)
+    full = F.count_if(listed & (F.col("stored") >= F.col("_target"))) == len(spine)
     return counts.groupBy(*group).agg(full.alias("is_full"), F.count_if(listed).alias("months_seen"))
 
 
 def quota_overflow(
-    df: DataFrame, spine: list[str], target: int, group: list[str] | None = None, date: str = "date"
+    df: DataFrame, spine: list[str], target: Target, group: list[str] | None = None, date: str = "date"
 ) -> DataFrame:
     """Reviews beyond the quota per group and month; counts suffice, no ranking is needed."""
-    counts = month_counts(df, spine, group, date)
-    over = F.col("stored") - target
+    counts = with_target(month_counts(df, spine, group, date), target, group or GROUP)
+    over = F.col("stored") - F.col("_target")
     return counts.select(*(group or GROUP), "month", over.alias("skipped")).filter(F.col("skipped") > 0)
 
 

@@ -55,7 +55,7 @@ def _fit(kind: str, df: DataFrame, key: str, target: Column, stages: list, featu
     parts = hash_split(rows, key, [("train", 80), ("test", 20)], "label_text" if stratify else None, seed)
     train = ft.balanced_weights(parts.filter(F.col("part") == "train"), "label_text")
     indexer = StringIndexer(
-        inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(rows)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     model = Pipeline(stages=[*stages, indexer, _forest(kind, trees, seed), back]).fit(train)
@@ -203,27 +203,28 @@ def shapley_values(
 
 def word_vectors(
     tokens: DataFrame, column: str = "tokens", size: int = 100, window: int = 5, min_count: int = 3, seed: int = SEED,
-    partitions: int = 4,
+    epochs: int = 5, partitions: int | None = None,
 ):
-    """Skip-gram vectors; returns the fitted model, whose ``getVectors()`` has one row per word."""
+    """Skip-gram vectors; returns the fitted model, whose ``getVectors()`` has one row per word.
+
+    The training is split as the input is, unless ``partitions`` says otherwise.
+    """
     return Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, inputCol=column, outputCol="_vector", seed=seed,
-        numPartitions=partitions,
+        maxIter=epochs, numPartitions=partitions or max(tokens.rdd.getNumPartitions(), 1),
     ).fit(tokens)
 
 
 def expand_lexicon(
     vectors: DataFrame, seeds: dict[str, list[str]], top: int = 10, min_similarity: float = 0.5, word: str = "word",
-    vector: str = "vector", max_seeds: int = 5000,
+    vector: str = "vector", block: int = 256,
 ) -> DataFrame:
     """Each label's seeds with their nearest words by cosine.
 
-    The seeds' vectors, at most ``max_seeds``, go to the tasks as one matrix. Every batch of vectors is multiplied
-    by it and hands on only its own best words per seed, so neither side's pairs are ever written out.
+    The seeds' vectors go to the tasks as one matrix. Every batch of vectors is multiplied by ``block`` of them at a
+    time and hands on only its own best words per seed, so neither side's pairs are ever written out.
     """
     listed = [(label, w) for label, words in seeds.items() for w in dict.fromkeys(words)]
-    if len(listed) > max_seeds:
-        raise ValueError(f"more than {max_seeds} seeds")
     spark = vectors.sparkSession
     found = vectors.filter(F.col(word).isin(sorted({w for _, w in listed}))).select(word, vector).collect()
     known = {r[0]: np.asarray(r[1], dtype="float64") for r in found}
@@ -241,16 +242,18 @@ def expand_lexicon(
                 continue
             rows = np.stack(batch["vector"].to_numpy()).astype("float64")
             norms = np.linalg.norm(rows, axis=1)
-            sims = (rows / np.where(norms == 0, 1.0, norms)[:, None]) @ matrix.T
+            units = rows / np.where(norms == 0, 1.0, norms)[:, None]
             words = batch["word"].to_numpy()
-            # A seed is its own nearest word, so one more row than asked is kept.
-            for s, name in enumerate(names):
-                good = np.flatnonzero(sims[:, s] > min_similarity)
-                if len(good) > top + 1:
-                    cut = np.partition(sims[good, s], -(top + 1))[-(top + 1)]
-                    good = good[sims[good, s] >= cut]
-                if len(good):
-                    yield pd.DataFrame({"seed": name, "word": words[good], "similarity": sims[good, s]})
+            for start in range(0, len(names), block):
+                sims = units @ matrix[start : start + block].T
+                # A seed is its own nearest word, so one more row than asked is kept.
+                for s, name in enumerate(names[start : start + block]):
+                    good = np.flatnonzero(sims[:, s] > min_similarity)
+                    if len(good) > top + 1:
+                        cut = np.partition(sims[good, s], -(top + 1))[-(top + 1)]
+                        good = good[sims[good, s] >= cut]
+                    if len(good):
+                        yield pd.DataFrame({"seed": name, "word": words[good], "similarity": sims[good, s]})
 
     pairs = vectors.select(F.col(word).alias("word"), F.col(vector).alias("vector")).mapInPandas(nearest, result_schema)
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("similarity").desc(), "word"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.operators.staging import join_small
-
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Parts per key of the two cuts that come first for a large n.
+SALTS = (65536, 256)
 
 
 def _numbered(df: DataFrame, keys: list, order: list[Column], n: int, out: str) -> DataFrame:
@@ -16,19 +15,19 @@ def _numbered(df: DataFrame, keys: list, order: list[Column], n: int, out: str)
 
 
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: tuple[int, ...] = (65536, 256),
+    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: tuple[int, ...] = (),
     out: str | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each key in a total order.
 
-    Up to the session's group-limit threshold Spark cuts each key to ``n`` rows before the shuffle. For larger
-    ``n`` the same cut is made within ever fewer parts of the key first, which is exact: a row among the first
-    ``n`` of its key is among the first ``n`` of its part. The second level keeps the last one from collecting
-    ``n`` rows of every first part in one task.
+    Spark cuts each key to ``n`` rows before the shuffle as long as ``n`` is within its group limit (1000, or the
+    setting spark.sql.optimizer.windowGroupLimitThreshold). For a larger ``n`` state ``salts``, such as ``SALTS``: the
+    same cut is then made within ever fewer parts of the key first, which is exact, as a row among the first ``n`` of
+    its key is among the first ``n`` of its part. The second level keeps the last one from collecting ``n`` rows of
+    every first part in one task.
     """
     rank = out or "_rank"
-    limit = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
-    if n > limit:
+    if salts:
         # The input partition as salt: balanced whatever the rows hold, and the same when a task is retried.
         df = df.withColumn("_salt", F.spark_partition_id())
         for parts in salts:
@@ -76,7 +75,7 @@ def class_cuts(df: DataFrame, label: str | None, key: str, percents: list[int],
     # Copies of one key count as one row here, so a much repeated key does not fill a task.
     within = Window.partitionBy("_class", "_prefix").orderBy("_hash")
     ranked = (
-        join_small(base, places, ["_class", "_prefix"])
+        base.join(places, ["_class", "_prefix"])
         .groupBy("_class", "_prefix", "_hash")
         .agg(F.count("*").alias("n"), F.first("_cuts").alias("_cuts"))
         .withColumn("_upto", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -107,7 +106,7 @@ def hash_split(
     rows = df if label is None else df.filter(F.col(label).isNotNull())
     cuts = class_cuts(rows, label, key, percents, seed, digits)
     rows = rows.withColumn("_class", F.col(label) if label else F.lit(0)).withColumn("_hash", _hash_key(key, seed))
-    joined = join_small(rows, cuts, ["_class"], "left")
+    joined = rows.join(cuts, ["_class"], "left")
     chain = None
     for i, (name, _) in enumerate(parts[:-1]):
         test = F.col("_hash") <= F.col(f"_cut{i}")

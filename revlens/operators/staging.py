@@ -16,28 +16,3 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(row)))
 
-
-def small_side(df: DataFrame, max_rows: int = 200_000) -> tuple[DataFrame, bool]:
-    """``df`` as a broadcast table if it has at most ``max_rows`` rows, else as it is.
-
-    The size is checked by reading one row more than allowed, so the driver never holds a larger result.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-
-
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Join to a table that is normally tiny: broadcast after a size check, shuffle with AQE skew handling beyond it."""
-    side, _ = small_side(small, max_rows)
-    return df.join(side, on, how)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give costly per-row work all cores when a file scan has fewer partitions than the cluster has cores.
-
-    Larger inputs have more partitions than that and pass unchanged, without a shuffle. Only for plain scans.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

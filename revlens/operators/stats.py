@@ -180,7 +180,8 @@ def cronbach_alpha(df: DataFrame, blocks: dict[str, list[str]], good: float = 0.
         total = reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in items])
         item_vars = reduce(lambda a, b: a + b, [F.var_samp(F.when(complete, F.col(f"`{c}`"))) for c in items])
         k = len(items)
-        alpha = F.lit(k / (k - 1)) * (1 - item_vars / F.nullif(F.var_samp(F.when(complete, total)), F.lit(0.0)))
+        factor = F.lit(k / (k - 1) if k > 1 else None).cast("double")  # one item has no reliability
+        alpha = factor * (1 - item_vars / F.nullif(F.var_samp(F.when(complete, total)), F.lit(0.0)))
         results.append(
             F.struct(
                 F.lit(name).alias("block"), F.lit(k).cast("bigint").alias("items"),

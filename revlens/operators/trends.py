@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from revlens import lexicons as lx
 from revlens.functions import dates as dt
 from revlens.operators.ranking import top_n_per_key
-from revlens.operators.staging import join_small
 from revlens.session import materialised
 
 
@@ -70,7 +69,7 @@ def low_trust_events(by_version: DataFrame, limit: float = lx.LOW_TRUST_LIMIT) -
 def min_support(df: DataFrame, keys: list[str], n: int = lx.MIN_SUPPORT) -> DataFrame:
     """Rows of groups with at least ``n`` rows."""
     supported = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n)
-    return join_small(df, supported.drop("_n"), keys, "left_semi")
+    return df.join(supported.drop("_n"), keys, "left_semi")
 
 
 def top_apps(df: DataFrame, n: int = lx.TOP_APPS, app: str = "app_label") -> DataFrame:
@@ -87,8 +86,11 @@ def last_n_per_group(df: DataFrame, key: str, order: str, n: int = lx.LAST_VERSI
 
 
 def stage_dense_rank(df: DataFrame, key: str = "app_label", version: str = "Clean_Version") -> DataFrame:
-    stage = F.dense_rank().over(Window.partitionBy(key).orderBy(version)).cast("bigint")
-    return df.withColumn("Stage_Num", stage).withColumn("Display_Version", F.concat(F.lit("Stage "), F.col("Stage_Num")))
+    """Number the versions of each app in order. Distinct versions are ranked, so an app's rows never share a task."""
+    stage = F.row_number().over(Window.partitionBy("_k").orderBy("_v")).cast("bigint")
+    stages = df.select(F.col(key).alias("_k"), F.col(version).alias("_v")).distinct().withColumn("Stage_Num", stage)
+    joined = df.join(stages, F.col(key).eqNullSafe(F.col("_k")) & F.col(version).eqNullSafe(F.col("_v")))
+    return joined.drop("_k", "_v").withColumn("Display_Version", F.concat(F.lit("Stage "), F.col("Stage_Num")))
 
 
 def release_stages(

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.operators.staging import spread
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The texts, spread over all cores where the file is small."""
     docs = table(spark, folder, "documents")
-    return spread(docs.select(*columns) if columns else docs, "doc_id")
+    return docs.select(*columns) if columns else docs
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlens.operators import ingest as ig
 from revlens.plans.catalog import query
 from revlens.plans.fixtures import documents, table
-from revlens.session import scratch_path
+from revlens.session import materialised, scratch_path
 from revlens.streaming import ingest as si
 
-START, MONTHS, TARGET = "2001-08", 6, 8
+START, MONTHS = "2001-08", 6
 SPINE = ig.spine_keys(START, MONTHS)
 _SPINE_SQL = "('2001-08', '2001-07', '2001-06', '2001-05', '2001-04', '2001-03')"
 
+# Quotas by app and status: urgent orders have half the others' quota, status P is not listed.
+_TARGETS_SQL = """targets AS (SELECT app_label, lang, CASE WHEN app_label = '1-URGENT' THEN 4 ELSE 8 END AS target
+  FROM (SELECT DISTINCT app_label, lang FROM feed) WHERE lang <> 'P')"""
+
 _FEED_SQL = """feed AS (SELECT concat('o', o_orderkey) AS review_id, o_orderpriority AS app_label, o_orderstatus AS lang,
   o_orderdate AS full_date, CAST(o_orderdate AS DATE) AS date, strftime(o_orderdate, '%Y-%m') AS month FROM orders)"""
 
@@ -26,6 +31,13 @@ def feed(spark, folder):
     )
 
 
+def targets(rows, group=("app_label", "lang"), low=4, high=8):
+    known = rows.select(*group).distinct()
+    if "lang" in group:
+        known = known.filter(F.col("lang") != "P")
+    return known.withColumn("target", F.when(F.col("app_label") == "1-URGENT", low).otherwise(high))
+
+
 @query(
     "month_spine",
     """SELECT CAST(i AS BIGINT) AS position, strftime(date_trunc('month', m) - to_months(CAST(i AS INT)), '%Y-%m') AS month
@@ -38,11 +50,13 @@ def _(spark, folder):
 
 @query(
     "quota_admit",
-    f"""WITH {_FEED_SQL} SELECT review_id, app_label, lang, date, month FROM feed WHERE month IN {_SPINE_SQL}
-        QUALIFY row_number() OVER (PARTITION BY app_label, lang, month ORDER BY full_date DESC, review_id) <= {TARGET}""",
+    f"""WITH {_FEED_SQL}, {_TARGETS_SQL} SELECT review_id, app_label, lang, date, month FROM feed JOIN targets USING (app_label, lang)
+        WHERE month IN {_SPINE_SQL}
+        QUALIFY row_number() OVER (PARTITION BY app_label, lang, month ORDER BY full_date DESC, review_id) <= target""",
 )
 def _(spark, folder):
-    return ig.quota_admit(feed(spark, folder), SPINE, TARGET).select("review_id", "app_label", "lang", "date", "month")
+    rows = feed(spark, folder)
+    return ig.quota_admit(rows, SPINE, targets(rows)).select("review_id", "app_label", "lang", "date", "month")
 
 
 @query(
@@ -52,10 +66,10 @@ def _(spark, folder):
 )
 def _(spark, folder):
     from revlens.functions.dates import month_key
-    from revlens.operators.ranking import top_n_per_key
+    from revlens.operators.ranking import SALTS, top_n_per_key
 
     rows = feed(spark, folder).withColumn("month", month_key(F.col("date")))
-    return top_n_per_key(rows, ["app_label"], ig.newest_first(), 1500).select("review_id", "app_label", "month")
+    return top_n_per_key(rows, ["app_label"], ig.newest_first(), 1500, SALTS).select("review_id", "app_label", "month")
 
 
 @query(
@@ -63,12 +77,14 @@ def _(spark, folder):
     f"""WITH {_FEED_SQL}, old AS (SELECT app_label, month, count(*) AS stored FROM feed WHERE lang = 'F' GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY app_label, month ORDER BY full_date DESC, review_id) AS r
                    FROM feed WHERE lang <> 'F' AND month IN {_SPINE_SQL})
-        SELECT review_id, app_label, month FROM ranked LEFT JOIN old USING (app_label, month) WHERE r + coalesce(stored, 0) <= 24""",
+        SELECT review_id, app_label, month FROM ranked LEFT JOIN old USING (app_label, month)
+        WHERE r + coalesce(stored, 0) <= CASE WHEN app_label = '1-URGENT' THEN 12 ELSE 24 END""",
 )
 def _(spark, folder):
     rows = feed(spark, folder)
     admitted = ig.quota_resume(
-        rows.filter(F.col("lang") == "F"), rows.filter(F.col("lang") != "F"), SPINE, 24, ["app_label"]
+        rows.filter(F.col("lang") == "F"), rows.filter(F.col("lang") != "F"), SPINE,
+        targets(rows, ("app_label",), 12, 24), ["app_label"],
     )
     return admitted.select("review_id", "app_label", "month")
 
@@ -76,20 +92,24 @@ def _(spark, folder):
 @query(
     "quota_full",
     f"""WITH {_FEED_SQL}, c AS (SELECT app_label, lang, month, count(*) AS n FROM feed WHERE month IN {_SPINE_SQL} GROUP BY ALL)
-        SELECT g.app_label, g.lang, coalesce(count(*) FILTER (WHERE n >= 10) = 6, FALSE) AS is_full, count(n) AS months_seen
+        SELECT g.app_label, g.lang, count(n) AS months_seen,
+          coalesce(count(*) FILTER (WHERE n >= CASE WHEN g.lang = 'P' THEN 0 WHEN g.app_label = '1-URGENT' THEN 5 ELSE 10 END) = 6, FALSE) AS is_full
         FROM (SELECT DISTINCT app_label, lang FROM feed) g LEFT JOIN c USING (app_label, lang) GROUP BY ALL""",
 )
 def _(spark, folder):
-    return ig.quota_full(feed(spark, folder), SPINE, 10)
+    rows = feed(spark, folder)
+    return ig.quota_full(rows, SPINE, targets(rows, low=5, high=10))
 
 
 @query(
     "quota_overflow",
-    f"""WITH {_FEED_SQL} SELECT app_label, lang, month, count(*) - {TARGET} AS skipped FROM feed WHERE month IN {_SPINE_SQL}
-        GROUP BY ALL HAVING count(*) > {TARGET}""",
+    f"""WITH {_FEED_SQL}, {_TARGETS_SQL}, c AS (SELECT app_label, lang, month, count(*) - coalesce(any_value(target), 0) AS skipped
+          FROM feed LEFT JOIN targets USING (app_label, lang) WHERE month IN {_SPINE_SQL} GROUP BY ALL)
+        SELECT * FROM c WHERE skipped > 0""",
 )
 def _(spark, folder):
-    return ig.quota_overflow(feed(spark, folder), SPINE, TARGET)
+    rows = feed(spark, folder)
+    return ig.quota_overflow(rows, SPINE, targets(rows))
 
 
 @query("cut_older_than", f"WITH {_FEED_SQL} SELECT review_id, date FROM feed WHERE month >= '2001-03'")
@@ -162,20 +182,23 @@ def _(spark, folder):
     for schema in _arrivals(spark, folder, base + "/landing"):
         pages = si.review_stream(spark, base + "/landing", schema)
         si.stream_ingest(pages, base + "/sink", base + "/state", ["2024-01"]).awaitTermination()
-    stored = spark.read.schema(schema.add("month", "string")).parquet(base + "/sink")
-    return stored.select("review_id", "app_label", "value", "date", "month")
+    return si.read_sink(spark, base + "/sink", schema).select("review_id", "app_label", "value", "date", "month")
 
 
 @query(
     "stream_quota",
     """SELECT CAST(event_id AS VARCHAR) AS review_id, event_type AS app_label, CAST(ts AS DATE) AS date FROM events
-       QUALIFY row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m') ORDER BY ts DESC, CAST(event_id AS VARCHAR)) <= 600""",
+       QUALIFY row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m') ORDER BY ts DESC, CAST(event_id AS VARCHAR))
+         <= CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 300 ELSE 600 END""",
 )
 def _(spark, folder):
     base = scratch_path(spark, "stream-quota")
+    apps = event_feed(spark, folder).select("app_label", "lang").distinct()
+    low = F.col("app_label") == F.min("app_label").over(Window.partitionBy())  # one row per app
+    quota = materialised(apps.withColumn("target", F.when(low, 300).otherwise(600)), "quotas")
     for schema in _arrivals(spark, folder, base + "/landing"):
         pages = si.review_stream(spark, base + "/landing", schema)
-        si.stream_quota(pages, base + "/sink", base + "/state", ["2024-01"], 600).awaitTermination()
+        si.stream_quota(pages, base + "/sink", base + "/state", ["2024-01"], quota).awaitTermination()
     return si.read_sink(spark, base + "/sink", schema).select("review_id", "app_label", "date")
 
 

@@ -10,7 +10,6 @@ from revlens.operators import labelling as lab
 from revlens.operators import models as md
 from revlens.operators import ranking as rk
 from revlens.operators import stats as st
-from revlens.operators.staging import spread
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
@@ -123,7 +122,7 @@ weights AS (SELECT doc, term, count(*) AS tf, count(*) * (ln((1 + (SELECT count(
 
 
 def _turns(spark, folder):
-    turns = spread(table(spark, folder, "conversations"), "conv_id")
+    turns = table(spark, folder, "conversations")
     return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), "text")
 
 

@@ -55,7 +55,7 @@ def written(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = src.read_reviews(spark, written(spark, folder))
+    rows = src.read_reviews(spark, written(spark, folder), multiline=True)
     return rows.drop("_source").withColumn("digest", F.md5("content")).drop("content")
 
 
@@ -69,13 +69,13 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = src.with_file_meta(src.read_reviews(spark, written(spark, folder)))
+    rows = src.with_file_meta(src.read_reviews(spark, written(spark, folder), multiline=True))
     return rows.select("review_id", "platform_type", "Ecosystem", "file_lang", "file_app", "file_country")
 
 
 @query("select_files", sq.reviews("SELECT name AS _source, count(*) AS reviews FROM files WHERE n % 3 = 0 GROUP BY ALL", _FILES_SQL))
 def _(spark, folder):
-    base = src.select_files(src.read_reviews(spark, written(spark, folder)))
+    base = src.select_files(src.read_reviews(spark, written(spark, folder), multiline=True))
     return base.groupBy("_source").agg(F.count("*").alias("reviews"))
 
 
@@ -91,7 +91,7 @@ def _(spark, folder):
     # Three-star rows are written with a score that is no number.
     rows = _named(spark, folder).withColumn("score", F.when(F.col("score") == 3, "three").otherwise(F.col("score").cast("string")))
     sinks.write_csv(rows, path, "file")
-    return src.corrupt_rows(src.read_tolerant(spark, path))
+    return src.corrupt_rows(src.read_tolerant(spark, path, multiline=True))
 
 
 @query(

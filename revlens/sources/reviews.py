@@ -16,12 +16,12 @@ STAGE_SUFFIXES = ("_labeled", "_ready_for_ml")
 
 def read_reviews(
     spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW, tolerant: bool = False,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Review CSV files with a header as one table with a ``_source`` column.
 
-    ``multiline`` reads line breaks inside quotes, at the price of one task per file; switch it off for large
-    files without such breaks. ``tolerant`` skips unreadable files and keeps bad rows in ``_corrupt_record``.
+    Large files are split between tasks. ``multiline`` reads line breaks inside quotes, at the price of one task per
+    file. ``tolerant`` skips unreadable files and keeps bad rows in ``_corrupt_record``.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -34,8 +34,10 @@ def read_reviews(
     return reader.schema(schema).csv(paths).withColumn("_source", source_name(F.col("_metadata.file_path")))
 
 
-def read_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW) -> DataFrame:
-    return read_reviews(spark, paths, schema, tolerant=True)
+def read_tolerant(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW, multiline: bool = False
+) -> DataFrame:
+    return read_reviews(spark, paths, schema, tolerant=True, multiline=multiline)
 
 
 def corrupt_rows(df: DataFrame) -> DataFrame:
@@ -141,14 +143,12 @@ def normalise_review(df: DataFrame, ts: str = "at", title: str | None = None, io
     )
 
 
-def read_lexicon(spark: SparkSession, path: str, max_words: int = 10_000) -> dict[str, list[str]]:
-    """An ordered lexicon from a CSV file with the columns priority, label and word."""
+def read_lexicon(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """An ordered lexicon from a CSV file with the columns priority, label and word; it becomes part of the plan."""
     rows = (
         spark.read.option("header", True).schema("priority int, label string, word string").csv(path)
-        .orderBy("priority", "label", "word").limit(max_words + 1).collect()
+        .orderBy("priority", "label", "word").collect()
     )
-    if len(rows) > max_words:
-        raise ValueError(f"{path} holds more than {max_words} words")
     lexicon: dict[str, list[str]] = {}
     for row in rows:
         lexicon.setdefault(row.label, []).append(row.word)

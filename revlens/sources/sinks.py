@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.operators.staging import small_side
-from revlens.session import materialised
-
 
 def write_stage(df: DataFrame, path: str, partition: str | None = "ecosystem", file_rows: int = 2_000_000) -> None:
     """Write a stage as Parquet, one directory per ecosystem, to a new path.
@@ -28,13 +25,9 @@ def write_csv(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Write a report table as one CSV file; a larger table keeps its partitions.
-
-    The report is computed once, into the shared folder, and its size taken from there.
-    """
-    stored = materialised(df, "report")
-    out = stored.coalesce(1) if stored.count() <= max_rows else stored
+def write_report(df: DataFrame, path: str, single_file: bool = True) -> None:
+    """Write a report table as CSV: one file, gathered by one last task, or with ``single_file=False`` one per partition."""
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -48,9 +41,8 @@ def ecosystem_split(parts: list[DataFrame], ecosystem: Column) -> DataFrame:
 
 def balance_classes(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Optional: thin larger classes to about the size of the smallest by a hash of the key."""
-    counts, _ = small_side(df.dropna(subset=[label]).groupBy(label).agg(F.count("*").alias("_n")))
-    smallest = counts.agg(F.min("_n").alias("m")).first().m
-    share = counts.select(label, (F.lit(smallest) / F.col("_n")).alias("_share"))
+    counts = df.dropna(subset=[label]).groupBy(label).agg(F.count("*").alias("_n"))
+    share = counts.select(label, (F.min("_n").over(Window.partitionBy()) / F.col("_n")).alias("_share"))  # one row per class
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(2**32)
     return df.join(share, label).filter(draw < F.col("_share")).drop("_share")

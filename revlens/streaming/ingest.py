@@ -1,11 +1,14 @@
 """Resumable review feeds.
 
-The feed arrives newest first, so no event-time watermark is set: it would drop almost every later batch. The month
-spine bounds the state instead, as older rows never enter it.
+The feed arrives newest first, so no event-time watermark is set: it would drop almost every later batch. What was seen
+is looked up in the sink, by month, and no query keeps state.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,60 +26,82 @@ def review_stream(spark: SparkSession, path: str, schema: T.StructType, files_pe
 
 def stream_ingest(
     feed: DataFrame, sink: str, checkpoint: str, spine: list[str] | None = None, key: str = "review_id",
-    date: str = "date",
+    date: str = "date", ts: str = "full_date",
 ) -> StreamingQuery:
-    """Append every new review once. The checkpoint holds the position and the seen keys; the file sink is exactly-once."""
-    rows = feed.withColumn("month", month_key(F.col(date)))
-    if spine is not None:
-        rows = rows.filter(F.col("month").isin(spine))
-    return (
-        rows.dropDuplicates([key]).writeStream.format("parquet").partitionBy("month")
-        .option("path", sink).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-
+    """Append every new review once; reviews of months outside ``spine`` stay out.
 
-def read_sink(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
-    """Everything admitted so far; an empty table before the first batch."""
-    full = T.StructType([f for f in schema.fields if f.name not in ("month", "batch")])
-    full = full.add("month", T.StringType()).add("batch", T.LongType())
-    try:
-        return spark.read.schema(full).option("basePath", sink).parquet(sink)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+    What was seen is looked up in the sink, in the months of the batch only, so no state grows with the feed.
+    """
+    return _append(feed, sink, checkpoint, spine, key, date, ts, lambda stored, fresh: fresh)
 
 
 def stream_quota(
-    feed: DataFrame, sink: str, checkpoint: str, spine: list[str], target: int, group: list[str] | None = None,
+    feed: DataFrame, sink: str, checkpoint: str, spine: list[str], target: ig.Target, group: list[str] | None = None,
     key: str = "review_id", date: str = "date", ts: str = "full_date",
 ) -> StreamingQuery:
-    """Admit reviews up to the quota of their group and month.
+    """Admit reviews up to the quota of their group and month, counting what the sink holds, whoever wrote it.
 
-    Counts come from the sink at every batch, never from memory. Each batch owns one ``batch=`` directory and
-    overwrites it, so a replayed batch counts the other batches only and gives the same rows again. The sink holds
-    at most the quota per group and month, which bounds both lookups.
+    The sink holds at most the quota per group and month, which bounds both lookups.
+    """
+    group, order = group or ig.GROUP, ig.newest_first(ts, key)
+
+    def admit(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+        return ig.quota_resume(stored, fresh, spine, target, group, date, order)
+
+    return _append(feed, sink, checkpoint, spine, key, date, ts, admit)
+
+
+def _append(feed, sink, checkpoint, spine, key, date, ts, admit) -> StreamingQuery:
+    """Write what ``admit(stored, fresh)`` returns for every batch.
+
+    A batch owns the directories month=/run=/batch=, where the run is the id that Spark keeps in the checkpoint. It
+    overwrites only those, and counts all others as stored. A replayed batch so gives the same rows again, and a new
+    checkpoint on a filled sink adds to it.
     """
-    group = group or ig.GROUP
     schema = feed.schema
 
-    def admit(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = read_sink(spark, sink, schema).filter(F.col("batch") < batch_id)
-        fresh = batch.withColumn("month", month_key(F.col(date))).filter(F.col("month").isin(spine))
-        fresh = first_per_key(fresh, [key], [F.col(ts).desc()])
-        fresh = fresh.join(stored.select(key, "month"), [key, "month"], "left_anti")
-        order = ig.newest_first(ts, key)
-        admitted = ig.quota_resume(stored, fresh, spine, target, group, date, order)
-        admitted.drop("batch").write.mode("overwrite").partitionBy("month").parquet(f"{sink}/batch={batch_id}")
+        run = run_id(spark, checkpoint)
+        rows = batch.withColumn("month", month_key(F.col(date))).dropna(subset=["month"])
+        if spine is not None:
+            rows = rows.filter(F.col("month").isin(spine))
+        rows = first_per_key(rows, [key], [F.col(ts).desc()])
+        months = spine if spine is not None else [r.month for r in rows.select("month").distinct().collect()]
+        stored = read_sink(spark, sink, schema, months).filter(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+        fresh = rows.join(stored.select(key, "month"), [key, "month"], "left_anti")
+        admitted = admit(stored, fresh).withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        writer = admitted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("month", "run", "batch").parquet(sink)
 
     return (
-        feed.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint)
+        feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to; it outlives restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def read_sink(spark: SparkSession, sink: str, schema: T.StructType, months: list[str] | None = None) -> DataFrame:
+    """Everything admitted so far, or in the listed months only; an empty table before the first batch."""
+    parts = ("month", "run", "batch")
+    full = T.StructType([f for f in schema.fields if f.name not in parts])
+    full = full.add("month", T.StringType()).add("run", T.StringType()).add("batch", T.LongType())
+    found = []
+    for path in [sink] if months is None else [f"{sink}/month={m}" for m in months]:
+        try:
+            found.append(spark.read.schema(full).option("basePath", sink).parquet(path))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
+        return spark.createDataFrame([], full)
+    return reduce(DataFrame.unionByName, found)
+
+
 def monthly_counts_stream(feed: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     """Running review count and mean stars per key and month, for update or complete output."""
     month = F.date_trunc("month", F.col(date).cast("timestamp")).alias("month_start")

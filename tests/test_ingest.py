@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators import ingest as ig
-from revlens.operators.ranking import GROUP_LIMIT, first_per_key, top_n_per_key
+from revlens.operators.ranking import SALTS, first_per_key, top_n_per_key
 from revlens.session import scratch_path
 from revlens.streaming import ingest as si
 
@@ -62,16 +62,10 @@ def test_quota_against_brute_force(spark):
 def test_large_quota_takes_the_salted_way(spark):
     df = feed(spark, 800).repartition(5, "review_id")
     normal = ids(top_n_per_key(df, ["app_label"], ig.newest_first(), 40))
-    old = spark.conf.get(GROUP_LIMIT)
-    spark.conf.set(GROUP_LIMIT, "10")
-    try:
-        salted = top_n_per_key(df, ["app_label"], ig.newest_first(), 40)
+    for salts in (SALTS, (3, 2)):
+        salted = top_n_per_key(df, ["app_label"], ig.newest_first(), 40, salts)
         assert "_salt" in salted._jdf.queryExecution().toString()
         assert ids(salted) == normal
-        few = top_n_per_key(df, ["app_label"], ig.newest_first(), 40, salts=(3, 2))
-        assert ids(few) == normal
-    finally:
-        spark.conf.set(GROUP_LIMIT, old)
 
 
 def test_small_quota_is_cut_before_the_shuffle(spark):
@@ -191,5 +185,43 @@ def test_replayed_quota_batch_gives_the_same_rows(spark):
     assert ids(si.read_sink(spark, out, schema)) == before
 
 
+def test_new_checkpoint_adds_to_a_filled_sink(spark):
+    def row(i):
+        return (f"r{i}", "a", "en", d.datetime(2026, 4, 1, 0, i), d.date(2026, 4, 1), 1)
+
+    base, schema = scratch_path(spark, "two-runs"), spark.createDataFrame([], SCHEMA).schema
+    for folder, first in (("one", 0), ("two", 10)):
+        land(spark, [row(i) for i in range(first, first + 10)], f"{base}/{folder}")
+        feed_ = si.review_stream(spark, f"{base}/{folder}", schema, 1)
+        si.stream_quota(feed_, base + "/out", f"{base}/state-{folder}", SPINE, 12).awaitTermination()
+    stored = ids(si.read_sink(spark, base + "/out", schema))
+    assert len(stored) == 12 and {f"r{i}" for i in range(10)} <= stored
+
+
+def test_months_that_left_the_spine_stay_stored_and_out_of_the_lookup(spark):
+    base, schema = scratch_path(spark, "old-months"), spark.createDataFrame([], SCHEMA).schema
+    row = lambda key, month: (key, "a", "en", d.datetime(2026, month, 3), d.date(2026, month, 3), 1)
+    land(spark, [row("old", 1), row("new", 4)], base + "/in")
+    si.stream_ingest(si.review_stream(spark, base + "/in", schema), base + "/out", base + "/state", ["2026-01", "2026-04"]).awaitTermination()
+    land(spark, [row("old", 1), row("late", 1), row("next", 4), row("new", 4)], base + "/in")
+    si.stream_ingest(si.review_stream(spark, base + "/in", schema), base + "/out", base + "/state", ["2026-04"]).awaitTermination()
+    stored = [r.review_id for r in si.read_sink(spark, base + "/out", schema).collect()]
+    assert sorted(stored) == ["new", "next", "old"]
+    assert ids(si.read_sink(spark, base + "/out", schema, ["2026-04"])) == {"new", "next"}
+
+
+def test_targets_per_group(spark):
+    df = feed(spark)
+    groups = [tuple(r) for r in df.select("app_label", "lang").distinct().orderBy("app_label", "lang").collect()]
+    quota = {g: 3 + 4 * i for i, g in enumerate(groups[:-1])}
+    table = spark.createDataFrame([(*g, n) for g, n in quota.items()], "app_label string, lang string, target int")
+    got = ids(ig.quota_admit(df, SPINE, table))
+    want = set()
+    for g, n in quota.items():
+        part = df.filter((F.col("app_label") == g[0]) & (F.col("lang") == g[1]))
+        want |= ids(ig.quota_admit(part, SPINE, n))
+    assert got == want
+
+
 def test_empty_sink_reads_as_empty_table(spark):
     assert si.read_sink(spark, scratch_path(spark, "nothing"), feed(spark, 1).schema).count() == 0

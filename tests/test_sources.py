@@ -22,7 +22,7 @@ def test_csv_round_trip_with_bom_quotes_and_line_breaks(spark, tmp_path):
         encoding="utf-8",
     )
     (tmp_path / "native_data_Roo_cafebazaar.csv").write_text(header + "\n2,v,خوب,4,x,۱۴۰۴/۰۷/۰۹,00:00:00,,,Roo,fa\n", encoding="utf-8")
-    df = src.with_file_meta(src.read_reviews(spark, str(tmp_path))).orderBy("review_id")
+    df = src.with_file_meta(src.read_reviews(spark, str(tmp_path), multiline=True)).orderBy("review_id")
     a, b = df.collect()
     assert tuple(a[:11]) == ROW and a._source == "balanced_data_Bot_en_us"
     assert (a.platform_type, a.Ecosystem, a.file_lang, a.file_app, a.file_country) == ("Global", "Global", "en_us", "Bot", "us")
