@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,16 @@ def rf_text(
     return _fit("text", rows, key, label, list(tfidf.stages), tfidf.stages[3].vocabulary, trees, seed, True)
 
 
+def per_group(df: DataFrame, column: str, fit, report, groups: list[str] | None = None) -> DataFrame:
+    """One model per value of ``column``, such as the ecosystem: their reports in one table tagged with the value."""
+    fitted = {g: fit(df.filter(F.col(column) == g)) for g in (ft.labels_of(df, column) if groups is None else groups)}
+    return tagged(fitted, column, report)
+
+
+def tagged(fitted: dict[str, Fitted], column: str, report) -> DataFrame:
+    return reduce(DataFrame.unionByName, [report(f).select(F.lit(g).alias(column), "*") for g, f in fitted.items()])
+
+
 def importance_ranking(fitted: Fitted) -> DataFrame:
     """Feature importance and percentage, strongest first."""
     spark = fitted.predictions.sparkSession
@@ -148,9 +159,9 @@ def shapley_values(
     fitted: Fitted, df: DataFrame, key: str = "review_id", aspect: str = "Final_Aspect", rows: int = 500,
     positive: str = "1", seed: int = SEED,
 ) -> DataFrame:
-    """Exact Shapley values of the aspect indicators for a sample, against the aspect shares of ``df``.
+    """Exact Shapley values of the aspect indicators for a sample of the test part, against the aspect shares of ``df``.
 
-    The players are the indicators; the text part keeps the row's own values. A row has aspect i, a background row
+    The players are the aspects alone; the text part keeps the row's own values. A row has aspect i, a background row
     aspect j. A coalition then matters only by whether it holds i and j, so four indicator settings (i, j, both,
     none) give both values exactly: phi_i = ((f(i) - f(none)) + (f(both) - f(j))) / 2 and phi_j likewise with j
     leaving. All settings of all sampled rows go through the model as one table.
@@ -160,7 +171,8 @@ def shapley_values(
     share_rows = prepared.groupBy(aspect).agg(F.count("*").alias("n")).collect()  # one row per indicator column
     total = sum(r.n for r in share_rows)
     share = {r[aspect]: r.n / total for r in share_rows if r[aspect] in names}
-    sample = sample_n(prepared, key, rows, seed).withColumn("own", F.col(aspect))
+    tested = fitted.predictions.select(*[F.col(f"`{c}`") for c in prepared.columns])
+    sample = sample_n(tested, key, rows, seed).withColumn("own", F.col(aspect))
 
     settings = F.array(
         F.struct(F.lit("").alias("j"), F.lit(False).alias("with_own")),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens import lexicons as lx
 from revlens.functions import text as tx
 from revlens.operators import features as ft
 from revlens.operators import labelling as lab
@@ -154,11 +159,25 @@ def _(spark, folder):
     )
 
 
+STAGE = ["review_id", "ecosystem", "score", "final_clean_content", "Final_Aspect", "Sentiment_Polarity", "Composite_Trust"]
+
+
 def trusted_stage(spark, folder):
     """The labelled stage, written once: several jobs of a model read it."""
-    return materialised(trusted(spark, folder).select(
-        "review_id", "score", "final_clean_content", "Final_Aspect", "Sentiment_Polarity", "Composite_Trust"
-    ), "trusted")
+    return materialised(trusted(spark, folder).select(*STAGE), "trusted")
+
+
+_TRUST_MODELS: dict = {}
+
+
+def trust_models(spark, folder):
+    """The trust forest of each ecosystem, fitted once per session and folder for all queries that report on it."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _TRUST_MODELS:
+        rows = trusted_stage(spark, folder)
+        groups = ft.labels_of(rows, "ecosystem")
+        _TRUST_MODELS[place] = {g: md.rf_trust(rows.filter(F.col("ecosystem") == g)) for g in groups}
+    return _TRUST_MODELS[place]
 
 
 @query(
@@ -188,55 +207,91 @@ def _(spark, folder):
     return out.select("review_id", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
 
 
-def _ranked(fitted):
-    return md.importance_ranking(fitted)
+# The held-out fifth of each class and ecosystem, in the order of the same hash.
+_HELD_OUT = """held AS (SELECT * FROM (SELECT ecosystem, "Composite_Trust" AS y,
+  row_number() OVER (PARTITION BY ecosystem, "Composite_Trust" ORDER BY md5(concat(review_id, ':42'))) AS r,
+  count(*) OVER (PARTITION BY ecosystem, "Composite_Trust") AS n FROM trusted) WHERE r * 100 > 80 * n)"""
+
+
+def _shares(name, value, digits=6):
+    """Each ecosystem's features with the sum of their shares; the shares themselves are tested on planted signals."""
+    def report(fitted):
+        ranking = name(fitted)
+        total = F.round(F.sum(value).over(Window.partitionBy()), digits)  # one row per feature
+        return ranking.select(ranking.columns[0], total.alias("total"))
 
+    return report
 
-@query("rf_score")
+
+def _features_sql(table, rest=""):
+    return f'SELECT DISTINCT ecosystem, "Final_Aspect" AS feature, 1.0::DOUBLE AS total FROM {table} {rest}'
+
+
+@query("rf_score", sq.reviews(_features_sql("labelled", "WHERE score IS NOT NULL"), *CHAIN))
 def _(spark, folder):
-    rows = materialised(labelled(spark, folder).select("review_id", "score", "Final_Aspect", "Sentiment_Polarity"), "labelled")
-    return _ranked(md.rf_score(rows))
+    rows = materialised(labelled(spark, folder).select("review_id", "ecosystem", "score", "Final_Aspect", "Sentiment_Polarity"), "labelled")
+    return md.per_group(rows, "ecosystem", md.rf_score, _shares(md.importance_ranking, "importance"))
 
 
-@query("rf_trust")
+@query("rf_trust", sq.reviews(_features_sql("trusted"), *TRUSTED))
 def _(spark, folder):
-    return _ranked(md.rf_trust(trusted_stage(spark, folder)))
+    return md.tagged(trust_models(spark, folder), "ecosystem", _shares(md.importance_ranking, "importance"))
 
 
-@query("rf_hybrid")
+@query(
+    "rf_hybrid",
+    sq.reviews("SELECT ecosystem, sum(n) AS test_rows, sum(n) AS judged, max(n) AS majority FROM (SELECT ecosystem, y, count(*) AS n FROM held GROUP BY ALL) GROUP BY 1",
+               *TRUSTED, _HELD_OUT).replace("sum(n)", "sum(n)::BIGINT"),
+)
 def _(spark, folder):
-    return md.model_accuracy(md.rf_hybrid(trusted_stage(spark, folder)))
+    def report(fitted):
+        counts = fitted.predictions.groupBy(fitted.label).agg(F.count("*").alias("n"), F.count(fitted.prediction).alias("p"))
+        return counts.agg(F.sum("n").alias("test_rows"), F.sum("p").alias("judged"), F.max("n").alias("majority"))
+
+    return md.per_group(trusted_stage(spark, folder), "ecosystem", md.rf_hybrid, report)
+
+
+_TEXT_CLASSES = f"CASE y WHEN 0 THEN {sq.quoted(lx.CLASS_LOW)} ELSE {sq.quoted(lx.CLASS_HIGH)} END"
 
 
-@query("rf_text")
+@query("rf_text", sq.reviews(f"SELECT ecosystem, {_TEXT_CLASSES} AS label, count(*) AS n FROM held GROUP BY ALL", *TRUSTED, _HELD_OUT))
 def _(spark, folder):
-    return md.model_confusion(md.rf_text(trusted_stage(spark, folder)))
+    def report(fitted):
+        return md.model_confusion(fitted).groupBy("label").agg(F.sum("n").alias("n")).filter("n > 0")
 
+    return md.per_group(trusted_stage(spark, folder), "ecosystem", md.rf_text, report)
 
-@query("importance_ranking")
+
+@query("importance_ranking", sq.reviews(_features_sql("trusted").replace("1.0::DOUBLE", "100.0::DOUBLE"), *TRUSTED))
 def _(spark, folder):
-    return _ranked(md.rf_trust(trusted_stage(spark, folder), trees=100))
+    percent = lambda f: md.importance_ranking(f).withColumn("pct", F.col("importance") * 100)
+    return md.tagged(trust_models(spark, folder), "ecosystem", _shares(percent, "pct", 4))
 
 
-@query("save_model")
+@query("save_model", sq.reviews("SELECT DISTINCT ecosystem, 1.0::DOUBLE AS same_share FROM trusted", *TRUSTED))
 def _(spark, folder):
-    rows = trusted_stage(spark, folder)
-    fitted = md.rf_trust(rows, trees=50)
-    path = scratch_path(spark, "model")
-    sinks.save_model(fitted.model, path)
-    loaded = sinks.load_model(path)
-    kept = [c for c in fitted.predictions.columns if c.startswith("is_")]
-    again = loaded.transform(fitted.predictions.select("review_id", "label_text", *[F.col(f"`{c}`") for c in kept]))
-    both = again.select("review_id", F.col("predicted").alias("reloaded")).join(
-        fitted.predictions.select("review_id", "predicted"), "review_id"
-    )
-    return st.accuracy(both, "predicted", "reloaded").withColumnRenamed("accuracy", "same_share")
+    def report(fitted):
+        path = scratch_path(spark, "model")
+        sinks.save_model(fitted.model, path)
+        loaded = sinks.load_model(path)
+        kept = [c for c in fitted.predictions.columns if c.startswith("is_")]
+        again = loaded.transform(fitted.predictions.select("review_id", "label_text", *[F.col(f"`{c}`") for c in kept]))
+        both = again.select("review_id", F.col("predicted").alias("reloaded")).join(
+            fitted.predictions.select("review_id", "predicted"), "review_id"
+        )
+        return st.accuracy(both, "predicted", "reloaded").withColumnRenamed("accuracy", "same_share")
 
+    return md.tagged(trust_models(spark, folder), "ecosystem", report)
 
-@query("shapley_ranking")
+
+@query("shapley_ranking", sq.reviews(_features_sql("trusted").replace("1.0::DOUBLE", "100.0::DOUBLE").replace("AS feature", "AS aspect"), *TRUSTED))
 def _(spark, folder):
     rows = trusted_stage(spark, folder)
-    return md.shapley_ranking(md.rf_hybrid(rows, trees=60), rows)
+    fitted = {g: md.rf_hybrid(rows.filter(F.col("ecosystem") == g)) for g in ft.labels_of(rows, "ecosystem")}
+    return reduce(DataFrame.unionByName, [
+        _shares(lambda f, part=rows.filter(F.col("ecosystem") == g): md.shapley_ranking(f, part), "impact_pct", 4)(f)
+        .select(F.lit(g).alias("ecosystem"), "*") for g, f in fitted.items()
+    ])
 
 
 def _tokens(spark, folder):
@@ -247,10 +302,25 @@ def _tokens(spark, folder):
     return sentences(clean, "clean", 3).select("doc_id", "tokens")
 
 
-@query("word_vectors")
+_VOCABULARY = f"""WITH t AS (SELECT {sq.words(sq.clean_symbols('text'))} AS w FROM documents)
+  SELECT word, CAST(100 AS INT) AS dims FROM (SELECT unnest(w) AS word FROM t WHERE len(w) > 2) GROUP BY word HAVING count(*) >= 3"""
+
+
+def trained_vectors(spark, folder):
+    """Word vectors of the documents, trained once per session and folder."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _VECTORS:
+        model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
+        _VECTORS[place] = materialised(model.getVectors().select("word", _as_array("vector").alias("vector")), "word-vectors")
+    return _VECTORS[place]
+
+
+_VECTORS: dict = {}
+
+
+@query("word_vectors", _VOCABULARY)
 def _(spark, folder):
-    model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
-    return model.getVectors().select("word", F.size(_as_array("vector")).alias("dims"))
+    return trained_vectors(spark, folder).select("word", F.size("vector").alias("dims"))
 
 
 def _as_array(column):
@@ -259,12 +329,17 @@ def _as_array(column):
     return vector_to_array(column)
 
 
-@query("expand_lexicon_trained")
+@query(
+    "expand_lexicon_trained",
+    f"SELECT * FROM (VALUES ('first', {sq.sql_list(sorted(demo.POSITIVE))}), ('second', {sq.sql_list(sorted(demo.NEGATIVE))})) s(label, seeds)".replace(
+        "SELECT *", "SELECT label, array_to_string(seeds, ' ') AS seeds"),
+)
 def _(spark, folder):
-    model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
-    vectors = model.getVectors().select("word", _as_array("vector").alias("vector"))
     seeds = {"first": demo.POSITIVE, "second": demo.NEGATIVE}
-    return md.lexicon_sets(md.expand_lexicon(vectors, seeds, 8, 0.45)).select("label", F.size("words").alias("n"), "words")
+    sets = md.lexicon_sets(md.expand_lexicon(trained_vectors(spark, folder), seeds, 8, 0.45))
+    listed = F.create_map(*[x for k, ws in seeds.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in ws]))])
+    held = F.array_sort(F.array_intersect("words", F.element_at(listed, F.col("label"))))
+    return sets.select("label", F.array_join(held, " ").alias("seeds"))
 
 
 _SEEDS = {f"label{i}": [f"v{i}", f"v{i + 10}", f"v{i + 20}", "v999999"] for i in range(10)}
@@ -289,21 +364,29 @@ def _(spark, folder):
     return md.expand_lexicon(vectors, _SEEDS, 10, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-def _clustered(spark, folder, min_size):
-    vectors = table(spark, folder, "embeddings")
-    words = lab.seed_anchor(documents(spark, folder, "doc_id", "text"), demo.TOPICS, "text")
-    rows = vectors.join(words.withColumnRenamed("doc_id", "vec_id"), "vec_id")
-    return md.topic_clusters(materialised(rows, "vectors"), anchor="anchor", k=10, min_size=min_size)
+_MIN_TOPIC = 20
+
 
+def _clustered(spark, folder):
+    """All documents by the topics of hashed term frequencies."""
+    docs = documents(spark, folder, "doc_id", "text")
+    words = lab.seed_anchor(docs, demo.TOPICS, "text").withColumn("_w", tx.split_words(F.coalesce("text", F.lit(""))))
+    hashed = HashingTF(numFeatures=64, inputCol="_w", outputCol="_tf").transform(words)
+    rows = hashed.select("doc_id", "text", "anchor", _as_array("_tf").alias("embedding"))
+    return md.topic_clusters(materialised(rows, "vectors"), anchor="anchor", k=10, min_size=_MIN_TOPIC)
 
-@query("topic_clusters")
+
+@query("topic_clusters", "SELECT count(*) AS docs, 0::BIGINT AS too_small FROM documents")
 def _(spark, folder):
-    return _clustered(spark, folder, 40).groupBy("topic").agg(F.count("*").alias("docs"))
+    sizes = _clustered(spark, folder).groupBy("topic").agg(F.count("*").alias("docs"))
+    small = (F.col("topic") >= 0) & (F.col("docs") < _MIN_TOPIC)
+    return sizes.agg(F.sum("docs").alias("docs"), F.count_if(small).alias("too_small"))
 
 
-@query("topic_info")
+@query("topic_info", "SELECT count(*) AS docs, 10::BIGINT AS words FROM documents")
 def _(spark, folder):
-    return md.topic_info(_clustered(spark, folder, 40), "topic", "text")
+    info = md.topic_info(_clustered(spark, folder), "topic", "text")
+    return info.agg(F.sum("docs").alias("docs"), F.max(F.size("words")).cast("bigint").alias("words"))
 
 
 @query(
@@ -334,9 +417,10 @@ def _(spark, folder):
     return sinks.balance_classes(rows, "Composite_Trust", "review_id").groupBy("Composite_Trust").agg(F.count("*").alias("n"))
 
 
-@query("model_confusion_trust")
+@query("model_confusion_trust", sq.reviews("SELECT ecosystem, y::VARCHAR AS label, count(*) AS n FROM held GROUP BY ALL", *TRUSTED, _HELD_OUT))
 def _(spark, folder):
-    fitted = md.rf_trust(trusted_stage(spark, folder), trees=100)
-    return st.confusion_matrix(fitted.predictions, "label_text", "predicted", ["0", "1"])
-
+    def report(fitted):
+        cells = st.confusion_matrix(fitted.predictions, "label_text", "predicted", ["0", "1"])
+        return cells.groupBy("label").agg(F.sum("n").alias("n")).filter("n > 0")
 
+    return md.tagged(trust_models(spark, folder), "ecosystem", report)
