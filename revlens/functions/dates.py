@@ -37,13 +37,30 @@ def _is_jalali_year(part: Column) -> Column:
 
 
 def parse_general(text: Column) -> Column:
-    """ISO dates and timestamps, and the slash forms year first or month first; null when unreadable.
+    """ISO dates and timestamps, slash forms year first or month first, and month names; null when unreadable.
 
     Slash forms are rewritten to the ISO form: a cast that fails gives null without the cost of a parser error.
     """
     iso = F.when(F.contains(text, F.lit("/")), F.translate(text, "/", "-")).otherwise(text)
     month_first = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})\b.*$", "$3-$1-$2")
-    return F.when(F.rlike(text, F.lit(r"^\d{1,2}/")), month_first.try_cast("date")).otherwise(iso.try_cast("date"))
+    return (
+        F.when(F.rlike(text, F.lit(r"^\d{1,2}/")), month_first.try_cast("date"))
+        .when(F.rlike(text, F.lit("(?i)[a-z]{3}")), _named_month(text))
+        .otherwise(iso.try_cast("date"))
+    )
+
+
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _named_month(text: Column) -> Column:
+    """``Apr 5, 2026``, ``5 April 2026`` and the like: a month name, a day of one or two digits and a year of four."""
+    name = F.lower(F.regexp_extract(text, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", 1))
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
+    day = F.regexp_extract(text, r"\b(\d{1,2})(?:st|nd|rd|th)?\b", 1)
+    year = F.regexp_extract(text, r"\b(\d{4})\b", 1)
+    iso = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    return F.when((month > 0) & (day != "") & (year != ""), iso.try_cast("date"))
 
 
 def unify_date(text: Column) -> Column:

@@ -6,6 +6,7 @@ short classes of the JVM's regex engine only know ASCII.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -87,8 +88,22 @@ def _lemmatised(tokens: Column, stopwords: list[str], lemmas: dict[str, str]) ->
     kept = F.filter(tokens, lambda t: ~t.isin(stopwords))
     if not lemmas:
         return kept
-    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
-    return F.transform(kept, lambda t: F.substring_index(F.coalesce(F.try_element_at(table, t), t), "#", 1))
+    return F.transform(kept, lambda t: F.substring_index(F.coalesce(lookup(lemmas, t), t), "#", 1))
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a key, null if there is none.
+
+    Spark searches a map entry by entry, so the table is dealt by checksum to maps of a few entries each; its size then
+    does not matter.
+    """
+    parts = max(1, len(table) // 4)
+    dealt: list[dict[str, str]] = [{} for _ in range(parts)]
+    for k, v in table.items():
+        dealt[zlib.crc32(k.encode()) % parts][k] = v
+    maps = [F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) if d else F.create_map().cast("map<string,string>")
+            for d in dealt]
+    return F.try_element_at(F.element_at(F.array(*maps), (F.crc32(key) % parts + 1).cast("int")), key)
 
 
 def clean_fa(text: Column, stopwords: list[str] | None = None, lemmas: dict[str, str] | None = None) -> Column:

@@ -312,13 +312,14 @@ def topic_clusters(
 
 def topic_words(df: DataFrame, topic: str, text: str, top: int = 10) -> DataFrame:
     """Best words per topic by class-based TF-IDF: tf x ln(1 + mean topic length / corpus frequency)."""
-    rows = df.select(F.col(topic).alias("topic"), tx.split_words(F.col(text)).alias("words"))
-    lengths = rows.groupBy("topic").agg(F.sum(F.size("words")).alias("n"))
-    mean = lengths.agg(F.avg("n").alias("mean")).first().mean or 0.0
-    tf = rows.select("topic", F.explode("words").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("tf"))
+    rows = df.select(F.col(topic).alias("topic"), F.explode_outer(tx.split_words(F.col(text))).alias("word"))
+    counted = rows.groupBy("topic", "word").agg(F.count("word").alias("tf"))
+    tf = counted.filter(F.col("word").isNotNull())
+    mean = counted.groupBy("topic").agg(F.sum("tf").alias("n")).agg(F.avg("n").alias("mean"))  # one row
     # Counted words only: a word has at most one row per topic here.
     corpus = F.sum("tf").over(Window.partitionBy("word"))
-    scored = tf.select("topic", "word", "tf", (F.col("tf") * F.log(1 + F.lit(mean) / corpus)).alias("weight"))
+    scored = tf.withColumn("_corpus", corpus).join(F.broadcast(mean)).select(
+        "topic", "word", "tf", (F.col("tf") * F.log(1 + F.col("mean") / F.col("_corpus"))).alias("weight"))
     window = Window.partitionBy("topic").orderBy(F.round("weight", 9).desc(), "word")
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top)
 

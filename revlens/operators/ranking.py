@@ -48,14 +48,20 @@ def _hash_key(key: str, seed) -> Column:
     return F.md5(text if seed is None else F.concat_ws(":", text, F.lit(str(seed))))
 
 
-def class_cuts(df: DataFrame, label: str | None, key: str, percents: list[int], seed=None, digits: int = 4) -> DataFrame:
+def _class(label: str | list[str] | None) -> Column:
+    if label is None:
+        return F.lit(0)
+    return F.col(label) if isinstance(label, str) else F.struct(*label)
+
+
+def class_cuts(df: DataFrame, label: str | list[str] | None, key: str, percents: list[int], seed=None, digits: int = 4) -> DataFrame:
     """Per class, the hash of the last row within each cumulative percentage of the class.
 
     Ranks by hash are not taken over whole classes: a histogram over hash prefixes, summed before the shuffle,
     finds the one prefix in which each cut falls, and only rows with such a prefix are ranked.
     """
     base = df.select(
-        (F.col(label) if label else F.lit(0)).alias("_class"), _hash_key(key, seed).alias("_hash")
+        _class(label).alias("_class"), _hash_key(key, seed).alias("_hash")
     ).withColumn("_prefix", F.substring("_hash", 1, digits))
     running = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     histogram = (
@@ -89,10 +95,11 @@ def class_cuts(df: DataFrame, label: str | None, key: str, percents: list[int],
 
 
 def hash_split(
-    df: DataFrame, key: str, parts: list[tuple[str, int]], label: str | None = None, seed=None, out: str = "part",
+    df: DataFrame, key: str, parts: list[tuple[str, int]], label: str | list[str] | None = None, seed=None, out: str = "part",
     digits: int = 4,
 ) -> DataFrame:
-    """Split rows into named parts with exact shares, per class if ``label`` is given.
+    """Split rows into named parts with exact shares, per class if ``label`` is given; a list, such as the file and the
+    score, makes a class of each combination. Rows without a label are dropped.
 
     ``parts`` lists names with percentages that add up to 100. The last pass over the full rows needs no shuffle:
     a row's part follows from its own hash and its class's cut hashes.
@@ -103,9 +110,9 @@ def hash_split(
         percents.append(total)
     if total + parts[-1][1] != 100:
         raise ValueError("shares must add up to 100")
-    rows = df if label is None else df.filter(F.col(label).isNotNull())
+    rows = df if label is None else df.dropna(subset=[label] if isinstance(label, str) else label)
     cuts = class_cuts(rows, label, key, percents, seed, digits)
-    rows = rows.withColumn("_class", F.col(label) if label else F.lit(0)).withColumn("_hash", _hash_key(key, seed))
+    rows = rows.withColumn("_class", _class(label)).withColumn("_hash", _hash_key(key, seed))
     joined = rows.join(cuts, ["_class"], "left")
     chain = None
     for i, (name, _) in enumerate(parts[:-1]):

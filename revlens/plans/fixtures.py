@@ -15,19 +15,19 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return docs.select(*columns) if columns else docs
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and labels in the shape of reviews."""
-    d, l = documents(spark, folder, "doc_id", "text", "lang", "source"), table(spark, folder, "labels")
-    joined = d.join(l, "doc_id", "left")
+def reviews(spark: SparkSession, folder: str, scored: bool = True) -> DataFrame:
+    """Documents and labels in the shape of reviews; without ``scored`` there is no score, and no join moves the texts."""
+    d = documents(spark, folder, "doc_id", "text", "lang", "source")
+    joined = d.join(table(spark, folder, "labels"), "doc_id", "left") if scored else d
     n = F.col("doc_id")
     score = (
         F.when(F.col("quality") == 1, 4 + n % 2).when(F.col("quality") == 0, 1 + n % 3).otherwise(1 + n % 5).cast("int")
-    )
+    ) if scored else None
     return joined.select(
         F.concat(F.lit("r"), n.cast("string")).alias("review_id"),
         F.concat(F.lit("u"), (n % 97).cast("string")).alias("user_name"),
         F.col("text").alias("content"),
-        score.alias("score"),
+        *([score.alias("score")] if scored else []),
         F.date_add(F.lit("2025-10-01").cast("date"), (n % 270).cast("int")).alias("date"),
         F.when(n % 11 == 0, "Unknown").otherwise(
             F.concat((n % 4).cast("string"), F.lit("."), (n % 3).cast("string"), F.lit(".7"))

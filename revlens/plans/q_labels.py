@@ -32,8 +32,8 @@ TRUSTED_CTE = f"""trusted AS (SELECT * FROM labelled WHERE "Final_Aspect" <> '{l
 TRUSTED = (*CHAIN, TRUSTED_CTE)
 
 
-def labelled(spark, folder):
-    return label_reviews(reviews(spark, folder), **LISTS)
+def labelled(spark, folder, **steps):
+    return label_reviews(reviews(spark, folder), **LISTS, **steps)
 
 
 def trusted(spark, folder):
@@ -54,7 +54,7 @@ def _(spark, folder):
 
 @query("aspect_lexicon", sq.reviews('SELECT review_id, "Final_Aspect" FROM counted', CLEAN_CTE, COUNTED_CTE))
 def _(spark, folder):
-    clean = lab.with_final_clean(reviews(spark, folder))
+    clean = lab.with_final_clean(reviews(spark, folder, scored=False))
     return lab.aspect_lexicon(clean, lexicon=demo.ASPECTS).select("review_id", "Final_Aspect")
 
 
@@ -63,7 +63,7 @@ def _(spark, folder):
     sq.reviews(f"""SELECT review_id, "Final_Aspect" FROM counted WHERE "Final_Aspect" <> '{lx.NOISE}'""", CLEAN_CTE, COUNTED_CTE),
 )
 def _(spark, folder):
-    clean = lab.with_final_clean(reviews(spark, folder))
+    clean = lab.with_final_clean(reviews(spark, folder, scored=False))
     return lab.drop_noise(lab.aspect_lexicon(clean, lexicon=demo.ASPECTS)).select("review_id", "Final_Aspect")
 
 
@@ -135,7 +135,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return lab.contradiction_report(labelled(spark, folder))
+    return lab.contradiction_report(labelled(spark, folder, aspects=False))
 
 
 @query(

@@ -35,6 +35,18 @@ def _(spark, folder):
     return rk.hash_split(rows, "o_orderkey", [("train", 70), ("val", 15), ("test", 15)], "o_orderpriority")
 
 
+@query(
+    "stratified_split_per_file",
+    """SELECT o_orderkey, o_orderstatus, o_orderpriority,
+       CASE WHEN r * 100 <= 70 * n THEN 'train' WHEN r * 100 <= 85 * n THEN 'val' ELSE 'test' END AS part
+       FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS r,
+             count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS n FROM orders)""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return rk.hash_split(rows, "o_orderkey", [("train", 70), ("val", 15), ("test", 15)], ["o_orderstatus", "o_orderpriority"])
+
+
 @query(
     "train_test_80_20",
     """SELECT o_orderkey, o_orderstatus, CASE WHEN r * 100 <= 80 * n THEN 'train' ELSE 'test' END AS part
@@ -413,7 +425,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = labelled(spark, folder).select("review_id", "Composite_Trust")
+    rows = labelled(spark, folder, aspects=False).select("review_id", "Composite_Trust")
     return sinks.balance_classes(rows, "Composite_Trust", "review_id").groupBy("Composite_Trust").agg(F.count("*").alias("n"))
 
 

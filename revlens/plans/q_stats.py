@@ -149,7 +149,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return st.aspect_freq_pct(labelled(spark, folder), "src3")
+    return st.aspect_freq_pct(labelled(spark, folder, trust=False), "src3")
 
 
 @query(
@@ -159,7 +159,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return st.ecosystem_totals(reviews(spark, folder))
+    return st.ecosystem_totals(reviews(spark, folder, scored=False))
 
 
 @query(

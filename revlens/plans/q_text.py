@@ -116,12 +116,12 @@ def _generic_sql(column: str) -> str:
 @query("is_generic_or_short", sq.reviews(f"SELECT review_id, {_generic_sql('content')} AS is_generic FROM reviews"))
 def _(spark, folder):
     flag = tx.is_generic_or_short(F.col("content"), demo.FILLER)
-    return reviews(spark, folder).select("review_id", flag.alias("is_generic"))
+    return reviews(spark, folder, scored=False).select("review_id", flag.alias("is_generic"))
 
 
 @query("deep_filter", sq.reviews(f"SELECT review_id, app_label, content FROM reviews WHERE NOT {_generic_sql('content')}"))
 def _(spark, folder):
-    return fl.deep_filter(reviews(spark, folder), filler=demo.FILLER).select("review_id", "app_label", "content")
+    return fl.deep_filter(reviews(spark, folder, scored=False), filler=demo.FILLER).select("review_id", "app_label", "content")
 
 
 @query("word_count", f"SELECT conv_id, turn, CAST(len({sq.words('text')}) AS BIGINT) AS words FROM conversations")
@@ -140,7 +140,7 @@ def flag_sql(column: str, lang: str) -> str:
 @query("flag_keywords", sq.reviews(f"SELECT review_id, lang, {flag_sql('content', 'lang')} AS flagged FROM reviews"))
 def _(spark, folder):
     flag = tx.flag_keywords(F.col("content"), F.col("lang"), demo.FLAGS)
-    return reviews(spark, folder).select("review_id", "lang", flag.alias("flagged"))
+    return reviews(spark, folder, scored=False).select("review_id", "lang", flag.alias("flagged"))
 
 
 def category_sql(column: str, lang: str, name: str) -> str:
@@ -163,7 +163,7 @@ def category_sql(column: str, lang: str, name: str) -> str:
 )
 def _(spark, folder):
     flags = tx.category_flags(F.col("content"), F.col("lang"), demo.CATEGORIES, "en")
-    return evaluate_once(reviews(spark, folder), flags=flags).select("review_id", "flags.*")
+    return evaluate_once(reviews(spark, folder, scored=False), flags=flags).select("review_id", "flags.*")
 
 
 @query(
@@ -251,7 +251,7 @@ def _(spark, folder):
     sq.reviews("SELECT review_id, date FROM reviews WHERE date BETWEEN DATE '2025-11-15' AND DATE '2026-05-31'"),
 )
 def _(spark, folder):
-    return fl.date_range(reviews(spark, folder), "date", "2025-11-15", "2026-05-31").select("review_id", "date")
+    return fl.date_range(reviews(spark, folder, scored=False), "date", "2025-11-15", "2026-05-31").select("review_id", "date")
 
 
 @query(
@@ -276,4 +276,4 @@ def _(spark, folder):
 
 @query("non_empty_comment", sq.reviews(f"SELECT review_id, trim(content) AS content FROM reviews WHERE regexp_matches(content, '[^{S}]')"))
 def _(spark, folder):
-    return fl.non_empty_comment(reviews(spark, folder)).select("review_id", "content")
+    return fl.non_empty_comment(reviews(spark, folder, scored=False)).select("review_id", "content")

@@ -24,6 +24,9 @@ CLUSTER_SETTINGS = {
 }
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def build_session(master: str | None = None, app: str = "revlens", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -43,9 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="revlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    local = tempfile.TemporaryDirectory(prefix="revlens-")  # goes when the process ends
+    _LOCAL.append(local)
+    spark.conf.set("spark.checkpoint.dir", local.name)
+    return local.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

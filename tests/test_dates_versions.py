@@ -78,3 +78,9 @@ def test_versions(one):
 def test_version_parts_order(spark):
     df = spark.createDataFrame([("1.10",), ("1.9",)], "x string")
     assert [r.x for r in df.orderBy(vr.version_parts(F.col("x"))).collect()] == ["1.9", "1.10"]
+
+
+def test_month_names(one):
+    texts = ["Apr 5, 2026", "5 April 2026", "December 31st, 2025", "2 sept 2025", "nothing 2025", "31 Feb 2025", "Mon, 6 Oct 2025 10:11:12"]
+    got = [None if x is None else x.isoformat() for x in one(texts, lambda d: dt.unify_date(F.col("x")))]
+    assert got == ["2026-04-05", "2026-04-05", "2025-12-31", "2025-09-02", None, None, "2025-10-06"]

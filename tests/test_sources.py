@@ -149,3 +149,17 @@ def test_balance_classes(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") < 1800, 1).otherwise(0).alias("c"))
     counts = {r.c: r["count"] for r in sinks.balance_classes(df, "c", "id").groupBy("c").count().collect()}
     assert counts[0] == 200 and 140 < counts[1] < 260
+
+
+def test_survey_notes_go_in_every_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("q1,q2\nnote,1\nnote,2\n5,x\n6,y\n")
+    out = survey.read_survey(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [("5", "x"), ("5", "x"), ("6", "y"), ("6", "y")]
+    assert out.columns == ["q1", "q2"]
+
+
+def test_block_of_one_item_has_no_alpha(spark):
+    out = st.cronbach_alpha(spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (3.0, 5.0)], "a double, b double"), {"x": ["a"], "y": ["a", "b"]})
+    one_, two = out.orderBy("block").collect()
+    assert (one_.alpha, one_.status) == (None, "no data") and two.alpha > 0.9

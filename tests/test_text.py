@@ -193,3 +193,14 @@ def test_noise_filter_does_not_repeat_the_labelling(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     # One keyword test for the long and one for the short words of an aspect, and not again in the filter.
     assert plan.count("exists(") <= 2 * len(lx.ASPECT_LEXICON)
+
+
+def test_filler_words_are_no_patterns(one):
+    texts = ["cx cy cz", "c. c. c.", "c++ c++ c.", "c c c"]
+    assert one(texts, lambda d: tx.is_generic_or_short(F.col("x"), ["c.", "c++"])) == [False, True, True, False]
+
+
+def test_large_lemma_table(one):
+    table = {f"word{i}": f"lemma{i}" for i in range(3000)} | {"خوب": "نیک"}
+    assert one(["word7 word2999 other", "خوب"], lambda d: tx.clean_en(F.col("x"), [], table))[0] == "lemma7 lemma2999 other"
+    assert one(["word12", "خوب", "none"], lambda d: tx.lookup(table, F.col("x"))) == ["lemma12", "نیک", None]
