@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from revlens.llm import pretokens
-from revlens.llm.common import Kept, col, map_texts, tokenizer_file
+from revlens.llm.common import col, documents, map_texts, tokenizer_file
 
 END = "</w>"
 START = 65535  # stands before the first token
@@ -143,33 +143,16 @@ def held(kind: str, path: str, make):
     return _HELD[kind, path]
 
 
-class Codec:
-    """Encodes and decodes lists of texts; holds the encodings of recent chunks."""
+class Codec(pretokens.ChunkEncoder):
+    """Encodes lists of texts to 2-byte ids and decodes ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)  # only its splitter, for chunks with rare characters
         self.trie = TrieEncoder(path)
-        self.known = Kept()
-        self.names = np.array([self.trie.merges.names.get(i, "") for i in range(max(self.trie.merges.names) + 1)], object)
-        for text, number in pretokens.SPECIAL.items():
-            self.known.young[pretokens.MARK + text] = number.to_bytes(2, "little")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, 2 bytes each, little-endian."""
-        cut = [pretokens.chunks(t, self.library) for t in texts]
-        self.known.turn()
-        known = self.known.young
-        for text, number in pretokens.SPECIAL.items():
-            known[pretokens.MARK + text] = number.to_bytes(2, "little")
-        new = {c: pretokens.words(c, self.library) for c in self.known.missing(set().union(*cut))}
-        spelled = {w: pretokens.spelled(w) for w in set().union(*new.values())}
-        order = sorted(set(spelled.values()))
-        codes = dict(zip(order, self.trie.encode_sorted(order), strict=True))
-        for chunk, parts in new.items():
-            known[chunk] = b"".join([codes[spelled[w]] for w in parts])
-        return [b"".join([known[c] for c in parts]) for parts in cut]
+        super().__init__(Tokenizer.from_file(path), self.trie.encode_sorted)  # the library only splits rare characters
+        names = self.trie.merges.names
+        self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
 
     def decode(self, ids: bytes) -> str:
         """As the library does without a decoder in the file: the tokens' own strings, with a space between them."""
@@ -215,12 +198,7 @@ def encode_decode(docs: DataFrame, text: str, tokenizer: str, ids: str | None =
 
 
 def op3_bpe_trie(spark, folder):
-    from revlens.llm.common import documents
-
     docs = documents(spark, folder).select(col("doc_id"), col("text"))
     out = encode_decode(docs, "text", tokenizer_file("word_bpe_49k.json"),
                         digests=("n_tokens", "ids_sha256", "decoded_sha256"))
     return out.drop("text")
-
-
-__all__ = ["Codec", "Merges", "TrieEncoder", "encode_decode", "op3_bpe_trie"]

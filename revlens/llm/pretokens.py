@@ -12,6 +12,8 @@ import unicodedata
 
 import regex
 
+from revlens.llm.common import Kept
+
 #: Unicode White_Space, which is what the file's ``\\s`` means; ``str.split`` alone would also cut at \\x1c-\\x1f.
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -78,3 +80,28 @@ def spelled(word: str) -> str:
 
 def unbyte(word: str) -> str:
     return bytes(BYTES[c] for c in word).decode()
+
+
+class ChunkEncoder:
+    """Ids of whole texts from the encodings of distinct words; recent chunks are remembered.
+
+    ``encode_words`` takes distinct words in byte letters, sorted, and gives the ids of each, ``width`` bytes an id.
+    """
+
+    def __init__(self, library, encode_words, width: int = 2):
+        self.library, self.encode_words = library, encode_words
+        self.special = {MARK + text: number.to_bytes(width, "little") for text, number in SPECIAL.items()}
+        self.known = Kept()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [chunks(t, self.library) for t in texts]
+        self.known.turn()
+        known = self.known.young
+        known.update(self.special)
+        new = {c: words(c, self.library) for c in self.known.missing(set().union(*cut))}
+        spellings = {w: spelled(w) for w in set().union(*new.values())}
+        order = sorted(set(spellings.values()))
+        codes = dict(zip(order, self.encode_words(order), strict=True))
+        for chunk, parts in new.items():
+            known[chunk] = b"".join([codes[spellings[w]] for w in parts])
+        return [b"".join([known[c] for c in parts]) for parts in cut]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm import pretokens
 from revlens.llm.bpe_trie import held
-from revlens.llm.common import Kept, col, documents, shuffle_partitions, text_slices, tokenizer_file
+from revlens.llm.common import col, documents, shuffle_partitions, text_slices, tokenizer_file
 from revlens.llm.ordered import in_order
 from revlens.session import scratch_path
 
@@ -115,31 +115,17 @@ class TokenBlock:
         return self.ids[start:end]
 
 
-class LibraryEncoder:
-    """Ids by the tokenizers library, called once per distinct chunk between white space.
-
-    For files whose splitter never looks across white space (see ``pretokens``).
-    """
+class LibraryEncoder(pretokens.ChunkEncoder):
+    """Ids by the tokenizers library's model, called once per distinct word (see ``pretokens`` for why that is enough)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "H" if self.id_bytes == 2 else "I"
-        self.known = Kept()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [() if not t else t.split() if not pretokens.SEPARATORS.search(t) else [x for x in pretokens.WHITE.split(t) if x]
-               for t in texts]
-        self.known.turn()
-        new = self.known.missing(set().union(*cut))
-        known = self.known.young
-        for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = array(self.kind, e.ids).tobytes()
-        return [b"".join([known[c] for c in parts]) for parts in cut]
+        library = Tokenizer.from_file(path)
+        self.id_bytes = 2 if library.get_vocab_size() <= 1 << 16 else 4
+        kind, model = "H" if self.id_bytes == 2 else "I", library.model
+        super().__init__(library, lambda order: (array(kind, [t.id for t in model.tokenize(w)]).tobytes() for w in order),
+                         self.id_bytes)
 
 
 BLOCK_SCHEMA = ("shard int, block int, shard_start bigint, n_docs bigint, n_ids bigint, id_bytes int, first_id bigint, "
@@ -193,8 +179,9 @@ def read_token_blocks(spark, path: str) -> DataFrame:
     """Blocks with ``start``, the number of ids before each."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("before"))  # a row per shard
-    return blocks.join(before, "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
+    before = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("before"))
+    # a row per shard, of which there are as many as write partitions
+    return blocks.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
 def index_documents(blocks: DataFrame, checksums: bool = True) -> DataFrame:
