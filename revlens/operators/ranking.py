@@ -102,7 +102,8 @@ def hash_split(
     score, makes a class of each combination. Rows without a label are dropped.
 
     ``parts`` lists names with percentages that add up to 100. The last pass over the full rows needs no shuffle:
-    a row's part follows from its own hash and its class's cut hashes.
+    a row's part follows from its own hash and its class's cut hashes. There is one row of cuts per class; classes are
+    few, as the labels of a model or its files and labels are.
     """
     percents, total = [], 0
     for _, share in parts[:-1]:
@@ -113,7 +114,7 @@ def hash_split(
     rows = df if label is None else df.dropna(subset=[label] if isinstance(label, str) else label)
     cuts = class_cuts(rows, label, key, percents, seed, digits)
     rows = rows.withColumn("_class", _class(label)).withColumn("_hash", _hash_key(key, seed))
-    joined = rows.join(cuts, ["_class"], "left")
+    joined = rows.join(F.broadcast(cuts), ["_class"], "left")  # one row per class
     chain = None
     for i, (name, _) in enumerate(parts[:-1]):
         test = F.col("_hash") <= F.col(f"_cut{i}")

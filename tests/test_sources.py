@@ -94,8 +94,8 @@ def test_report_and_lexicon_files(spark, tmp_path):
     assert len(list((tmp_path / "r").glob("part-*.csv"))) == 1
     (tmp_path / "lex.csv").write_text("priority,label,word\n2,B,x\n1,A,y\n1,A,z\n")
     assert src.read_lexicon(spark, str(tmp_path / "lex.csv")) == {"A": ["y", "z"], "B": ["x"]}
-    with pytest.raises(ValueError):
-        src.read_lexicon(spark, str(tmp_path / "lex.csv"), 2)
+    sinks.write_report(spark.range(10).repartition(3).selectExpr("id"), str(tmp_path / "many"), single_file=False)
+    assert len(list((tmp_path / "many").glob("part-*.csv"))) == 3
 
 
 def test_survey_by_position(spark, tmp_path):
