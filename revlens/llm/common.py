@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ def col(name: str) -> Column:
 
 def text_slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the Python copies of its texts stay small."""
-    sizes = pa.compute.utf8_length(batch.column(text_at)).fill_null(0).to_pylist()
+    sizes = pc.utf8_length(batch.column(text_at)).fill_null(0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if i > start and held + size > SLICE_CHARS:
@@ -80,8 +81,6 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
     arrow = to_arrow_schema(schema)
 
     def task(batches):
-        import pyarrow.compute  # noqa: F401
-
         work = make()
         for batch in batches:
             for part in text_slices(batch, at):

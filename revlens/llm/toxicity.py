@@ -182,7 +182,14 @@ def weigh(words: list[str], hits: list[tuple[int, int]]) -> list[float]:
         else:
             exact += weight
         weights.append((at, weight if not used else weight / 2))
-    most = max((sum(w for b, w in weights if a <= b < a + STRETCH) for a, _ in weights[:: max(1, len(weights) // 200)]), default=0.0)
+    most = held = 0.0
+    first = 0
+    for at, weight in weights:  # the heaviest stretch of STRETCH words
+        held += weight
+        while at - weights[first][0] >= STRETCH:
+            held -= weights[first][1]
+            first += 1
+        most = max(most, held)
     density = min(1.0, 20 * sum(w for _, w in weights) / max(len(words), 1))
     return [np.log1p(exact), np.log1p(near), np.log1p(quoted), density, np.log1p(most)]
 
