@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from revlens.llm import pretokens
-from revlens.llm.common import col, documents, map_texts, tokenizer_file
+from revlens.llm.common import col, documents, held, map_texts, tokenizer_file
 
 END = "</w>"
 START = 65535  # stands before the first token
@@ -89,7 +89,7 @@ class Merges:
 
 
 class TrieEncoder:
-    def __init__(self, path: str, memo_limit: int = 400_000):
+    def __init__(self, path: str, memo_limit: int = 200_000):
         self.merges, self.memo_limit = Merges(path), memo_limit
         m = self.merges
         self.id_bytes = {i: i.to_bytes(2, "little") for i in m.names}
@@ -133,16 +133,6 @@ class TrieEncoder:
             memo.clear()
 
 
-_HELD: dict = {}
-
-
-def held(kind: str, path: str, make):
-    """One instance per worker process and file: its caches outlive a task."""
-    if (kind, path) not in _HELD:
-        _HELD[kind, path] = make()
-    return _HELD[kind, path]
-
-
 class Codec(pretokens.ChunkEncoder):
     """Encodes lists of texts to 2-byte ids and decodes ids."""
 

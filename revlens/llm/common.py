@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +18,19 @@ from revlens.session import materialised
 #: Word separators of the contracts: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one Python call handles at a time; one longer document makes a slice of its own.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+
+
+#: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 rows would hold tens of megabytes in every task and
+#: worker, besides what the executor needs itself.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; results do not depend on it."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +87,7 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
     column in ``also``, to one sequence or Arrow array per field. All columns of ``df`` stay; ``fields`` must have new
     names.
     """
+    small_batches(df.sparkSession)
     at, more = df.columns.index(text), [df.columns.index(c) for c in also]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # mapInArrow looks columns up by name, dots or not
     new = T.StructType.fromDDL(", ".join(f"n{i} {kind}" for i, (_, kind) in enumerate(fields)))
@@ -81,7 +95,8 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Cal
     arrow = to_arrow_schema(schema)
 
     def task(batches):
-        work = make()
+        with held_by_this_task():
+            work = make()
         for batch in batches:
             for part in text_slices(batch, at):
                 made = work(part.column(at).to_pylist(), *(part.column(i).to_pylist() for i in more))
@@ -105,6 +120,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_HELD: dict = {}  # of a worker process
+
+
+def held(kind: str, path: str, make: Callable):
+    """An instance that outlives the task in its worker process, with what it remembers; there is one at a time."""
+    if (kind, path) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, path] = make()
+    _HELD["used"] = True
+    return _HELD[kind, path]
+
+
+@contextmanager
+def held_by_this_task():
+    """Let go of an earlier task's instance if the block does not ask for it."""
+    _HELD.pop("used", None)
+    yield
+    if "used" not in _HELD:
+        _HELD.clear()
+
+
 class Kept:
     """A dictionary of bounded size: the older half goes when the younger half is full."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import col, documents, fresh, map_texts, staged, text_slices
+from revlens.llm.common import col, documents, fresh, held_by_this_task, map_texts, staged, text_slices
 from revlens.llm.textstats import LATIN_END, base_counts, classified, code_points, mixed
 
 ORDER, BITS = 4, 5
@@ -87,7 +87,8 @@ def by_language(langs: list, texts: list) -> dict:
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, code, n) over all documents; each task sums its own texts first."""
     def task(batches):
-        sums: dict[str, np.ndarray] = {}
+        with held_by_this_task():
+            sums: dict[str, np.ndarray] = {}
 
         def flush():
             for name, counts in sums.items():

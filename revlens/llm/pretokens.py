@@ -88,10 +88,10 @@ class ChunkEncoder:
     ``encode_words`` takes distinct words in byte letters, sorted, and gives the ids of each, ``width`` bytes an id.
     """
 
-    def __init__(self, library, encode_words, width: int = 2):
+    def __init__(self, library, encode_words, width: int = 2, remembered: int = 150_000):
         self.library, self.encode_words = library, encode_words
         self.special = {MARK + text: number.to_bytes(width, "little") for text, number in SPECIAL.items()}
-        self.known = Kept()
+        self.known = Kept(remembered)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [chunks(t, self.library) for t in texts]

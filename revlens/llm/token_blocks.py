@@ -22,8 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlens.llm import pretokens
-from revlens.llm.bpe_trie import held
-from revlens.llm.common import col, documents, shuffle_partitions, text_slices, tokenizer_file
+from revlens.llm.common import col, documents, held, shuffle_partitions, text_slices, tokenizer_file
 from revlens.llm.ordered import in_order
 from revlens.session import scratch_path
 
@@ -125,7 +124,7 @@ class LibraryEncoder(pretokens.ChunkEncoder):
         self.id_bytes = 2 if library.get_vocab_size() <= 1 << 16 else 4
         kind, model = "H" if self.id_bytes == 2 else "I", library.model
         super().__init__(library, lambda order: (array(kind, [t.id for t in model.tokenize(w)]).tobytes() for w in order),
-                         self.id_bytes)
+                         self.id_bytes, remembered=300_000)
 
 
 BLOCK_SCHEMA = ("shard int, block int, shard_start bigint, n_docs bigint, n_ids bigint, id_bytes int, first_id bigint, "

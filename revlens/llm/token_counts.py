@@ -16,8 +16,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from revlens.llm.bpe_trie import held
-from revlens.llm.common import Kept, documents, map_texts, tokenizer_file
+from revlens.llm.common import Kept, documents, held, map_texts, tokenizer_file
 
 START = "▁"
 ZIPF_SHIFT = 2.7

@@ -146,7 +146,7 @@ def chunks(text: str | None) -> list[str]:
 
 class Matcher:
     def __init__(self, terms: list[str], stems: list[str], clean: frozenset[str] = frozenset()):
-        self.automaton, self.clean, self.known = TermAutomaton(terms, stems), clean, Kept()
+        self.automaton, self.clean, self.known = TermAutomaton(terms, stems), clean, Kept(100_000)
 
     def find(self, texts: list[str | None]) -> list[tuple[list[str], list[tuple[int, int]]]]:
         """Per text its chunks and the (place, edits) of those that match."""

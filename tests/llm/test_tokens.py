@@ -139,3 +139,16 @@ def test_unigram_counts_equal_plain_dynamic_programming(spark):
         assert (row["n_words"], row["n_tokens"]) == (len(words), sum(n for _, n in found))
         assert row["log_score"] == pytest.approx(sum(s for s, _ in found))
     assert count_tokens(plain(spark, []), "text", path).count() == 0
+
+
+def test_one_instance_outlives_a_task():
+    from revlens.llm import common
+
+    a = common.held("x", "p", lambda: object())
+    with common.held_by_this_task():
+        assert common.held("x", "p", lambda: object()) is a
+    with common.held_by_this_task():
+        pass
+    assert common.held("x", "p", lambda: object()) is not a
+    b = common.held("y", "p", lambda: object())
+    assert common.held("x", "p", lambda: object()) is not b and len([k for k in common._HELD if k != "used"]) == 1
