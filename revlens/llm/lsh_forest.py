@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import col, documents, fresh, map_texts, staged
+from revlens.llm.common import col, documents, fresh, map_texts, shuffle_partitions, small_batches, staged
 from revlens.llm.components import connected
 from revlens.llm.textstats import MIX, mixed
 
@@ -39,7 +39,7 @@ TREES, DEPTH, FLOOR = 16, 6, 4
 TARGET = 0.999
 VALUES = TREES * DEPTH
 LEAST_AGREEMENT = 0.64
-BLOCK_NODES = 1024
+BLOCK_NODES = 512
 FAMILY_NODES, FAMILY_BYTES = 512, 8_000_000
 COLUMNS = 4096  # shingles that a verification multiplies at a time
 
@@ -180,7 +180,7 @@ def in_blocks(members: DataFrame, group: list[str], blocks: Column) -> DataFrame
     members = members.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
     members = members.withColumn("lo", F.least("own", "_j")).withColumn("hi", F.greatest("own", "_j")).drop("_n", "_j")
     where = [F.col(c) for c in [*group, "lo", "hi"]]
-    return members.repartition(*where).sortWithinPartitions(*where, "s")
+    return members.repartition(shuffle_partitions(members.sparkSession), *where).sortWithinPartitions(*where, "s")
 
 
 def candidate_edges(active: DataFrame, depth: int) -> DataFrame:
@@ -317,6 +317,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``s``: key of the shingle set (null without words); ``first_id``: the least id with this set; ``class_key``: the least
     set key of the class's least id; ``n_links``: other rows that are as alike as 0.8, copies included.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(col(key).alias("id"), col(text).alias("t"))
     rows = staged(with_sets(rows, "t", "s", "size", "sig").drop("t"), "signatures")
     nodes = rows.filter("s IS NOT NULL").groupBy("s").agg(
