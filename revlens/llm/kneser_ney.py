@@ -1,12 +1,15 @@
-"""Quality rules with a character n-gram model: modified Kneser-Ney, counted by Spark over all documents.
+"""Quality rules with character and word n-grams: modified Kneser-Ney, counted by Spark over all documents.
 
-Characters fold to 32 classes (a-z without case and accents, digits, stops, other symbols, other letters, white space),
+Word order and vocabulary are judged by word bigrams, whose tables grow with the corpus (``word_grams``). The character
+model tells spelling: characters fold to 32 classes (a-z without case and accents, digits, stops, other symbols, other
+letters, white space),
 so an n-gram of order 4 is a 20-bit code and a language's table has at most 2^20 entries, whatever the corpus. Counts are
 summed by Spark per language and code. The model keeps the probability of every seen n-gram and the back-off weight of
 every context in arrays sorted by a 64-bit hash, and looks them up by binary search.
 
 A document is judged by its mean log probability per character against its language's band: the median of the documents
-that pass the base rules, less ``HIGH`` or plus ``LOW`` robust deviations, wider for short texts. Languages beyond the
+that pass the base rules, less ``HIGH`` or plus ``LOW`` robust deviations, wider for short texts. Its mean log probability
+per word must not be further than ``WORDS`` deviations below the language's median. Languages beyond the
 ``MAX_LANGUAGES`` largest share one model and one band, as do null languages.
 
 Null and empty texts have no words, so they fail the base rules. Rows are independent once the model stands: repeated rows
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.common import col, documents, fresh, held_by_this_task, map_texts, staged, text_slices
 from revlens.llm.textstats import LATIN_END, base_counts, classified, code_points, mixed
+from revlens.llm.word_grams import WordModel
 
 ORDER, BITS = 4, 5
 CODES = 1 << ORDER * BITS
@@ -35,6 +39,8 @@ OTHERS = "*"
 #: Robust deviations to the limits of perplexity. Above: far beyond texts of mixed languages, which are clean. Below: text
 #: that is easier to guess than any prose.
 HIGH, LOW = 20.0, 4.0
+#: Robust deviations to the limit of the words. Only below: copies and common phrases are easy to guess.
+WORDS = 3.5
 SHORT_CHARS = 400.0  # a text of this length has a band wider by the square root of 2
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -255,19 +261,34 @@ def bands(scored: DataFrame, group, mean: str, failed) -> dict[str, tuple[float,
     return {r["g"]: (r["m"], max(1.4826 * r["d"], 0.005)) for r in spread.collect()}
 
 
+def unlikely_words(scored: DataFrame, words: WordModel, key: str, names: list[str], group: str, chars: str, failed) -> DataFrame:
+    """(id) of the rows whose words are further below their language's middle than WORDS deviations."""
+    means = words.means(scored, key, names)
+    rows = means.join(scored.select(col(key).alias("i"), col(group).alias("g"), col(chars).alias("size"), failed.alias("bad")), F.col("id") == F.col("i"))
+    rows = staged(rows.filter("x IS NOT NULL").select("id", "g", "size", "bad", "x"), "word-means")
+    mid = rows.filter("NOT bad").groupBy("g").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")).withColumnRenamed("g", "l")
+    known = rows.join(mid, F.col("g") == F.col("l"))
+    spread = known.filter("NOT bad").groupBy("l").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("d"))
+    limits = known.join(spread.withColumnRenamed("l", "e"), F.col("l") == F.col("e"))
+    unit = F.greatest(1.4826 * F.col("d"), F.lit(0.005)) * F.sqrt(1 + SHORT_CHARS / F.greatest("size", F.lit(1)))
+    return staged(limits.filter(F.col("x") < F.col("m") - WORDS * unit).select("id"), "unlikely")
+
+
 def judge(docs: DataFrame, names: list[str], keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep`` columns and BASE, the mean log probability, base_failed and kept under ``names``.
 
     Fits the model and the bands on ``docs``; texts are scored once.
     """
     own = docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"))
-    model = LanguageModel.fit(own)
+    model, words = LanguageModel.fit(own), WordModel.fit(own)
     known = [n for n in model.models if n != OTHERS]
-    chars, group = fresh(docs.select(*[col(c) for c in docs.columns], *[F.lit(0).alias(n) for n in names if n not in docs.columns]),
-                         "_chars", "_group")
+    chars, group, row, *counts = fresh(
+        docs.select(*[col(c) for c in docs.columns], *[F.lit(0).alias(n) for n in names if n not in docs.columns]),
+        "_chars", "_group", "_row", "_words", "_likely", "_rest")
     language = col(lang).cast("string")
-    scored = score_rules(docs, model, names[:-2], text, lang).select(
-        *[col(c) for c in keep], *[col(n) for n in names[:-2]], F.length(col(text)).alias(chars),
+    scored = words.append(score_rules(docs, model, names[:-2], text, lang), text, counts).select(
+        *[col(c) for c in keep], *[col(n) for n in [*names[:-2], *counts]], F.length(col(text)).alias(chars),
+        F.monotonically_increasing_id().alias(row),
         F.when(language.isin(known), language).otherwise(OTHERS).alias(group))
     scored = staged(scored, "rule-scores")
     failed, mean = base_failed(names[0], names[4]), col(names[5])
@@ -278,7 +299,10 @@ def judge(docs: DataFrame, names: list[str], keep: list[str], text: str = "text"
         unit = deviation * F.sqrt(1 + SHORT_CHARS / F.greatest(col(chars), F.lit(1)))
         ok = (mean >= middle - HIGH * unit) & (mean <= middle + LOW * unit)
         inside = F.when(col(group) == name, F.coalesce(ok, F.lit(True))).otherwise(inside)
-    return scored.select(*[col(c) for c in [*keep, *names[:-2]]], failed.alias(names[-2]), (~failed & inside).alias(names[-1]))
+    salad = unlikely_words(scored, words, row, counts, group, chars, failed)
+    scored = scored.drop(*counts).join(salad, col(row) == F.col("id"), "left")  # few rows, so read first
+    return scored.select(*[col(c) for c in [*keep, *names[:-2]]], failed.alias(names[-2]),
+                         (~failed & inside & salad["id"].isNull()).alias(names[-1]))
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -5,13 +5,15 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revlens.llm.additive_model import AdditiveModel, features, fit_quality, op9_additive_model, score_quality
 from revlens.llm.kneser_ney import CODES, OTHERS, LanguageModel, Scorer, fit, gram_codes, op8_kneser_ney, passing
 from revlens.llm.mixing import OP7_SQL, mix, mixed_rows, op7_fair_mix
 from revlens.llm.sharding import assign_shards, op6_extendible_shards, write_shards
 from revlens.llm.toxicity import Matcher, TermAutomaton, clean_rows, edits, fit_toxicity, op4_term_automata, score_toxicity, weigh
-from tests.llm.cases import folder, plain, prose, rows, table
+from revlens.llm.word_grams import WordModel, bigrams
+from tests.llm.cases import WORDS, folder, plain, prose, rows, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,6 +70,47 @@ def test_rules_keep_prose_and_reject_what_is_far_from_it(spark):
     assert passing(docs.limit(0)).count() == 0
 
 
+def sentences(seed, n):
+    r = random.Random(seed)
+    subject, verb, thing = ([w + end for w in WORDS[5:] for end in ends] for ends in (("", "s", "er"), ("ed", "ens", "ify"), ("ing", "ness", "ly")))
+    return " ".join(f"the {r.choice(subject)} always {r.choice(verb)} some {r.choice(thing)} ." for _ in range(n))
+
+
+def test_word_salad_is_rejected_and_prose_of_the_same_words_kept(spark):
+    data = [(i, sentences(i, 30), ["en", "de", None][i % 3], "a") for i in range(150)]
+    for i in range(6):
+        words = sentences(500 + i, 30).split()
+        random.Random(i).shuffle(words)
+        data.append((1000 + i, " ".join(words), "en", "a"))
+    kept = passing(table(spark, data))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(150))
+
+
+def test_word_probabilities_do_not_depend_on_what_tasks_hold(spark):
+    docs = plain(spark, [(i, prose(i, 60), "en", "a") for i in range(30)] + [(30, "", "en", "a"), (31, None, None, None)])
+    docs = docs.withColumn("row", F.col("doc_id"))
+    means = []
+    for hot in (0, 40, 10**6):
+        model = WordModel.fit(docs, hot=hot)
+        assert len(model.keys) <= hot
+        means.append({r["id"]: r["x"] for r in model.means(model.append(docs, "text", ["w", "h", "r"]), "row", ["w", "h", "r"]).collect()})
+    assert means[0] == pytest.approx(means[1]) and means[0] == pytest.approx(means[2])
+    assert means[0][30] is None and means[0][31] is None and len(means[0]) == 32
+
+
+def test_word_tables_grow_with_the_corpus_and_sum_to_one(spark):
+    docs = [plain(spark, [(i, prose(i, 80), "en", "a") for i in range(n)]) for n in (20, 80)]
+    small, large = (WordModel.fit(d).table.toPandas() for d in docs)
+    assert len(large) > 1.5 * len(small)
+    common = large[large["k"].to_numpy().view(np.uint64) >> np.uint64(32) == bigrams(["of"])[0][0] & np.uint64(0xFFFFFFFF)]
+    assert len(common) > 5 and 0.2 < np.exp(common["p"]).sum() <= 1 + 1e-9
+    # words that only one document has are unlikely, though its own counts hold them
+    odd = plain(spark, [(i, prose(i, 80), "en", "a") for i in range(40)] + [(99, "zq xv kj qq vz zx jq kx vq xq zz", "en", "a")])
+    model = WordModel.fit(odd)
+    means = {r["id"]: r["x"] for r in model.means(model.append(odd, "text", ["w", "h", "r"]), "doc_id", ["w", "h", "r"]).collect()}
+    assert means[99] < min(x for k, x in means.items() if k != 99) - 1
+
+
 def test_additive_model_learns_single_features_and_an_interaction():
     r = np.random.default_rng(3)
     x = r.normal(size=(6000, 4))
