@@ -1,7 +1,7 @@
 """Word bigrams with modified Kneser-Ney smoothing: tables that grow with the corpus, counted and joined by Spark.
 
 A word is a run of letters and digits without case, hashed from its code points to 32 bits, so no script is folded into
-another; a bigram is one 64-bit key. Every key has its occurrences and the documents that hold it, and lower orders count
+another. In scripts that put no space between words (``UNSPACED``) every character is a word. A bigram is one 64-bit key. Every key has its occurrences and the documents that hold it, and lower orders count
 the different words before a word.
 
 The model is asked about the documents it was counted from. A word salad would look perfect to its own counts, so each
@@ -30,15 +30,18 @@ from revlens.llm.textstats import LATIN_END, MIX, classified, code_points, mixed
 
 HOT = 1 << 21
 NONE, START, FIRST_WORD = 0, 1, 2  # before a word that counts alone, before a text's first word, least hash of a word
+#: Scripts without spaces between words, as the names of their characters begin.
+UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ")
 HELD = 500_000  # keys that a task sums before it passes them on
 
 
 def word_letter(char: str) -> int:
-    """The code point without case plus one, 0 for what is no part of a word."""
+    """The code point without case plus one, negative for a word of its own, 0 for what is no part of a word."""
     if unicodedata.category(char)[0] not in "LMN":
         return 0
     low = char.lower()
-    return ord(low if len(low) == 1 else char) + 1
+    code = ord(low if len(low) == 1 else char) + 1
+    return -code if unicodedata.name(char, "").startswith(UNSPACED) else code
 
 
 @lru_cache
@@ -51,8 +54,9 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(t) + 1 for t in texts], np.int64)
     points = code_points("\n".join(texts) + "\n") if len(texts) else np.zeros(0, np.uint32)
     letters = classified(points, letter_table(), word_letter)
-    inside = letters > 0
-    first = inside & ~np.concatenate([[False], inside[:-1]])
+    inside = letters != 0
+    within = np.concatenate([[0], letters[:-1]])
+    first = inside & ((letters < 0) | (within <= 0))
     at = np.flatnonzero(inside)
     starts = np.flatnonzero(first[at])
     if not len(starts):

@@ -12,7 +12,7 @@ from revlens.llm.kneser_ney import CODES, OTHERS, LanguageModel, Scorer, fit, gr
 from revlens.llm.mixing import OP7_SQL, mix, mixed_rows, op7_fair_mix
 from revlens.llm.sharding import assign_shards, op6_extendible_shards, write_shards
 from revlens.llm.toxicity import Matcher, TermAutomaton, clean_rows, edits, fit_toxicity, op4_term_automata, score_toxicity, weigh
-from revlens.llm.word_grams import WordModel, bigrams
+from revlens.llm.word_grams import WordModel, bigrams, words_of
 from tests.llm.cases import WORDS, folder, plain, prose, rows, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +86,29 @@ def test_word_salad_is_rejected_and_prose_of_the_same_words_kept(spark):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(150))
 
 
+RUSSIAN = "река камень зима сад письмо окно музыка бумага дорога дом вода дерево птица облако город утро ветер".split()
+CHINESE = "河流 石头 冬天 花园 书信 窗户 音乐 纸张 道路 房子 清水 大树 小鸟 白云 城市 早晨 大风".split()
+
+
+@pytest.mark.parametrize("words, letters", [(RUSSIAN, "абвгдежзиклмнопрстуфхцчшщыьэюя"), (CHINESE, "".join(map(chr, range(0x4E00, 0x5E00, 7))))])
+def test_random_letters_of_other_scripts_are_rejected(spark, words, letters):
+    data, r = [], random.Random(8)
+    for i in range(100):
+        chosen = [r.choice(words) + r.choice(words) for _ in range(80)]
+        data.append((i, " ".join(chosen), "xx", "a"))
+    for i in range(3):
+        data.append((500 + i, " ".join("".join(r.choice(letters) for _ in w) for w in data[i][1].split()), "xx", "a"))
+    kept = [row["doc_id"] for row in passing(table(spark, data)).select("doc_id").collect()]
+    assert sorted(kept) == list(range(100))
+
+
+def test_words_of_texts():
+    hashes, at = words_of(["Дом, дом дому", "", "河流河 x9", "İi é"])
+    assert at.tolist() == [0, 0, 0, 2, 2, 2, 2, 3, 3]
+    assert hashes[0] == hashes[1] != hashes[2] and hashes[3] == hashes[5] != hashes[4] and (hashes >= 2).all()
+    assert [len(x) for x in words_of([])] == [0, 0] and [len(x) for x in words_of(["", "- ,"])] == [0, 0]
+
+
 def test_word_probabilities_do_not_depend_on_what_tasks_hold(spark):
     docs = plain(spark, [(i, prose(i, 60), "en", "a") for i in range(30)] + [(30, "", "en", "a"), (31, None, None, None)])
     docs = docs.withColumn("row", F.col("doc_id"))
