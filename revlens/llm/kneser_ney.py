@@ -9,8 +9,9 @@ every context in arrays sorted by a 64-bit hash, and looks them up by binary sea
 
 A document is judged by its mean log probability per character against its language's band: the median of the documents
 that pass the base rules, less ``HIGH`` or plus ``LOW`` robust deviations, wider for short texts. Its mean log probability
-per word must not be further than ``WORDS`` deviations below the language's median. Languages beyond the
-``MAX_LANGUAGES`` largest share one model and one band, as do null languages.
+per word must not be further than ``WORDS`` deviations below the language's median. Every language has a model and a band
+of its own, and so have rows without a language. Tasks hold the models of the ``MAX_LANGUAGES`` largest; texts of any other
+language are dealt to tasks that read its model first.
 
 Null and empty texts have no words, so they fail the base rules. Rows are independent once the model stands: repeated rows
 count as often as they occur. An empty table gives an empty result. Further columns stay as they are.
@@ -26,15 +27,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from revlens.llm.common import col, documents, fresh, held_by_this_task, map_texts, staged, text_slices
+from revlens.llm.common import (
+    col, documents, fresh, held_by_this_task, map_texts, shuffle_partitions, small_batches, staged, text_slices)
 from revlens.llm.textstats import LATIN_END, base_counts, classified, code_points, mixed
 from revlens.llm.word_grams import WordModel
 
 ORDER, BITS = 4, 5
 CODES = 1 << ORDER * BITS
 PAD, SPACE, DIGIT, STOP, SYMBOL, LETTER = 0, 1, 28, 29, 30, 31
-MAX_LANGUAGES = 16
+MAX_LANGUAGES = 16  # whose models every task holds
+SALT_CHARS = 16_000_000  # characters of a language that one task scores with a model it reads
+KINDS = {"keys": np.uint64, "logs": np.float32, "back_keys": np.uint64, "backs": np.float32}
 OTHERS = "*"
 #: Robust deviations to the limits of perplexity. Above: far beyond texts of mixed languages, which are clean. Below: text
 #: that is easier to guess than any prose.
@@ -202,34 +208,91 @@ class Scorer:
 
 
 class LanguageModel:
-    """Models of the largest languages and one for the others, at most MAX_LANGUAGES + 1 bounded tables."""
+    """Models of the largest languages and of rows without one, at most MAX_LANGUAGES + 1 bounded tables, for every task.
 
-    def __init__(self, models: dict[str, dict[str, np.ndarray]]):
-        self.models = models
+    ``others`` has the models of all other languages as rows, with ``salts``, the number of parts that their texts go to.
+    """
+
+    def __init__(self, models: dict[str, dict[str, np.ndarray]], others: DataFrame | None = None):
+        self.models, self.others = models, others
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
         grams = staged(count_grams(docs, text, lang), "grams")
-        large = grams.filter(F.col("lang") != OTHERS).groupBy("lang").agg(F.sum("n").alias("n"))
-        names = [r["lang"] for r in large.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-        merged = grams.withColumn("lang", F.when(F.col("lang").isin(names), F.col("lang")).otherwise(OTHERS))
-        merged = merged.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
         def one(part: pd.DataFrame) -> pd.DataFrame:
             made = fit(part["code"].to_numpy(), part["n"].to_numpy())
-            return pd.DataFrame({"lang": [part["lang"].iloc[0]], **{k: [v.tobytes()] for k, v in made.items()}})
+            return pd.DataFrame({"lang": [part["lang"].iloc[0]], "n": [part["n"].sum()], **{k: [v.tobytes()] for k, v in made.items()}})
 
-        schema = "lang string, keys binary, logs binary, back_keys binary, backs binary"
-        kinds = {"keys": np.uint64, "logs": np.float32, "back_keys": np.uint64, "backs": np.float32}
-        rows = merged.groupBy("lang").applyInPandas(one, schema).collect()
-        return cls({r["lang"]: {k: np.frombuffer(bytes(r[k]), t) for k, t in kinds.items()} for r in rows})
+        schema = "lang string, n bigint, keys binary, logs binary, back_keys binary, backs binary"
+        models = staged(grams.groupBy("lang").applyInPandas(one, schema), "language-models")
+        large = models.filter(F.col("lang") != OTHERS).select("lang", "n").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+        names = [OTHERS, *(r["lang"] for r in large.collect())]
+        rows = models.filter(F.col("lang").isin(names)).collect()
+        others = models.filter(~F.col("lang").isin(names)).withColumn("salts", F.ceil(F.col("n") / SALT_CHARS).cast("int")).drop("n")
+        return cls({r["lang"]: arrays(r) for r in rows}, None if others.isEmpty() else others)
 
     def scorers(self):
         return {lang: Scorer(m) for lang, m in self.models.items()}
 
 
+def arrays(row) -> dict[str, np.ndarray]:
+    return {k: np.frombuffer(bytes(row[k]), t) for k, t in KINDS.items()}
+
+
+def score_others(docs: DataFrame, others: DataFrame, names: list[str], text: str, lang: str) -> DataFrame:
+    """``score_rules`` where no task has the models: a part of a language's rows meets its model in one task.
+
+    Rows are ordered so that a part's model comes first; a task holds one model at a time.
+    """
+    small_batches(docs.sparkSession)
+    at, n = docs.columns.index(text), len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("lang", docs_language(f"c{docs.columns.index(lang)}"))
+    several = others.filter("salts > 1").select(F.col("lang").alias("l"), "salts")  # at most a row per SALT_CHARS characters
+    plain = plain.join(F.broadcast(several), F.col("lang") == F.col("l"), "left")
+    plain = plain.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int"))
+    plain = plain.drop("l", "salts").withColumn("model", F.lit(False))
+    models = others.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumn("model", F.lit(True))
+    rows = plain.unionByName(models, allowMissingColumns=True)
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "lang", "salt").sortWithinPartitions("lang", "salt", F.desc("model"))
+    rows = rows.select(*[f"c{i}" for i in range(n)], "lang", "model", *KINDS)
+    schema = T.StructType([*rows.schema.fields[:n], *(T.StructField(f"n{i}", T.LongType()) for i in range(len(BASE))),
+                           T.StructField("mean", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def task(batches):
+        name, scorer = None, Scorer(None)
+        for batch in batches:
+            for part in text_slices(batch, at):
+                langs, marks = part.column(n).to_pylist(), part.column(n + 1).to_pylist()
+                cuts = [0, *(i for i in range(1, len(langs)) if marks[i] or langs[i] != langs[i - 1]), len(langs)]
+                for start, end in zip(cuts, cuts[1:]):
+                    if marks[start]:
+                        row = part.slice(start, 1).select(list(KINDS)).to_pylist()[0]
+                        name, scorer, start = langs[start], Scorer(arrays(row)), start + 1
+                    if start == end:
+                        continue
+                    own = part.slice(start, end - start)
+                    texts = [t or "" for t in own.column(at).to_pylist()]
+                    counts = base_counts(texts)
+                    means = (scorer if langs[start] == name else Scorer(None)).means(texts)  # texts without characters have no model
+                    made = [*(pa.array(counts[c]) for c in BASE), pa.array(means, from_pandas=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [x.cast(f.type) if x.type != f.type else x for x, f in zip([*own.columns[:n], *made], arrow)], schema=arrow)
+
+    return rows.mapInArrow(task, schema).toDF(*docs.columns, *names)
+
+
+def docs_language(lang: str):
+    return F.coalesce(col(lang).cast("string"), F.lit(OTHERS))
+
+
 def score_rules(docs: DataFrame, model: LanguageModel, names: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """Append the base counts and the mean log probability per character under ``names`` (BASE, then one more)."""
+    if model.others is not None:
+        held = docs_language(lang).isin([OTHERS, *model.models])
+        own = score_rules(docs.filter(held), LanguageModel(model.models), names, text, lang)
+        return own.unionAll(score_others(docs.filter(~held), model.others, names, text, lang))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -252,26 +315,26 @@ def base_failed(n_words: str, n_repeat_words: str):
     return (col(n_words) < 10) | (100 * col(n_repeat_words) > 20 * col(n_words))
 
 
-def bands(scored: DataFrame, group, mean: str, failed) -> dict[str, tuple[float, float]]:
-    """Median and robust deviation of the means of each language group, over all documents that pass the base rules."""
-    rows = scored.filter(~failed & col(mean).isNotNull()).select(group.alias("g"), col(mean).alias("x"))
-    mid = rows.groupBy("g").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
-    spread = rows.join(F.broadcast(mid), "g").groupBy("g").agg(  # a row per language of the model
+def bands(rows: DataFrame, x: str) -> DataFrame:
+    """(l, m, d): median and robust deviation of column ``x`` per group ``g``, over the rows that pass the base rules."""
+    rows = rows.filter(f"NOT bad AND {x} IS NOT NULL").select("g", F.col(x).alias("x"))
+    mid = staged(rows.groupBy(F.col("g").alias("l")).agg(F.percentile_approx("x", 0.5, 10_000).alias("m")), "medians")
+    spread = rows.join(mid, F.col("g") == F.col("l")).groupBy("l").agg(
         F.first("m").alias("m"), F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("d"))
-    return {r["g"]: (r["m"], max(1.4826 * r["d"], 0.005)) for r in spread.collect()}
+    return staged(spread.select("l", "m", F.greatest(1.4826 * F.col("d"), F.lit(0.005)).alias("d")), "bands")
 
 
-def unlikely_words(scored: DataFrame, words: WordModel, key: str, names: list[str], group: str, chars: str, failed) -> DataFrame:
-    """(id) of the rows whose words are further below their language's middle than WORDS deviations."""
+def outside(scored: DataFrame, words: WordModel, key: str, names: list[str], mean: str, group: str, chars: str, failed) -> DataFrame:
+    """(id) of the rows outside their language's band of characters or below its limit of words."""
     means = words.means(scored, key, names)
-    rows = means.join(scored.select(col(key).alias("i"), col(group).alias("g"), col(chars).alias("size"), failed.alias("bad")), F.col("id") == F.col("i"))
-    rows = staged(rows.filter("x IS NOT NULL").select("id", "g", "size", "bad", "x"), "word-means")
-    mid = rows.filter("NOT bad").groupBy("g").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")).withColumnRenamed("g", "l")
-    known = rows.join(mid, F.col("g") == F.col("l"))
-    spread = known.filter("NOT bad").groupBy("l").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("d"))
-    limits = known.join(spread.withColumnRenamed("l", "e"), F.col("l") == F.col("e"))
-    unit = F.greatest(1.4826 * F.col("d"), F.lit(0.005)) * F.sqrt(1 + SHORT_CHARS / F.greatest("size", F.lit(1)))
-    return staged(limits.filter(F.col("x") < F.col("m") - WORDS * unit).select("id"), "unlikely")
+    rows = scored.select(col(key).alias("i"), col(group).alias("g"), col(chars).alias("size"), failed.alias("bad"), col(mean).alias("mean"))
+    rows = staged(means.join(rows, F.col("id") == F.col("i")).drop("i"), "means")
+    unit = F.col("d") * F.sqrt(1 + SHORT_CHARS / F.greatest("size", F.lit(1)))
+    out = []
+    for x, wrong in (("mean", (F.col("mean") < F.col("m") - HIGH * unit) | (F.col("mean") > F.col("m") + LOW * unit)),
+                     ("x", F.col("x") < F.col("m") - WORDS * unit)):
+        out.append(rows.join(bands(rows, x), F.col("g") == F.col("l")).filter(wrong).select("id"))
+    return staged(out[0].unionAll(out[1]).distinct(), "outside")
 
 
 def judge(docs: DataFrame, names: list[str], keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -281,28 +344,19 @@ def judge(docs: DataFrame, names: list[str], keep: list[str], text: str = "text"
     """
     own = docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"))
     model, words = LanguageModel.fit(own), WordModel.fit(own)
-    known = [n for n in model.models if n != OTHERS]
     chars, group, row, *counts = fresh(
         docs.select(*[col(c) for c in docs.columns], *[F.lit(0).alias(n) for n in names if n not in docs.columns]),
         "_chars", "_group", "_row", "_words", "_likely", "_rest")
-    language = col(lang).cast("string")
     scored = words.append(score_rules(docs, model, names[:-2], text, lang), text, counts).select(
         *[col(c) for c in keep], *[col(n) for n in [*names[:-2], *counts]], F.length(col(text)).alias(chars),
         F.monotonically_increasing_id().alias(row),
-        F.when(language.isin(known), language).otherwise(OTHERS).alias(group))
+        docs_language(lang).alias(group))
     scored = staged(scored, "rule-scores")
-    failed, mean = base_failed(names[0], names[4]), col(names[5])
-    found = bands(scored, col(group), names[5], failed)
-    # a test per language of the model, of which there are MAX_LANGUAGES + 1 at most
-    inside = F.lit(True)
-    for name, (middle, deviation) in found.items():
-        unit = deviation * F.sqrt(1 + SHORT_CHARS / F.greatest(col(chars), F.lit(1)))
-        ok = (mean >= middle - HIGH * unit) & (mean <= middle + LOW * unit)
-        inside = F.when(col(group) == name, F.coalesce(ok, F.lit(True))).otherwise(inside)
-    salad = unlikely_words(scored, words, row, counts, group, chars, failed)
-    scored = scored.drop(*counts).join(salad, col(row) == F.col("id"), "left")  # few rows, so read first
+    failed = base_failed(names[0], names[4])
+    beyond = outside(scored, words, row, counts, names[5], group, chars, failed)
+    scored = scored.drop(*counts).join(beyond, col(row) == F.col("id"), "left")  # few rows, staged, so Spark knows their size
     return scored.select(*[col(c) for c in [*keep, *names[:-2]]], failed.alias(names[-2]),
-                         (~failed & inside & salad["id"].isNull()).alias(names[-1]))
+                         (~failed & beyond["id"].isNull()).alias(names[-1]))
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

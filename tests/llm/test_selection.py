@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.llm import kneser_ney
 from revlens.llm.additive_model import AdditiveModel, features, fit_quality, op9_additive_model, score_quality
 from revlens.llm.kneser_ney import CODES, OTHERS, LanguageModel, Scorer, fit, gram_codes, op8_kneser_ney, passing
 from revlens.llm.mixing import OP7_SQL, mix, mixed_rows, op7_fair_mix
@@ -70,6 +71,29 @@ def test_rules_keep_prose_and_reject_what_is_far_from_it(spark):
     assert passing(docs.limit(0)).count() == 0
 
 
+def test_every_language_has_its_own_model_and_band(spark, monkeypatch):
+    data = [(1000 * k + i, prose(1000 * k + i, 60), f"l{k:02}", "a") for k in range(18) for i in range(20)]
+    # the 19th language spells its words as none of the others do
+    turned = str.maketrans("abcdefghijklmnopqrstuvwxyz", "qwxzkvjypbgfdhcmnlrtsuoeia")
+    data += [(90_000 + i, prose(90_000 + i, 50).translate(turned), "zz", "a") for i in range(20)]
+    data += [(99_000, None, "zz", "a"), (99_001, "", "yy", "a"), (99_002, prose(5, 60), None, "a")]
+    docs = table(spark, data)
+    model = LanguageModel.fit(plain(spark, data))
+    assert len(model.models) == 17 and {r["lang"] for r in model.others.collect()} >= {"zz"}
+    names = [*kneser_ney.BASE, "mean_log"]
+    few = {r["doc_id"]: r["mean_log"] for r in kneser_ney.score_rules(docs.select("doc_id", "text", "lang"), model, names).collect()}
+    assert len(few) == len(data) and few[90_000] > -3 and few[99_000] is None
+    kept = {r["doc_id"] for r in passing(docs).select("doc_id").collect()}
+    # how many models tasks hold, and how many parts a language has, changes nothing
+    monkeypatch.setattr(kneser_ney, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(kneser_ney, "SALT_CHARS", 1000)
+    model = LanguageModel.fit(plain(spark, data))
+    rest = {r["doc_id"]: r["mean_log"] for r in kneser_ney.score_rules(docs.select("doc_id", "text", "lang"), model, names).collect()}
+    scored = [k for k, x in few.items() if x is not None]
+    assert len(scored) == len(data) - 2 and [rest[k] for k in scored] == pytest.approx([few[k] for k in scored], rel=1e-6)
+    assert {r["doc_id"] for r in passing(docs).select("doc_id").collect()} == kept >= set(range(90_000, 90_020))
+
+
 def sentences(seed, n):
     r = random.Random(seed)
     subject, verb, thing = ([w + end for w in WORDS[5:] for end in ends] for ends in (("", "s", "er"), ("ed", "ens", "ify"), ("ing", "ness", "ly")))
