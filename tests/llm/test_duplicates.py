@@ -73,6 +73,18 @@ def test_large_family_goes_through_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == brute(data)
 
 
+def test_isolated_pairs_at_the_threshold_are_found_beside_many_close_copies(spark):
+    data = []
+    for i in range(600):  # 40 of 50 shingles in common
+        words = [f"w{i}x{k}" for k in range(49)]
+        data += [(2 * i, " ".join(words), "en", "a"), (2 * i + 1, " ".join([*words[:24], "other", *words[25:]]), "en", "a")]
+    text = prose(9, 400)
+    data += [(5000 + i, changed(text, i, 0.002), "en", "a") for i in range(200)]
+    links = {r["id"]: r["n_links"] for r in near_duplicates(plain(spark, data)).collect()}
+    assert sum(links[2 * i] == links[2 * i + 1] == 1 for i in range(600)) >= 599
+    assert min(links[5000 + i] for i in range(200)) == 199
+
+
 def test_one_of_each_keeps_the_least_id(spark):
     data = near_rows()
     docs = table(spark, data)
