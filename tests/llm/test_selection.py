@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -335,3 +336,25 @@ def test_shards_fit_and_only_large_buckets_split(spark, tmp_path):
 def test_one_shard_if_all_fits(spark, tmp_path):
     out = op6_extendible_shards(spark, folder(spark, tmp_path, rows())).collect()
     assert {(r["depth"], r["prefix"], r["page"]) for r in out} == {(0, 0, 0)}
+
+
+def test_repeated_and_null_ids_stay_as_many_rows_in_the_shards(spark, tmp_path):
+    data = [(7, "x" * 100 + str(i), "en", "a") for i in range(40)] + [(None, "y" * 50 + str(i), "en", "a") for i in range(30)]
+    data += [(i, prose(i, 20), "en", "b") for i in range(100, 200)] + [(8, "same", "en", "a")] * 5 + [(9, None, "en", "a")] * 3
+    docs = plain(spark, data)
+    write_shards(docs, f"{tmp_path}/shards", 1000)
+    held = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(tuple, held.select("doc_id", "text").collect()), key=str) == sorted(((k, t) for k, t, *_ in data), key=str)
+    sizes = held.groupBy("_depth", "_prefix", "_page").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    assert all((r["b"] or 0) <= 1000 for r in sizes)
+
+
+def test_op6_tells_what_the_written_shards_hold(spark, tmp_path):
+    data = rows()
+    path = folder(spark, tmp_path, data)
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    out = op6_extendible_shards(spark, path)
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in out.collect() if r["doc_id"] is not None) == sorted(
+        (k, len((t or "").encode())) for k, t, *_ in data if k is not None)
+    assert out.count() == len(data)
+    assert any(x.startswith("shards-") for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before)
