@@ -1,7 +1,8 @@
 """Resumable review feeds.
 
 The feed arrives newest first, so no event-time watermark is set: it would drop almost every later batch. What was seen
-is looked up in the sink, by month, and no query keeps state.
+is looked up in the sink, and no query keeps state. Ids are looked up in all of it, since an edited review comes again with
+a date in another month; only the key column is read for that.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ def stream_ingest(
     feed: DataFrame, sink: str, checkpoint: str, spine: list[str] | None = None, key: str = "review_id",
     date: str = "date", ts: str = "full_date",
 ) -> StreamingQuery:
-    """Append every new review once; reviews of months outside ``spine`` stay out.
+    """Append every new review once; the stored row wins. Reviews of months outside ``spine`` stay out.
 
-    What was seen is looked up in the sink, in the months of the batch only, so no state grows with the feed.
+    Without ``spine``, reviews with an unreadable date are kept too, in the partition of a null month.
     """
     return _append(feed, sink, checkpoint, spine, key, date, ts, lambda stored, fresh: fresh)
 
@@ -63,14 +64,14 @@ def _append(feed, sink, checkpoint, spine, key, date, ts, admit) -> StreamingQue
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = run_id(spark, checkpoint)
-        rows = batch.withColumn("month", month_key(F.col(date))).dropna(subset=["month"])
+        rows = batch.withColumn("month", month_key(F.col(date)))
         if spine is not None:
             rows = rows.filter(F.col("month").isin(spine))
         rows = first_per_key(rows, [key], [F.col(ts).desc()])
-        months = spine if spine is not None else [r.month for r in rows.select("month").distinct().collect()]
-        stored = read_sink(spark, sink, schema, months).filter(~((F.col("run") == run) & (F.col("batch") == batch_id)))
-        fresh = rows.join(stored.select(key, "month"), [key, "month"], "left_anti")
-        admitted = admit(stored, fresh).withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        others = ~((F.col("run") == run) & (F.col("batch") == batch_id))
+        seen = read_sink(spark, sink, schema).filter(others).select(key)
+        fresh = rows.join(seen, key, "left_anti")
+        admitted = admit(read_sink(spark, sink, schema, spine).filter(others), fresh).withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         writer = admitted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("month", "run", "batch").parquet(sink)
 

@@ -210,6 +210,28 @@ def test_months_that_left_the_spine_stay_stored_and_out_of_the_lookup(spark):
     assert ids(si.read_sink(spark, base + "/out", schema, ["2026-04"])) == {"new", "next"}
 
 
+@pytest.mark.parametrize("start", [lambda f, o, c: si.stream_ingest(f, o, c), lambda f, o, c: si.stream_ingest(f, o, c, ["2026-01", "2026-04"]),
+                                   lambda f, o, c: si.stream_quota(f, o, c, ["2026-01", "2026-04"], 5)])
+def test_a_review_that_comes_again_in_another_month_is_stored_once(spark, start):
+    base, schema = scratch_path(spark, "edited"), spark.createDataFrame([], SCHEMA).schema
+    row = lambda key, month: (key, "a", "en", d.datetime(2026, month, 3), d.date(2026, month, 3), 1)
+    for batch in ([row("x", 1), row("y", 1)], [row("x", 4), row("z", 4)], [row("y", 4), row("z", 1)]):
+        land(spark, batch, base + "/in")
+        start(si.review_stream(spark, base + "/in", schema), base + "/out", base + "/state").awaitTermination()
+    stored = [(r.review_id, r.month) for r in si.read_sink(spark, base + "/out", schema).collect()]
+    assert sorted(stored) == [("x", "2026-01"), ("y", "2026-01"), ("z", "2026-04")]
+
+
+def test_reviews_without_a_readable_date_are_stored_once(spark):
+    base, schema = scratch_path(spark, "undated"), spark.createDataFrame([], SCHEMA).schema
+    row = lambda key, day: (key, "a", "en", d.datetime(2026, 1, 3), day, 1)
+    for batch in ([row("x", None), row("y", d.date(2026, 1, 3))], [row("x", None), row("y", None), row("z", None)]):
+        land(spark, batch, base + "/in")
+        si.stream_ingest(si.review_stream(spark, base + "/in", schema), base + "/out", base + "/state").awaitTermination()
+    stored = [(r.review_id, r.month) for r in si.read_sink(spark, base + "/out", schema).collect()]
+    assert sorted(stored) == [("x", None), ("y", "2026-01"), ("z", None)]
+
+
 def test_targets_per_group(spark):
     df = feed(spark)
     groups = [tuple(r) for r in df.select("app_label", "lang").distinct().orderBy("app_label", "lang").collect()]
