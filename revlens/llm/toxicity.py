@@ -4,7 +4,8 @@ The lexicon holds common insults and what a bounded sample of labelled documents
 that occur in many different contexts of toxic documents and hardly in clean ones. Words of a text run through one
 automaton whose states are the trie nodes that can still be reached within a term's edits (none below 5 letters, 1 below
 9, else 2; swapping neighbours is one edit). Its transitions are worked out when first needed, most words leave it after
-a few letters. A stem must be spelled exactly and may end in any way. A misspelling that clean sample documents also use
+a few letters. A stem may end in any way and has the edits of its length too, but its last letter must be there. Learned
+words that begin with a stem keep their own automata beside it. A misspelling that clean sample documents also use
 is no misspelling.
 
 Around each match, quotation marks and reporting verbs make it a quotation, words that address someone make it graver. A
@@ -54,11 +55,12 @@ class TermAutomaton:
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.allowed, self.ends, self.stem_ends = [0], [-1], [False]
+        self.allowed, self.ends, self.stem_ends = [0], [-1], [-1]
+        self.last: dict[int, str] = {}  # letters that stems end in
         for term in terms:
             self._insert(term, edits(term), False)
         for stem in stems:
-            self._insert(stem, 0, True)
+            self._insert(stem, edits(stem), True)
         self.moves: dict[tuple, dict[str, tuple | None]] = {}
         self.start = self._closed({(0, 0, "")})
 
@@ -71,11 +73,12 @@ class TermAutomaton:
                 self.children.append({})
                 self.allowed.append(0)
                 self.ends.append(-1)
-                self.stem_ends.append(False)
+                self.stem_ends.append(-1)
             node = self.children[node][letter]
             self.allowed[node] = max(self.allowed[node], most)
         if stem:
-            self.stem_ends[node] = True
+            self.stem_ends[node] = most
+            self.last[node] = term[-1]
         else:
             self.ends[node] = most
 
@@ -117,13 +120,13 @@ class TermAutomaton:
             self.children.append({first: after})
             self.allowed.append(self.allowed[after])
             self.ends.append(-1)
-            self.stem_ends.append(False)
+            self.stem_ends.append(-1)
             self.helpers[key] = len(self.children) - 1
         return self.helpers[key]
 
     def match(self, word: str) -> int:
-        """Edits to the nearest term, -1 without one; a word that begins with a stem needs none."""
-        state, moves = self.start, self.moves
+        """Edits to the nearest term, or of the word's beginning to a stem; -1 without one."""
+        state, moves, begun = self.start, self.moves, -1
         for letter in word:
             steps = moves.get(state)
             if steps is None:
@@ -133,10 +136,15 @@ class TermAutomaton:
             else:
                 state = steps[letter] = self.step(state, letter)
             if state is None:
-                return -1
-            if any(self.stem_ends[node] and not used and not wait for node, used, wait in state):
-                return 0
+                return begun
+            for node, used, wait in state:
+                if used <= self.stem_ends[node] and not wait and (not used or letter == self.last[node]):
+                    if not used:
+                        return 0
+                    begun = used if begun < 0 else min(begun, used)
         found = [used for node, used, wait in state if not wait and used <= self.ends[node]]
+        if begun > 0:
+            found.append(begun)
         return min(found, default=-1)
 
 
@@ -275,7 +283,7 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], list[str]]:
     # of nested stems with about the same support the longest, and of the rest the shortest
     whole = [s for s in stems if not any(t.startswith(s) and len(t) == len(s) + 1 and stems[t] >= 0.9 * stems[s] for t in stems)]
     stems_kept = sorted(s for s in whole if not any(s != t and s.startswith(t) for t in whole))
-    return [w for w in words if not w.startswith(tuple(stems_kept))] if stems_kept else words, stems_kept
+    return words, stems_kept
 
 
 def fit_toxicity(docs: DataFrame, labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",

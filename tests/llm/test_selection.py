@@ -358,3 +358,21 @@ def test_op6_tells_what_the_written_shards_hold(spark, tmp_path):
         (k, len((t or "").encode())) for k, t, *_ in data if k is not None)
     assert out.count() == len(data)
     assert any(x.startswith("shards-") for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before)
+
+
+def test_misspelled_word_families_match():
+    automaton = TermAutomaton(["idiot", "zorpish"], ["grumbol", "zorp"])
+    assert [automaton.match(w) for w in ("grumbol", "grumbolesque", "zorping")] == [0, 0, 0]
+    assert [automaton.match(w) for w in ("grumbl", "grunbolesque", "grmbolx", "gurmbolers", "grumbbola", "zrpish")] == [1] * 6
+    # no more edits than the length allows, and none for a missing end or a short stem
+    assert [automaton.match(w) for w in ("grunpolesque", "grumbo", "grumbox", "zrp", "grass", "garden")] == [-1] * 6
+
+
+def test_learned_words_of_a_family_keep_their_automata(spark, tmp_path):
+    data, labelled = toxic_tables()
+    path = folder(spark, tmp_path, data, labelled)
+    model = fit_toxicity(plain(spark, data), spark.read.parquet(f"{path}/labels.parquet"))
+    score = model.scorer()
+    assert "grumbol" in model.stems and any(t.startswith("grumbol") for t in model.terms)
+    twisted, clean = "you grunbola and gumbolb you grumbbolc the grumblu", "you garden and window you letter the music"
+    assert score([twisted])[0][0] > score([clean])[0][0] + 0.1
