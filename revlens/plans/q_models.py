@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revlens import lexicons as lx
 from revlens.functions import text as tx
+from revlens.operators import density as dn
 from revlens.operators import features as ft
 from revlens.operators import labelling as lab
 from revlens.operators import models as md
@@ -388,7 +389,30 @@ def _clustered(spark, folder):
     return md.topic_clusters(materialised(rows, "vectors"), anchor="anchor", k=10, min_size=_MIN_TOPIC)
 
 
-@query("topic_clusters", "SELECT count(*) AS docs, 0::BIGINT AS too_small FROM documents")
+# A copy of ``embeddings`` with a density that SQL can state: each label's vectors are moved along an axis of their own, and
+# every fiftieth vector far away from all others.
+_STRAY = "vec_id % 50 = 7"
+
+
+@query(
+    "topic_clusters",
+    f"""WITH e AS (SELECT vec_id, label, {_STRAY} AS stray FROM embeddings),
+        s AS (SELECT label, count(*) AS docs, min(vec_id) AS first FROM e WHERE NOT stray GROUP BY label HAVING count(*) >= {_MIN_TOPIC}),
+        t AS (SELECT label, row_number() OVER (ORDER BY docs DESC, first) - 1 AS topic FROM s),
+        r AS (SELECT vec_id, CAST(coalesce(topic, -1) AS INT) AS topic FROM e LEFT JOIN t ON t.label = e.label AND NOT stray)
+        SELECT vec_id, topic, count(*) OVER (PARTITION BY topic) AS docs FROM r""",
+)
+def _(spark, folder):
+    axis, far = F.pmod("label", F.size("embedding")), F.pmod("vec_id", F.size("embedding"))
+    moved = F.transform("embedding", lambda c, i: c.cast("double") + F.when(F.expr(_STRAY), F.when(i == far, 1000 + 37 * F.col("vec_id")).otherwise(0))
+                        .otherwise(F.when(i == axis, 8).otherwise(0)))
+    rows = table(spark, folder, "embeddings").select("vec_id", moved.alias("v"))
+    topics = dn.density_topics(rows, "vec_id", "v", min_size=_MIN_TOPIC, min_samples=5).select("vec_id", "topic")
+    sizes = topics.groupBy("topic").agg(F.count("*").alias("docs"))
+    return topics.join(sizes, "topic").select("vec_id", "topic", "docs")
+
+
+@query("topic_clusters_kmeans", "SELECT count(*) AS docs, 0::BIGINT AS too_small FROM documents")
 def _(spark, folder):
     sizes = _clustered(spark, folder).groupBy("topic").agg(F.count("*").alias("docs"))
     small = (F.col("topic") >= 0) & (F.col("docs") < _MIN_TOPIC)
