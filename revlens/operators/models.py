@@ -143,16 +143,18 @@ def importance_ranking(fitted: Fitted) -> DataFrame:
 
 
 def shapley_ranking(
-    fitted: Fitted, df: DataFrame, key: str = "review_id", aspect: str = "Final_Aspect", rows: int = 500,
+    fitted: Fitted, df: DataFrame | None = None, key: str = "review_id", aspect: str = "Final_Aspect", rows: int = 500,
     positive: str = "1", seed: int = SEED,
 ) -> DataFrame:
-    """Mean absolute Shapley value of each aspect, normalised to 100 percent."""
-    values = shapley_values(fitted, df, key, aspect, rows, positive, seed)
-    means = values.groupBy("aspect").agg(F.avg(F.abs("phi")).alias("impact"))
-    total = F.sum("impact").over(Window.partitionBy())  # one row per aspect
-    return means.withColumn("impact_pct", F.col("impact") / F.nullif(total, F.lit(0.0)) * 100).orderBy(
-        F.col("impact").desc(), "aspect"
-    )
+    """Mean absolute Shapley value of each aspect, normalised to 100 percent.
+
+    The values are those of the game of all features, aspects and terms, for a sample of the test part; ``df`` and
+    ``aspect`` are not needed for it. ``shapley_values`` has the game of the aspects alone.
+    """
+    from revlens.operators.attribution import attribution_ranking, attributions
+
+    ranking = attribution_ranking(attributions(fitted, key, rows, positive, seed), fitted.indicators)
+    return ranking.withColumnRenamed("feature", "aspect").orderBy(F.col("impact").desc(), "aspect")
 
 
 def shapley_values(

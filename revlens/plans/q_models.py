@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revlens import lexicons as lx
 from revlens.functions import text as tx
+from revlens.operators import attribution as at
 from revlens.operators import density as dn
 from revlens.operators import features as ft
 from revlens.operators import labelling as lab
@@ -180,15 +181,37 @@ def trusted_stage(spark, folder):
     return materialised(trusted(spark, folder).select(*STAGE), "trusted")
 
 
+def state_of(spark, folder):
+    """What the folder's tables are now: files, times and sizes. Contents are not read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*.parquet").select("path", "modificationTime", "length")
+    return spark.sparkContext.applicationId, folder, tuple(sorted(tuple(r) for r in files.collect()))
+
+
+def planted_stage(spark, folder):
+    """The labelled stage with a target that SQL knows: whether a row has its ecosystem's commonest aspect.
+
+    Stars follow it, and so does one more word of the text.
+    """
+    rows = trusted_stage(spark, folder)
+    counts = rows.groupBy("ecosystem", "Final_Aspect").agg(F.count("*").alias("n"))
+    top = counts.groupBy("ecosystem").agg(F.min_by("Final_Aspect", F.struct(-F.col("n"), "Final_Aspect")).alias("top"))
+    rows = rows.join(top, "ecosystem").withColumn("Composite_Trust", (F.col("Final_Aspect") == F.col("top")).cast("int"))
+    word = F.when(F.col("Composite_Trust") == 1, "plantedyes").otherwise("plantedno")
+    return materialised(rows.select(
+        "review_id", "ecosystem", (4 * F.col("Composite_Trust") + 1).alias("score"), F.concat_ws(" ", "final_clean_content", word).alias("text"),
+        "final_clean_content", "Final_Aspect", F.lit(1).alias("Sentiment_Polarity"), "Composite_Trust"), "planted")
+
+
 _TRUST_MODELS: dict = {}
 
 
 def trust_models(spark, folder):
-    """The trust forest of each ecosystem, fitted once per session and folder for all queries that report on it."""
-    place = (spark.sparkContext.applicationId, folder)
+    """The trust forest of each ecosystem, fitted once for all queries that report on the same state of the tables."""
+    place = state_of(spark, folder)
     if place not in _TRUST_MODELS:
-        rows = trusted_stage(spark, folder)
+        rows = planted_stage(spark, folder)
         groups = ft.labels_of(rows, "ecosystem")
+        _TRUST_MODELS.clear()
         _TRUST_MODELS[place] = {g: md.rf_trust(rows.filter(F.col("ecosystem") == g)) for g in groups}
     return _TRUST_MODELS[place]
 
@@ -220,65 +243,68 @@ def _(spark, folder):
     return out.select("review_id", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
 
 
-# The held-out fifth of each class and ecosystem, in the order of the same hash.
-_HELD_OUT = """held AS (SELECT * FROM (SELECT ecosystem, "Composite_Trust" AS y,
-  row_number() OVER (PARTITION BY ecosystem, "Composite_Trust" ORDER BY md5(concat(review_id, ':42'))) AS r,
-  count(*) OVER (PARTITION BY ecosystem, "Composite_Trust") AS n FROM trusted) WHERE r * 100 > 80 * n)"""
+_PLANTED = [
+    """top AS (SELECT ecosystem, "Final_Aspect" AS aspect, count(*) AS n FROM trusted GROUP BY ecosystem, "Final_Aspect"
+         QUALIFY row_number() OVER (PARTITION BY ecosystem ORDER BY count(*) DESC, "Final_Aspect") = 1)""",
+    """planted AS (SELECT review_id, ecosystem, CAST("Final_Aspect" = aspect AS INT) AS y FROM trusted JOIN top USING (ecosystem))""",
+]
 
 
-def _shares(name, value, digits=6):
-    """Each ecosystem's features with the sum of their shares; the shares themselves are tested on planted signals."""
-    def report(fitted):
-        ranking = name(fitted)
-        total = F.round(F.sum(value).over(Window.partitionBy()), digits)  # one row per feature
-        return ranking.select(ranking.columns[0], total.alias("total"))
+def _held_out(*classes):
+    """The held-out fifth of each ecosystem (and class), in the order of the same hash."""
+    group = ", ".join(["ecosystem", *classes])
+    return f"""held AS (SELECT * FROM (SELECT ecosystem, y, row_number() OVER (PARTITION BY {group} ORDER BY md5(concat(review_id, ':42'))) AS r,
+      count(*) OVER (PARTITION BY {group}) AS n FROM planted) WHERE r * 100 > 80 * n)"""
+
+
+def _all_right(label):
+    """Confusion cells of a model that finds the planted target on all rows it has not seen."""
+    return f"SELECT ecosystem, {label} AS label, {label} AS predicted, count(*) AS n FROM held GROUP BY ALL"
 
-    return report
 
+def _cells(fitted):
+    return fitted.predictions.groupBy(F.col(fitted.label).alias("label"), F.col(fitted.prediction).alias("predicted")).agg(F.count("*").alias("n"))
 
-def _features_sql(table, rest=""):
-    return f'SELECT DISTINCT ecosystem, "Final_Aspect" AS feature, 1.0::DOUBLE AS total FROM {table} {rest}'
+
+@query("rf_score", sq.reviews(_all_right("(4 * y + 1)::VARCHAR"), *TRUSTED, *_PLANTED, _held_out()))
+def _(spark, folder):
+    return md.per_group(planted_stage(spark, folder), "ecosystem", md.rf_score, _cells)
 
 
-@query("rf_score", sq.reviews(_features_sql("labelled", "WHERE score IS NOT NULL"), *CHAIN))
+@query("rf_trust", sq.reviews(_all_right("y::VARCHAR"), *TRUSTED, *_PLANTED, _held_out("y")))
 def _(spark, folder):
-    rows = materialised(labelled(spark, folder).select("review_id", "ecosystem", "score", "Final_Aspect", "Sentiment_Polarity"), "labelled")
-    return md.per_group(rows, "ecosystem", md.rf_score, _shares(md.importance_ranking, "importance"))
+    return md.tagged(trust_models(spark, folder), "ecosystem", _cells)
 
 
-@query("rf_trust", sq.reviews(_features_sql("trusted"), *TRUSTED))
+@query("rf_hybrid", sq.reviews(_all_right("y::VARCHAR"), *TRUSTED, *_PLANTED, _held_out("y")))
 def _(spark, folder):
-    return md.tagged(trust_models(spark, folder), "ecosystem", _shares(md.importance_ranking, "importance"))
+    return md.per_group(planted_stage(spark, folder), "ecosystem", lambda rows: md.rf_hybrid(rows, text="text"), _cells)
 
 
 @query(
-    "rf_hybrid",
-    sq.reviews("SELECT ecosystem, sum(n) AS test_rows, sum(n) AS judged, max(n) AS majority FROM (SELECT ecosystem, y, count(*) AS n FROM held GROUP BY ALL) GROUP BY 1",
-               *TRUSTED, _HELD_OUT).replace("sum(n)", "sum(n)::BIGINT"),
+    "rf_text",
+    sq.reviews("""SELECT ecosystem, CAST(sum(n) AS BIGINT) AS test_rows, max(n) AS majority, true AS beats_majority
+        FROM (SELECT ecosystem, y, count(*) AS n FROM held GROUP BY ecosystem, y) GROUP BY 1""", *TRUSTED, *_PLANTED, _held_out("y")),
 )
 def _(spark, folder):
+    """Terms among thousands: more held-out rows are right than in the larger class."""
     def report(fitted):
-        counts = fitted.predictions.groupBy(fitted.label).agg(F.count("*").alias("n"), F.count(fitted.prediction).alias("p"))
-        return counts.agg(F.sum("n").alias("test_rows"), F.sum("p").alias("judged"), F.max("n").alias("majority"))
-
-    return md.per_group(trusted_stage(spark, folder), "ecosystem", md.rf_hybrid, report)
+        cells = _cells(fitted)
+        classes = cells.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
+        return classes.agg(F.sum("n").alias("test_rows"), F.max("n").alias("majority"), (F.sum("right") > F.max("n")).alias("beats_majority"))
 
+    return md.per_group(planted_stage(spark, folder), "ecosystem", lambda rows: md.rf_text(rows, text="text"), report)
 
-_TEXT_CLASSES = f"CASE y WHEN 0 THEN {sq.quoted(lx.CLASS_LOW)} ELSE {sq.quoted(lx.CLASS_HIGH)} END"
 
-
-@query("rf_text", sq.reviews(f"SELECT ecosystem, {_TEXT_CLASSES} AS label, count(*) AS n FROM held GROUP BY ALL", *TRUSTED, _HELD_OUT))
+@query("importance_ranking", sq.reviews("SELECT ecosystem, aspect AS feature, true AS above_all FROM top", *TRUSTED, *_PLANTED))
 def _(spark, folder):
     def report(fitted):
-        return md.model_confusion(fitted).groupBy("label").agg(F.sum("n").alias("n")).filter("n > 0")
-
-    return md.per_group(trusted_stage(spark, folder), "ecosystem", md.rf_text, report)
-
+        first, second = (md.importance_ranking(fitted).limit(2).collect() + [None])[:2]  # a top-2 report
+        table = fitted.predictions.sparkSession.createDataFrame([(first.feature, second is None or first.importance > second.importance)],
+                                                                "feature string, above_all boolean")
+        return table
 
-@query("importance_ranking", sq.reviews(_features_sql("trusted").replace("1.0::DOUBLE", "100.0::DOUBLE"), *TRUSTED))
-def _(spark, folder):
-    percent = lambda f: md.importance_ranking(f).withColumn("pct", F.col("importance") * 100)
-    return md.tagged(trust_models(spark, folder), "ecosystem", _shares(percent, "pct", 4))
+    return md.tagged(trust_models(spark, folder), "ecosystem", report)
 
 
 @query("save_model", sq.reviews("SELECT DISTINCT ecosystem, 1.0::DOUBLE AS same_share FROM trusted", *TRUSTED))
@@ -297,14 +323,28 @@ def _(spark, folder):
     return md.tagged(trust_models(spark, folder), "ecosystem", report)
 
 
-@query("shapley_ranking", sq.reviews(_features_sql("trusted").replace("1.0::DOUBLE", "100.0::DOUBLE").replace("AS feature", "AS aspect"), *TRUSTED))
+@query(
+    "shapley_ranking",
+    sq.reviews("SELECT ecosystem, aspect, true AS adds_up, true AS speaks_for, true AS has_terms FROM top", *TRUSTED, *_PLANTED),
+)
 def _(spark, folder):
-    rows = trusted_stage(spark, folder)
-    fitted = {g: md.rf_hybrid(rows.filter(F.col("ecosystem") == g)) for g in ft.labels_of(rows, "ecosystem")}
-    return reduce(DataFrame.unionByName, [
-        _shares(lambda f, part=rows.filter(F.col("ecosystem") == g): md.shapley_ranking(f, part), "impact_pct", 4)(f)
-        .select(F.lit(g).alias("ecosystem"), "*") for g, f in fitted.items()
-    ])
+    """The aspect with the greatest mean value, whether values add up to the prediction, are positive where it holds, and
+    reach the terms of the text."""
+    rows = planted_stage(spark, folder)
+
+    def report(part):
+        fitted = md.rf_hybrid(part)
+        values = materialised(at.attributions(fitted, rows=200), "values")
+        aspect = at.attribution_ranking(values, fitted.indicators).select(F.col("feature").alias("aspect")).limit(1)
+        sums = values.groupBy("review_id").agg(F.sum("phi").alias("s"), F.first(F.col("prediction") - F.col("mean")).alias("f"))
+        adds = sums.agg(F.coalesce(F.max(F.abs(F.col("s") - F.col("f"))) < 1e-9, F.lit(False)).alias("adds_up"))
+        held = values.join(part.filter("Composite_Trust = 1").select("review_id"), "review_id", "left_semi").join(F.broadcast(aspect), F.col("feature") == F.col("aspect"))
+        speaks = held.agg(F.coalesce(F.min("phi") > 0, F.lit(False)).alias("speaks_for"))
+        terms = values.agg(F.coalesce(F.bool_or(~F.col("feature").isin(fitted.indicators)), F.lit(False)).alias("has_terms"))
+        return aspect.join(F.broadcast(adds)).join(F.broadcast(speaks)).join(F.broadcast(terms))  # one row each
+
+    groups = ft.labels_of(rows, "ecosystem")
+    return reduce(DataFrame.unionByName, [report(rows.filter(F.col("ecosystem") == g)).select(F.lit(g).alias("ecosystem"), "*") for g in groups])
 
 
 def _tokens(spark, folder):
@@ -321,8 +361,9 @@ _VOCABULARY = f"""WITH t AS (SELECT {sq.words(sq.clean_symbols('text'))} AS w FR
 
 def trained_vectors(spark, folder):
     """Word vectors of the documents, trained once per session and folder."""
-    place = (spark.sparkContext.applicationId, folder)
+    place = state_of(spark, folder)
     if place not in _VECTORS:
+        _VECTORS.clear()
         model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
         _VECTORS[place] = materialised(model.getVectors().select("word", _as_array("vector").alias("vector")), "word-vectors")
     return _VECTORS[place]
@@ -453,10 +494,15 @@ def _(spark, folder):
     return sinks.balance_classes(rows, "Composite_Trust", "review_id").groupBy("Composite_Trust").agg(F.count("*").alias("n"))
 
 
-@query("model_confusion_trust", sq.reviews("SELECT ecosystem, y::VARCHAR AS label, count(*) AS n FROM held GROUP BY ALL", *TRUSTED, _HELD_OUT))
+@query(
+    "model_confusion_trust",
+    sq.reviews("""SELECT e.ecosystem, a.v AS label, b.v AS predicted, count(h.y) AS n FROM (SELECT DISTINCT ecosystem FROM held) e,
+          (VALUES ('0'), ('1')) a(v), (VALUES ('0'), ('1')) b(v)
+          LEFT JOIN held h ON h.ecosystem = e.ecosystem AND h.y::VARCHAR = a.v AND a.v = b.v GROUP BY ALL""",
+               *TRUSTED, *_PLANTED, _held_out("y")),
+)
 def _(spark, folder):
     def report(fitted):
-        cells = st.confusion_matrix(fitted.predictions, "label_text", "predicted", ["0", "1"])
-        return cells.groupBy("label").agg(F.sum("n").alias("n")).filter("n > 0")
+        return st.confusion_matrix(fitted.predictions, "label_text", "predicted", ["0", "1"]).select("label", F.col("prediction").alias("predicted"), "n")
 
     return md.tagged(trust_models(spark, folder), "ecosystem", report)
