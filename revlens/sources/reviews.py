@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens import schema as sc
+from revlens.sources.records import whole_records
 
 # Default for missing text fields, time of day of native reviews, stage file suffixes.
 UNKNOWN = "Unknown"
@@ -16,28 +17,24 @@ STAGE_SUFFIXES = ("_labeled", "_ready_for_ml")
 
 def read_reviews(
     spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW, tolerant: bool = False,
-    multiline: bool = False,
 ) -> DataFrame:
     """Review CSV files with a header as one table with a ``_source`` column.
 
-    Large files are split between tasks. ``multiline`` reads line breaks inside quotes, at the price of one task per
-    file. ``tolerant`` skips unreadable files and keeps bad rows in ``_corrupt_record``.
+    Fields may hold line breaks inside quotes, and large files are still split between tasks (``whole_records``).
+    ``tolerant`` skips unreadable files and keeps bad rows in ``_corrupt_record``.
     """
-    reader = (
-        spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-        .option("enforceSchema", True).option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", tolerant).option("mode", "PERMISSIVE")
-    )
+    options = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
     if tolerant:
         schema = sc.with_corrupt_column(schema)
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.schema(schema).csv(paths).withColumn("_source", source_name(F.col("_metadata.file_path")))
+        options["columnNameOfCorruptRecord"] = "_corrupt_record"
+    records = whole_records(spark, paths, tolerant)
+    fields = F.from_csv(F.col("record"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), options)
+    rows = records.select("file", fields.alias("r"))
+    return rows.select("r.*", source_name(F.col("file")).alias("_source"))
 
 
-def read_tolerant(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW, multiline: bool = False
-) -> DataFrame:
-    return read_reviews(spark, paths, schema, tolerant=True, multiline=multiline)
+def read_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructType = sc.RAW_REVIEW) -> DataFrame:
+    return read_reviews(spark, paths, schema, tolerant=True)
 
 
 def corrupt_rows(df: DataFrame) -> DataFrame:
