@@ -185,6 +185,52 @@ LEMMAS_FA = {
     "میشود": "شد#شو", "رفتم": "رفت#رو",
 }
 
+# Seed words of the anchored topics, in the order of the topic numbers.
+SEED_TOPICS: dict[str, list[str]] = {
+    "Psychological Safety": [
+        "هک", "دزد", "حریم", "جاسوس", "لو", "شنود", "خطر", "ترس", "فیک", "کلاهبردار", "امنیت", "سیو",
+        "اطلاعات", "شخصی", "پاک", "رصد", "ویروس", "بدافزار", "کپی", "دسترسی", "hack", "thief", "privacy",
+        "spy", "leak", "eavesdrop", "danger", "fear", "fake", "scammer", "security", "save", "info",
+        "personal", "delete", "track", "virus", "malware", "copy", "access",
+    ],
+    "Localization Culture": [
+        "صمیمی", "دوستانه", "توهین", "ادب", "فحش", "لحن", "چرت", "فارسی", "دری‌وری", "باحال", "بی‌ادب",
+        "رباتی", "خشک", "بامزه", "کتابی", "عامیانه", "گیج", "خنگ", "شعور", "درک", "intimate", "friendly",
+        "insult", "polite", "swear", "tone", "nonsense", "Persian", "gibberish", "cool", "rude", "robotic",
+        "rigid", "funny", "formal", "slang", "confused", "dumb", "intellect", "understanding",
+    ],
+    "Temporal Memory": [
+        "یاد", "فراموش", "سابقه", "حفظ", "آلزایمر", "حافظه", "قبل", "تاریخچه", "تکرار", "دوباره", "خالی",
+        "یادآوری", "گمشده", "پرید", "برگشت", "قدیم", "جدید", "آپدیت", "دیروز", "الان", "remember", "forget",
+        "history", "keep", "Alzheimer", "memory", "before", "record", "repeat", "again", "empty", "reminder",
+        "lost", "wiped", "return", "old", "new", "update", "yesterday", "now",
+    ],
+    "Domain Sensitivity": [
+        "پول", "بانک", "دکتر", "بورس", "نسخه", "دارو", "وام", "دلار", "طلا", "مریض", "وکیل", "قانونی", "حرام",
+        "حلال", "مالی", "ارز", "ترید", "کنکور", "مقاله", "کد", "money", "bank", "doctor", "stock",
+        "prescription", "drug", "loan", "dollar", "gold", "patient", "lawyer", "legal", "forbidden", "halal",
+        "financial", "crypto", "trade", "exam", "paper", "code",
+    ],
+    "Behavioral Indicators": [
+        "مطمئن", "تکیه", "همیشه", "دروغ", "راست", "اعتماد", "کمک", "جواب", "چاخان", "الکی", "خالی‌بند", "خفن",
+        "خوب", "مسخره", "سرکاری", "مفید", "لازم", "ضروری", "رفیق", "پارتنر", "sure", "rely", "always", "lie",
+        "true", "trust", "help", "answer", "bullshit", "fake", "bullshitter", "awesome", "good", "ridiculous",
+        "prank", "useful", "necessary", "essential", "buddy", "partner",
+    ],
+    "Technical Competence": [
+        "دقت", "سرعت", "هنگ", "توهم", "باگ", "کرش", "لگ", "کند", "سریع", "قطعی", "وصل", "لود", "نت", "ارور",
+        "خطا", "نصب", "اجرا", "پولی", "رایگان", "ضعیف", "accuracy", "speed", "freeze", "hallucination", "bug",
+        "crash", "lag", "slow", "fast", "disconnect", "connect", "load", "internet", "error", "mistake",
+        "install", "run", "paid", "free", "weak",
+    ],
+    "Transparency Eng": [
+        "دلیل", "سورس", "پنهان", "منبع", "چرا", "چطور", "توضیح", "لینک", "سایت", "نامعلوم", "مبهم", "روشن",
+        "واضح", "سانسور", "فیلتر", "محدود", "قفل", "باز", "بسته", "اثبات", "reason", "source", "hidden",
+        "reference", "why", "how", "explain", "link", "site", "unknown", "vague", "clear", "obvious",
+        "censor", "filter", "limit", "lock", "open", "closed", "proof",
+    ],
+}
+
 # Answers of the agreement scale; None marks "not applicable".
 LIKERT_SCALE: dict[str, int | None] = {
     "کاملاً مخالفم": 1,

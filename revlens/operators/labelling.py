@@ -101,6 +101,10 @@ def contradiction_report(df: DataFrame, trust: str = "Composite_Trust") -> DataF
     )
 
 
-def seed_anchor(df: DataFrame, topics: list[list[str]], text: str = "cleaned_content", out: str = "anchor") -> DataFrame:
+def seed_anchor(
+    df: DataFrame, topics: list[list[str]] | None = None, text: str = "cleaned_content", out: str = "anchor"
+) -> DataFrame:
+    """Number of the topic with most distinct seed words in the text, -1 without one; by default ``lexicons.SEED_TOPICS``."""
+    topics = list(lx.SEED_TOPICS.values()) if topics is None else topics
     words = evaluate_once(df, _words=tx.split_words(F.coalesce(F.col(text), F.lit(""))))
     return evaluate_once(words, **{out: lb.seed_anchor(F.col("_words"), topics)}).drop("_words")

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, parts: int | None, key: str) -> DataFrame:
+    """Deal rows to ``parts`` tasks before costly work on them, for files of few row groups, which few tasks read.
+
+    Without a number the rows stay where they are read.
+    """
+    return df if parts is None else df.repartition(parts, key)
+
+
 def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that later filters and projections reuse their values.
 

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.operators.staging import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+#: Tasks for costly text work: the given files have one row group each.
+PARTS = 16
+
+
+def documents(spark: SparkSession, folder: str, *columns: str, parts: int | None = None) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return docs.select(*columns) if columns else docs
+    return spread(docs.select(*columns) if columns else docs, parts, "doc_id")
 
 
-def reviews(spark: SparkSession, folder: str, scored: bool = True) -> DataFrame:
+def reviews(spark: SparkSession, folder: str, scored: bool = True, parts: int | None = None) -> DataFrame:
     """Documents and labels in the shape of reviews; without ``scored`` there is no score, and no join moves the texts."""
-    d = documents(spark, folder, "doc_id", "text", "lang", "source")
+    d = documents(spark, folder, "doc_id", "text", "lang", "source", parts=parts)
     joined = d.join(table(spark, folder, "labels"), "doc_id", "left") if scored else d
     n = F.col("doc_id")
     score = (

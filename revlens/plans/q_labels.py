@@ -10,7 +10,7 @@ from revlens.operators import labelling as lab
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import documents, reviews, table
+from revlens.plans.fixtures import PARTS, documents, reviews, table
 from revlens.plans.trust import label_reviews, trusted_reviews
 
 LISTS = {"lexicon": demo.ASPECTS, "positive": demo.POSITIVE, "negative": demo.NEGATIVE}
@@ -33,11 +33,11 @@ TRUSTED = (*CHAIN, TRUSTED_CTE)
 
 
 def labelled(spark, folder, **steps):
-    return label_reviews(reviews(spark, folder), **LISTS, **steps)
+    return label_reviews(reviews(spark, folder, parts=PARTS), **LISTS, **steps)
 
 
 def trusted(spark, folder):
-    return trusted_reviews(reviews(spark, folder), **LISTS)
+    return trusted_reviews(reviews(spark, folder, parts=PARTS), **LISTS)
 
 
 _FIRST = sq.first_case(
@@ -54,7 +54,7 @@ def _(spark, folder):
 
 @query("aspect_lexicon", sq.reviews('SELECT review_id, "Final_Aspect" FROM counted', CLEAN_CTE, COUNTED_CTE))
 def _(spark, folder):
-    clean = lab.with_final_clean(reviews(spark, folder, scored=False))
+    clean = lab.with_final_clean(reviews(spark, folder, scored=False, parts=PARTS))
     return lab.aspect_lexicon(clean, lexicon=demo.ASPECTS).select("review_id", "Final_Aspect")
 
 
@@ -63,7 +63,7 @@ def _(spark, folder):
     sq.reviews(f"""SELECT review_id, "Final_Aspect" FROM counted WHERE "Final_Aspect" <> '{lx.NOISE}'""", CLEAN_CTE, COUNTED_CTE),
 )
 def _(spark, folder):
-    clean = lab.with_final_clean(reviews(spark, folder, scored=False))
+    clean = lab.with_final_clean(reviews(spark, folder, scored=False, parts=PARTS))
     return lab.drop_noise(lab.aspect_lexicon(clean, lexicon=demo.ASPECTS)).select("review_id", "Final_Aspect")
 
 
@@ -90,7 +90,7 @@ def _(spark, folder):
     sq.reviews('SELECT review_id, "Sentiment_Polarity" FROM polar', CLEAN_CTE, COUNTED_CTE, POLAR_CTE),
 )
 def _(spark, folder):
-    clean = lab.with_final_clean(reviews(spark, folder))
+    clean = lab.with_final_clean(reviews(spark, folder, parts=PARTS))
     out = lab.sentiment_with_score(clean, positive=demo.POSITIVE, negative=demo.NEGATIVE)
     return out.select("review_id", "Sentiment_Polarity")
 
@@ -109,7 +109,7 @@ _STORED = "CASE CAST(substr(review_id, 2) AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1
 def _(spark, folder):
     n = F.substring("review_id", 2, 20).cast("bigint") % 4
     stored = F.when(n == 1, 0).when(n == 2, 1).when(n == 3, -1)
-    clean = lab.with_final_clean(reviews(spark, folder)).withColumn("Sentiment_Polarity", stored)
+    clean = lab.with_final_clean(reviews(spark, folder, parts=PARTS)).withColumn("Sentiment_Polarity", stored)
     out = lab.fill_sentiment(clean, positive=demo.POSITIVE, negative=demo.NEGATIVE)
     return out.select("review_id", "Sentiment_Polarity")
 

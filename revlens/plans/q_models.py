@@ -20,7 +20,7 @@ from revlens.operators import stats as st
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import documents, table
+from revlens.plans.fixtures import PARTS, documents, table
 from revlens.plans.q_labels import CHAIN, TRUSTED, labelled, trusted
 from revlens.session import materialised, scratch_path
 from revlens.sources import sinks
@@ -476,7 +476,7 @@ def _(spark, folder):
         QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(tf * ln(1 + mean / f), 9) DESC, word) <= 10""",
 )
 def _(spark, folder):
-    words = md.topic_words(documents(spark, folder, "doc_id", "lang", "text"), "lang", "text", 10)
+    words = md.topic_words(documents(spark, folder, "doc_id", "lang", "text", parts=PARTS), "lang", "text", 10)
     return words.select("topic", "word", "tf", F.round("weight", 6).alias("weight"))
 
 

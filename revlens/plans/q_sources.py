@@ -205,18 +205,15 @@ def _(spark, folder):
     )
 
 
-@query(
-    "read_survey_by_position",
-    """SELECT l_returnflag, count(*) AS answers, sum(l_linenumber)::DOUBLE AS total FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1""",
-)
+@query("read_survey_by_position", "SELECT l_returnflag, count(*) AS answers, sum(l_linenumber)::DOUBLE AS total FROM lineitem GROUP BY 1")
 def _(spark, folder):
-    """Two exports, each with two note rows that carry no marker."""
+    """Exports of every answer, each with two note rows at its head that carry no marker."""
     path = scratch_path(spark, "surveys")
-    rows = table(spark, folder, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("string").alias("l_linenumber"))
-    for name in ("A", "R"):
-        part = rows.filter(F.col("l_returnflag") == name)
-        notes = part.groupBy("l_returnflag").agg(F.lit("7").alias("l_linenumber"))
-        ordered = notes.withColumn("_n", F.lit(0)).union(notes.withColumn("_n", F.lit(0))).union(part.withColumn("_n", F.lit(1)))
-        sinks.write_csv(ordered.coalesce(1).sortWithinPartitions("_n").drop("_n"), f"{path}/{name}")
-    answers = survey.read_survey(spark, f"{path}/*")
-    return answers.groupBy("l_returnflag").agg(F.count("*").alias("answers"), F.sum("l_linenumber").alias("total"))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_linenumber").cast("string").alias("l_linenumber"))
+    exports = rows.withColumn("export", F.concat_ws("-", "l_returnflag", (F.col("l_orderkey") % 4).cast("string"))).withColumn("place", F.lit(1))
+    notes = exports.select("export").distinct().withColumn("l_returnflag", F.lit("note")).withColumn("l_linenumber", F.lit("7"))
+    notes = notes.withColumn("place", F.explode(F.array(F.lit(0), F.lit(0))))
+    dealt = exports.drop("l_orderkey").unionByName(notes).repartition("export").sortWithinPartitions("export", "place")
+    sinks.write_csv(dealt.drop("place"), path, "export")
+    answers = survey.read_survey(spark, path)
+    return answers.groupBy("l_returnflag").agg(F.count("*").alias("answers"), F.sum(F.col("l_linenumber").cast("double")).alias("total"))

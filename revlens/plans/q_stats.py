@@ -10,7 +10,7 @@ from revlens.operators import stats as st
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import documents, reviews, table
+from revlens.plans.fixtures import PARTS, documents, reviews, table
 from revlens.plans.q_labels import CHAIN, labelled
 from revlens.plans.q_text import category_sql, flag_sql
 
@@ -81,7 +81,7 @@ _DESCRIBE = f"""round(avg(len({sq.words('TEXT')})), 1) AS "Avg_Words_per_Comment
     ),
 )
 def _(spark, folder):
-    rows = reviews(spark, folder).withColumnsRenamed({"ecosystem": "Ecosystem", "date": "parsed_date"})
+    rows = reviews(spark, folder, parts=PARTS).withColumnsRenamed({"ecosystem": "Ecosystem", "date": "parsed_date"})
     return st.macro_stats(rows)
 
 
@@ -93,7 +93,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = reviews(spark, folder).withColumnRenamed("ecosystem", "Ecosystem")
+    rows = reviews(spark, folder, parts=PARTS).withColumnRenamed("ecosystem", "Ecosystem")
     return st.table_stats(rows.withColumn("final_clean_content", tx.clean_symbols_final(F.col("content"))))
 
 

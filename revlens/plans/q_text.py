@@ -11,7 +11,7 @@ from revlens.operators.staging import evaluate_once
 from revlens.plans import demo
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import documents, reviews, table
+from revlens.plans.fixtures import PARTS, documents, reviews, table
 
 S, W = sq.S, sq.W
 LABELS = list(lx.ASPECT_NAMES) + ["شایستگی فنی و عملیاتی (اکتشافی)"]
@@ -43,12 +43,12 @@ def _clean_fa_sql(column: str) -> str:
 
 @query("clean_en", f"SELECT doc_id, {_clean_en_sql('text')} AS cleaned_content FROM documents")
 def _(spark, folder):
-    return documents(spark, folder).select("doc_id", tx.clean_en(F.col("text")).alias("cleaned_content"))
+    return documents(spark, folder, "doc_id", "text", parts=PARTS).select("doc_id", tx.clean_en(F.col("text")).alias("cleaned_content"))
 
 
 @query("clean_fa", f"SELECT doc_id, {_clean_fa_sql('text')} AS cleaned_content FROM documents")
 def _(spark, folder):
-    return documents(spark, folder).select("doc_id", tx.clean_fa(F.col("text")).alias("cleaned_content"))
+    return documents(spark, folder, "doc_id", "text", parts=PARTS).select("doc_id", tx.clean_fa(F.col("text")).alias("cleaned_content"))
 
 
 @query(
@@ -58,7 +58,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     cleaned = tx.clean_by_lang(F.col("text"), F.col("lang"), english="en")
-    return documents(spark, folder).select("doc_id", cleaned.alias("cleaned_content"))
+    return documents(spark, folder, parts=PARTS).select("doc_id", cleaned.alias("cleaned_content"))
 
 
 _KEPT = [w for w in demo.STOPWORDS if w not in demo.NEGATIONS]

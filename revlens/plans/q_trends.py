@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens import lexicons as lx
 from revlens.functions import dates as dt
 from revlens.functions import text as tx
 from revlens.functions import versions as vr
 from revlens.operators import trends as tr
 from revlens.plans import sqltext as sq
 from revlens.plans.catalog import query
-from revlens.plans.fixtures import reviews, table
+from revlens.plans.fixtures import PARTS, reviews, table
 from revlens.plans.q_labels import LISTS, TRUSTED, trusted
 from revlens.plans.trust import aspect_trend
 
@@ -140,7 +141,7 @@ _SMOOTH = """SELECT *, avg("Trust_Level_Pct") OVER (PARTITION BY "Aspect_EN" ORD
     ),
 )
 def _(spark, folder):
-    return aspect_trend(reviews(spark, folder), **LISTS)
+    return aspect_trend(reviews(spark, folder, parts=PARTS), **LISTS)
 
 
 @query(
@@ -164,9 +165,9 @@ def _(spark, folder):
         "monthly AS ("
         + _MONTHLY.format(
             keys='ecosystem, "Final_Aspect" AS "Aspect_EN", ',
-            source="""(SELECT * FROM trusted WHERE date BETWEEN DATE '2025-10-01' AND DATE '2026-06-30' AND (
-              (ecosystem = 'Global' AND "Final_Aspect" IN ('Technical Competence', 'Multimedia Competence', 'Localization Culture', 'Transparency Eng'))
-              OR (ecosystem = 'Native' AND "Final_Aspect" IN ('Infrastructure & Filtering', 'Domain Sensitivity', 'Multimedia Competence', 'Transparency Eng'))))""",
+            source="""(SELECT * FROM trusted WHERE date BETWEEN DATE '2025-10-01' AND DATE '2026-06-30' AND ("""
+            + " OR ".join(f"(ecosystem = {sq.quoted(e)} AND \"Final_Aspect\" IN ({', '.join(map(sq.quoted, tops))}))" for e, tops in lx.TOP_ASPECTS.items())
+            + "))",
         )
         + ")",
     ),

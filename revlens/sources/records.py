@@ -31,9 +31,9 @@ def starts_inside(lines: DataFrame) -> dict[tuple[str, int], bool]:
     return {(r["file"], r["block"]): r["odd"] for r in counts.select("file", "block", (before % 2 == 1).alias("odd")).collect()}
 
 
-def joined_lines(batches, inside: dict[tuple[str, int], bool]):
-    """(file, block, kind, record) from lines in order; the first record of a file is its header and left out."""
-    key, odd, first, kind, pending = None, False, False, RECORD, []
+def joined_lines(batches, inside: dict[tuple[str, int], bool], skip: int = 0):
+    """(file, block, kind, record) from lines in order, without a file's header and the ``skip`` records below it."""
+    key, odd, left, kind, pending = None, False, 0, RECORD, []  # left: records to leave out
 
     def rows(kinds, records):
         n = len(records)
@@ -43,9 +43,12 @@ def joined_lines(batches, inside: dict[tuple[str, int], bool]):
             names=["file", "block", "kind", "record"])
 
     def left_over():
+        if left and (key[0], True) in later:
+            raise ValueError("a file's header and notes must lie in its first stretch")
         if pending:
             yield rows([MIDDLE if kind == CLOSE else OPEN], ["\n".join(pending)])
 
+    later = {(file, True) for file, block in inside if block}
     for batch in batches:
         values, files, blocks = (batch.column(i) for i in range(3))
         names, places = files.to_pylist(), blocks.to_pylist()
@@ -58,37 +61,39 @@ def joined_lines(batches, inside: dict[tuple[str, int], bool]):
                 key, pending = (names[start], places[start]), []
                 if key not in inside:
                     raise ValueError("the files or the size of their stretches changed since their quotes were counted")
-                odd, first = inside[key], key[1] == 0
+                odd, left = inside[key], 0 if key[1] else skip + 1
                 kind = CLOSE if odd else RECORD
             part = values.slice(start, end - start)
             parity = pc.count_substring(part, '"').to_numpy(zero_copy_only=False) & 1
             if not odd and not parity.any():  # no record runs over a line
-                skip = int(first)
-                yield rows([RECORD] * (len(part) - skip), part.slice(skip))
-                first = False
+                out = min(left, len(part))
+                yield rows([RECORD] * (len(part) - out), part.slice(out))
+                left -= out
                 continue
             kinds, records = [], []
             for line, ends_odd in zip(part.to_pylist(), (int(odd) + np.cumsum(parity)) & 1):
                 pending.append(line)
                 if not ends_odd:
-                    if not first:
+                    if left:
+                        left -= 1
+                    else:
                         kinds.append(kind)
                         records.append("\n".join(pending))
-                    first, kind, pending = False, RECORD, []
+                    kind, pending = RECORD, []
             odd = bool((int(odd) + parity.sum()) & 1)
             yield rows(kinds, records)
     if key is not None:
         yield from left_over()
 
 
-def whole_records(spark: SparkSession, paths: str | list[str], tolerant: bool = False) -> DataFrame:
-    """(file, record): every record of the files below their headers, without its line end."""
+def whole_records(spark: SparkSession, paths: str | list[str], tolerant: bool = False, skip: int = 0) -> DataFrame:
+    """(file, record): every record of the files below their headers and ``skip`` more, without its line end."""
     lines = lines_of(spark, paths, tolerant)
     inside = starts_inside(lines)
     shared = spark.sparkContext.broadcast(inside)
 
     def task(batches):
-        yield from joined_lines(batches, shared.value)
+        yield from joined_lines(batches, shared.value, skip)
 
     pieces = lines.mapInArrow(task, "file string, block bigint, kind string, record string")
     out = pieces.filter(F.col("kind") == RECORD).select("file", "record")

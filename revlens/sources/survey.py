@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens import lexicons as lx
 from revlens.functions.text import likert_recode
 from revlens.operators.stats import cronbach_alpha
+from revlens.sources.records import whole_records
 
 
 def read_survey(spark: SparkSession, path: str, is_note: Column | None = None, skip: int = 2) -> DataFrame:
     """A survey export without its leading note rows.
 
     ``is_note`` marks them where the export has a marker. Otherwise the first ``skip`` data rows of the file go,
-    by position within each file.
+    by position within each file. Large files are read by many tasks, also with line breaks inside answers.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    if is_note is not None:
-        return raw.filter(~F.coalesce(is_note, F.lit(False)))
-    # A multi-line file is read by one task in order, so the running id ascends within a file. The first ``skip`` ids of
-    # each file go; Spark keeps that many per file before the shuffle.
-    numbered = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.partitionBy("_file").orderBy("_row"))
-    notes = numbered.select("_file", "_row").withColumn("_place", place).filter(F.col("_place") <= skip)
-    last = notes.groupBy(F.col("_file").alias("_f")).agg(F.max("_row").alias("_last"))
-    kept = numbered.join(last, F.col("_file") == F.col("_f"), "left").filter(F.col("_row") > F.coalesce("_last", F.lit(-1)))
-    return kept.select(*[F.col(f"`{c}`") for c in raw.columns])
+    options = {"escape": '"', "multiLine": "true"}
+    names = spark.read.options(header=True, **options).csv(path).columns  # of the first line
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    records = whole_records(spark, path, skip=0 if is_note is not None else skip)
+    raw = records.select(F.from_csv("record", fields, options).alias("r")).select("r.*")
+    return raw if is_note is None else raw.filter(~F.coalesce(is_note, F.lit(False)))
 
 
 def recode_survey(df: DataFrame, columns: list[str] | None = None, scale=None) -> DataFrame:

@@ -79,3 +79,12 @@ def test_other_stretches_than_were_counted_are_refused(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert whole_records(spark, str(tmp_path)).count() == 200
+
+
+def test_notes_below_the_header(spark, tmp_path, small_stretches):
+    rows = [("note", "two\nlines", ""), ("note", "", "")] + [(str(i), "text " * 5, "1") for i in range(60)]
+    write(tmp_path / "a.csv", rows)
+    assert whole_records(spark, str(tmp_path), skip=2).count() == 60
+    write(tmp_path / "b.csv", [("note", "long " * 50, "")] * 3)
+    with pytest.raises(Exception, match="must lie in its first stretch"):
+        whole_records(spark, str(tmp_path / "b.csv"), skip=3).collect()

@@ -169,6 +169,10 @@ def test_seed_anchor(spark):
     # 0: both topics hit two and one distinct words. 2: a tie goes to the first topic.
     assert column(lab.seed_anchor(df, [["a", "b"], ["c", "x"]]), "anchor") == [0, 1, 1, -1]
     assert column(lab.seed_anchor(df, [["a"], ["c"]]), "anchor") == [0, -1, 0, -1]
+    texts = [(0, "my bank money and crash"), (1, "the app forgets history again"), (2, "هک و دزد"), (3, "why no source or link"), (4, "plain")]
+    df = spark.createDataFrame(texts, "i int, cleaned_content string")
+    assert column(lab.seed_anchor(df), "anchor") == [3, 2, 0, 6, -1]
+    assert len(lx.SEED_TOPICS) == 7 and all(len(words) == 40 for words in lx.SEED_TOPICS.values())
 
 
 def test_target_class(one):
