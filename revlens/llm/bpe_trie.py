@@ -2,8 +2,9 @@
 
 The encoding of a prefix is fixed by its last token: the rest is the encoding of the shorter prefix before it. Exactly
 one token that ends a prefix can stand last, the one that merging keeps apart from the last token of what comes before.
-Words of a slice are visited in sorted order, which is a depth-first walk of their trie: the stack holds the last token
-and the encoding of every prefix on the current path, so a shared prefix is encoded once.
+Words of a slice are visited in sorted order, which is a depth-first walk of their trie: the stack holds the last token of
+every prefix on the current path and where it begins, so a shared prefix is encoded once. A word's ids are read off these
+back pointers at its end, so memory grows with the length of a word and not with its square.
 
 Every text is read whole. Null and empty texts give no ids and an empty decoded text. Rows are independent: ties,
 repeated rows, empty tables and further columns change nothing.
@@ -99,13 +100,13 @@ class TrieEncoder:
         """Ids (2 bytes each) of each spelled word. The words must be distinct and sorted."""
         m, id_bytes, lengths, memo = self.merges, self.id_bytes, self.lengths, self.merges.memo
         inner, final = m.inner, m.final
-        last, ids, path = [START], [b""], ""
+        last, back, path = [START], [0], ""
         for word in spellings:
             n = len(word) - 1  # the last letter is of another kind: it ends the word
             shared, most = 0, min(n, len(path))
             while shared < most and word[shared] == path[shared]:
                 shared += 1
-            del last[shared + 1:], ids[shared + 1:]
+            del last[shared + 1:], back[shared + 1:]
             path = word[:n]
             for end in range(shared + 1, n + 2):
                 pieces = inner if end <= n else final
@@ -123,12 +124,17 @@ class TrieEncoder:
                         fits = memo[key] = m.fits(last[end - length], token)
                     if fits:
                         last.append(token)
-                        ids.append(ids[end - length] + id_bytes[token])
+                        back.append(end - length)
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            yield ids[n + 1]
-            del last[n + 1:], ids[n + 1:]
+            made, at = [], n + 1
+            while at:
+                made.append(id_bytes[last[at]])
+                at = back[at]
+            made.reverse()
+            yield b"".join(made)
+            del last[n + 1:], back[n + 1:]
         if len(memo) > self.memo_limit:
             memo.clear()
 

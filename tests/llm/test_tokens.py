@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from array import array
 
@@ -152,3 +153,19 @@ def test_one_instance_outlives_a_task():
     assert common.held("x", "p", lambda: object()) is not a
     b = common.held("y", "p", lambda: object())
     assert common.held("x", "p", lambda: object()) is not b and len([k for k in common._HELD if k != "used"]) == 1
+
+
+def test_memory_of_a_very_long_word_grows_with_its_length():
+    r = random.Random(4)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    path = tokenizer_file("word_bpe_49k.json")
+    codec = Codec(path)
+    tracemalloc.start()
+    ids, short = codec.encode([word, word[:50]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    expected = Tokenizer.from_file(path)
+    expected.no_truncation()
+    assert np.frombuffer(ids, "<u2").tolist() == expected.encode(word, add_special_tokens=False).ids
+    assert np.frombuffer(short, "<u2").tolist() == expected.encode(word[:50], add_special_tokens=False).ids
