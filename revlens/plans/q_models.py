@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revlens import lexicons as lx
 from revlens.functions import text as tx
 from revlens.operators import attribution as at
+from revlens.operators import cooccurrence as co
 from revlens.operators import density as dn
 from revlens.operators import features as ft
 from revlens.operators import labelling as lab
@@ -348,7 +349,7 @@ def _(spark, folder):
 
 
 def _tokens(spark, folder):
-    rows = documents(spark, folder, "doc_id", "text")
+    rows = documents(spark, folder, "doc_id", "text", parts=PARTS)
     clean = rows.select("doc_id", tx.clean_symbols_letters(F.col("text")).alias("clean"))
     from revlens.operators.filters import sentences
 
@@ -360,18 +361,29 @@ _VOCABULARY = f"""WITH t AS (SELECT {sq.words(sq.clean_symbols('text'))} AS w FR
 
 
 def trained_vectors(spark, folder):
-    """Word vectors of the documents, trained once per session and folder."""
+    """Word vectors of the documents, made once for the same state of the tables."""
     place = state_of(spark, folder)
     if place not in _VECTORS:
         _VECTORS.clear()
-        model = md.word_vectors(materialised(_tokens(spark, folder), "tokens"))
-        _VECTORS[place] = materialised(model.getVectors().select("word", _as_array("vector").alias("vector")), "word-vectors")
+        _VECTORS[place] = materialised(co.factor_vectors(materialised(_tokens(spark, folder), "tokens")), "word-vectors")
     return _VECTORS[place]
 
 
 _VECTORS: dict = {}
 
 
+@query(
+    "cooccurrences",
+    f"""WITH t AS (SELECT {sq.words(sq.clean_symbols('text'))} AS w FROM documents),
+        p AS (SELECT unnest(w[1:greatest(len(w) - o, 0)]) AS a, unnest(w[1 + o:]) AS b FROM t, (VALUES (1), (2), (3), (4), (5)) d(o) WHERE len(w) > 2)
+        SELECT word, count(*) AS total, count(DISTINCT other) AS others
+        FROM (SELECT a AS word, b AS other FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1""",
+)
+def _(spark, folder):
+    counts = co.cooccurrences(_tokens(spark, folder))
+    return counts.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("others"))
+
+
 @query("word_vectors", _VOCABULARY)
 def _(spark, folder):
     return trained_vectors(spark, folder).select("word", F.size("vector").alias("dims"))
