@@ -11,14 +11,22 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.session import materialised
 
-VECTORS = "word string, v array<double>"
+VECTORS = "word string, v binary"  # doubles
+ENTRIES_A_PART, STEP = 500_000, 20_000  # entries of the matrix in a group, and in one product
+
+
+def stacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
+
+
+def as_rows(matrix: np.ndarray) -> list[bytes]:
+    width, whole = matrix.shape[1] * 8, np.ascontiguousarray(matrix, dtype=np.float64).tobytes()
+    return [whole[i * width: (i + 1) * width] for i in range(len(matrix))]
 
 
 def word_counts(tokens: DataFrame, column: str = "tokens", min_count: int = 3) -> DataFrame:
@@ -54,11 +62,37 @@ def positive_information(counts: DataFrame, shift: float = 1.0) -> DataFrame:
     return joined.select("word", "other", weight.alias("weight")).filter("weight > 0")
 
 
-def times(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The symmetric matrix times a block of vectors; words without an entry are missing from the result."""
-    right = vectors.select(F.col("word").alias("o"), array_to_vector("v").alias("x"))
-    sums = matrix.join(right, F.col("other") == F.col("o")).groupBy("word").agg(Summarizer.sum(F.col("x"), F.col("weight")).alias("v"))
-    return sums.select("word", vector_to_array("v").alias("v"))
+def times(matrix: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
+    """The symmetric matrix times a block of vectors; words without an entry are missing from the result.
+
+    Both tables are dealt by the matrix's second word to ``parts`` groups, whose products are summed per word there and
+    then, dealt by that word, once more. A word has at most one entry per other word.
+    """
+    def product(entries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Index(block["word"]).get_indexer(entries["other"])
+        entries = entries.assign(at=at)[at >= 0].sort_values("word", kind="stable")
+        if not len(entries):
+            return pd.DataFrame({"word": [], "v": []}, dtype=object)
+        v = stacked(block["v"])
+        code, names = pd.factorize(entries["word"])
+        sums = np.zeros((len(names), v.shape[1]))
+        rows, weights = entries["at"].to_numpy(), entries["weight"].to_numpy()
+        for i in range(0, len(rows), STEP):
+            codes = code[i: i + STEP]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            sums[codes[first]] += np.add.reduceat(v[rows[i: i + STEP]] * weights[i: i + STEP, None], first)
+        return pd.DataFrame({"word": names, "v": as_rows(sums)})
+
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("word", kind="stable")
+        code, names = pd.factorize(part["word"])
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        return pd.DataFrame({"word": names, "v": as_rows(np.add.reduceat(stacked(part["v"]), first))})
+
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).alias("part")
+    left = matrix.select("word", "other", "weight", dealt("other")).groupBy("part")
+    products = left.cogroup(vectors.select("word", "v", dealt("word")).groupBy("part")).applyInPandas(lambda a, b: product(a, b), VECTORS)
+    return products.withColumn("part", dealt("word")).groupBy("part").applyInPandas(lambda rows: total(rows), VECTORS)
 
 
 def inner(vectors: DataFrame, others: DataFrame | None = None) -> np.ndarray:
@@ -70,8 +104,8 @@ def inner(vectors: DataFrame, others: DataFrame | None = None) -> np.ndarray:
         whole = 0.0
         for b in batches:
             if len(b):
-                v = np.stack(b["v"].to_numpy())
-                whole = whole + v.T @ (np.stack(b["u"].to_numpy()) if paired else v)
+                v = stacked(b["v"])
+                whole = whole + v.T @ (stacked(b["u"]) if paired else v)
         if not np.isscalar(whole):
             i, j = np.indices(whole.shape)
             yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": whole.ravel()})
@@ -89,7 +123,7 @@ def turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
     def task(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"word": b["word"], "v": list(np.stack(b["v"].to_numpy()) @ by)})
+                yield pd.DataFrame({"word": b["word"], "v": as_rows(stacked(b["v"]) @ by)})
 
     return vectors.mapInPandas(task, VECTORS)
 
@@ -104,7 +138,7 @@ def orthonormal(vectors: DataFrame) -> DataFrame:
 def random_start(words: DataFrame, width: int, seed: int) -> DataFrame:
     def task(batches):
         for b in batches:
-            rows = [np.random.default_rng(int(h) & (1 << 63) - 1).standard_normal(width) for h in b["h"]]
+            rows = [np.random.default_rng(int(h) & (1 << 63) - 1).standard_normal(width).tobytes() for h in b["h"]]
             yield pd.DataFrame({"word": b["word"], "v": rows})
 
     return words.select("word", F.xxhash64(F.lit(seed), "word").alias("h")).mapInPandas(task, VECTORS)
@@ -122,16 +156,23 @@ def factor_vectors(
     pairs = cooccurrences(tokens, column, window)
     pairs = pairs.join(words, "word", "left_semi").join(words.select(F.col("word").alias("other")), "other", "left_semi")
     matrix = materialised(positive_information(materialised(pairs, "pairs"), shift), "information")
-    block = materialised(times(matrix, random_start(words, size + spare, seed)), "block")
+    parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(matrix.count() / ENTRIES_A_PART))
+    block = materialised(times(matrix, random_start(words, size + spare, seed), parts), "block")
     for _ in range(rounds):
         block = materialised(orthonormal(block), "block")
-        block = materialised(times(matrix, block), "block")
+        block = materialised(times(matrix, block, parts), "block")
     basis = materialised(orthonormal(block), "basis")
-    small = inner(basis, times(matrix, basis))
+    small = inner(basis, times(matrix, basis, parts))
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:size]
     by = np.zeros((len(values), size))
     by[:, : len(order)] = turn[:, order] * np.sqrt(np.maximum(values[order], 0.0))
-    found = turned(basis, by).select("word", F.col("v").alias("vector"))
+
+    def unpacked(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"word": b["word"], "vector": list(stacked(b["v"]) @ by)})
+
+    found = basis.mapInPandas(unpacked, "word string, vector array<double>")
     zeros = F.array_repeat(F.lit(0.0), size)
     return words.join(found, "word", "left").select("word", F.coalesce("vector", zeros).alias("vector"))
