@@ -30,6 +30,7 @@ from revlens.llm.textstats import mixed
 WINDOW, RUN, VOTES = 64, 64, 4
 LEVELS = 1000
 TRIVIAL = 100  # windows of lower entropy (in thousandths) are no features
+BLOCK_BYTES = 1 << 24  # of filters compared at a time
 FILTER_BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
 UNIT = 1 << 20  # fixed-point unit of entropies
 BLOCK = 1 << 16
@@ -185,11 +186,14 @@ class Digest:
         if not len(self.counts) or not len(other.counts):
             return float(len(self.counts) == len(other.counts))
         a, b = (self, other) if self.order() <= other.order() else (other, self)
-        common = np.bitwise_count(a.filters[:, None] & b.filters[None]).sum(2).astype(np.float64)
-        most = np.minimum(a.ones[:, None], b.ones[None]).astype(np.float64)
-        chance = a.ones[:, None] * b.ones[None] / FILTER_BITS  # bits that filters without a common feature share on average
-        beyond = np.where(common > chance + 3 * np.sqrt(chance), (common - chance) / np.maximum(most - chance, 1), 0)
-        best = np.clip(np.where(common == most, 1.0, beyond), 0, 1).max(1)
+        best, step = np.zeros(len(a.counts)), max(1, BLOCK_BYTES // b.filters.size)
+        for i in range(0, len(best), step):  # memory does not grow with the product of both lengths
+            filters, ones = a.filters[i: i + step], a.ones[i: i + step]
+            common = np.bitwise_count(filters[:, None] & b.filters[None]).sum(2).astype(np.float64)
+            most = np.minimum(ones[:, None], b.ones[None]).astype(np.float64)
+            chance = ones[:, None] * b.ones[None] / FILTER_BITS  # bits that filters without a common feature share on average
+            beyond = np.where(common > chance + 3 * np.sqrt(chance), (common - chance) / np.maximum(most - chance, 1), 0)
+            best[i: i + step] = np.clip(np.where(common == most, 1.0, beyond), 0, 1).max(1)
         return float((best * a.counts).sum() / a.counts.sum())
 
 

@@ -2,11 +2,13 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from revlens.llm import bloom_digest
 from revlens.llm.bloom_digest import Digest, compare_with_next, digests, edited, levels_of_texts, op10_bloom_digest, rarity, window_levels
 from revlens.llm.components import connected
 from revlens.llm.lsh_forest import intersections, near_duplicates, one_of_each, op1_lsh_forest, shingle_sets
@@ -193,3 +195,18 @@ def test_op10_with_null_and_repeated_ids(spark):
     single = plain(spark, [(1, "only one " * 20, "en", "a")])
     assert compare_with_next(single, rarity(single)).first()["near_next"] == 1
     assert compare_with_next(plain(spark, []), rarity(plain(spark, []))).count() == 0
+
+
+def test_likeness_of_long_digests_is_taken_in_blocks(monkeypatch):
+    r = np.random.default_rng(1)
+    made = [bloom_digest.Digest(r.integers(1, 160, n), np.packbits(r.random((n, bloom_digest.FILTER_BITS)) < 0.3, axis=1)) for n in (70, 90, 90)]
+    whole = [a.likeness(b) for a in made for b in made]
+    monkeypatch.setattr(bloom_digest, "BLOCK_BYTES", 70_000)
+    assert [a.likeness(b) for a in made for b in made] == whole and whole[0] == 1.0
+    monkeypatch.undo()
+    long = bloom_digest.Digest(np.full(4000, 160), np.packbits(r.random((4000, bloom_digest.FILTER_BITS)) < 0.3, axis=1))
+    tracemalloc.start()
+    assert long.likeness(long) == 1.0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
