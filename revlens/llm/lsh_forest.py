@@ -1,13 +1,17 @@
 """Near duplicates by a MinHash LSH forest: prefix tries of signatures, then exact verification.
 
 A text is the set of its 5-word shingles. Texts with equal sets are one node. Each node has a MinHash signature, cut into
-the keys of ``TREES`` sorted prefix tries of ``DEPTH`` values. Nodes that share a prefix in any tree are candidates. The
-prefix is the longest at which a pair of similarity 0.8 shares one with a chance of ``TARGET`` or more, at least ``FLOOR``
-values: 4 of them give 0.9997. What else the table holds has no part in it.
+the keys of ``TREES`` sorted prefix tries of ``DEPTH`` values. Nodes that share a prefix in any tree are candidates.
 
-Candidates whose signatures agree far less than 0.8 would make them are dropped (0.0003 % of the pairs at 0.8), and the others
-form families, the components of the candidate graph. All pairs of a family are then verified on the exact shingle sets,
-so links inside a family are found whether or not a trie held them.
+The search begins with whole keys and shortens the prefix value by value. A level looks at the trie nodes that bring
+together families not joined before, compares only members of different families, and drops those whose signatures agree
+far less than a similarity of 0.8 would make them (0.0003 % of the pairs at 0.8). What it joins is verified on the exact
+shingle sets before the next level, again only between members that no earlier level had in one family; so every pair of
+a family is verified once, whether or not a trie held it.
+
+The verified pairs from 0.8 to 0.8 + ``NEAR`` tell when to stop: each stands for 1 / p of them, where p is the chance that a
+prefix of the present length finds a pair of its similarity. Closer copies have no part in this, as any length finds them.
+Below ``TARGET``, or with no such pair, the prefix gets shorter, down to ``FLOOR`` values, which find 0.9997 of the pairs at 0.8.
 
 No pair of a group is ever a row. Members of a trie node or a family go to blocks of bounded size, each pair of blocks
 meets in one task, and a task gives back a spanning forest of its links and a count per node. A group's rows are so dealt
@@ -37,6 +41,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8
 TREES, DEPTH, FLOOR = 16, 6, 4
 TARGET = 0.999
 VALUES = TREES * DEPTH
+NEAR, BINS = 0.02, 4  # verified pairs that the recall is estimated from, in bins of similarity
 LEAST_AGREEMENT = 0.6
 BLOCK_NODES = 512
 FAMILY_NODES, FAMILY_BYTES = 512, 8_000_000
@@ -183,31 +188,36 @@ def in_blocks(members: DataFrame, group: list[str], blocks: Column) -> DataFrame
 
 
 def candidate_edges(active: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the candidates at this prefix length. ``active``: s, sig."""
+    """Edges (a, b) between families that have candidates at this prefix length, a spanning forest per block.
+
+    ``active``: s, sig, l (the node's family so far). Trie nodes within one family are left out.
+    """
     keys = trie_keys(active, depth)
-    nodes = keys.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    nodes = nodes.select(F.col("tree").alias("t"), F.col("prefix").alias("p"), "n")
-    members = keys.join(nodes, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p"))).drop("t", "p")
-    members = members.join(active.select(F.col("s").alias("x"), "sig"), F.col("s") == F.col("x")).drop("x")
-    blocks = in_blocks(members, ["tree", "prefix"], F.ceil(F.col("n") / BLOCK_NODES)).select(
-        "tree", "prefix", "lo", "hi", "s", "own", "sig")
+    nodes = keys.groupBy("t").agg(F.count("*").alias("n"), F.min("family").alias("first"), F.max("family").alias("last"))
+    nodes = nodes.filter("first <> last").select(F.col("t").alias("node"), "n")
+    members = keys.select("s", "t").join(nodes, F.col("t") == F.col("node")).drop("node")
+    members = members.join(active.select(F.col("s").alias("x"), "sig", "l"), F.col("s") == F.col("x")).drop("x")
+    blocks = in_blocks(members, ["t"], F.ceil(F.col("n") / BLOCK_NODES)).select("t", "lo", "hi", "own", "sig", "l")
 
     def task(batches):
-        for (_, _, lo, hi), (names, own, sigs) in grouped(batches, 4):
-            values = np.frombuffer(b"".join(sigs), ">u2").reshape(len(names), VALUES).astype(np.uint16)
-            own = np.array(own)
+        for (_, lo, hi), (own, sigs, labels) in grouped(batches, 3):
+            values = np.frombuffer(b"".join(sigs), ">u2").reshape(len(sigs), VALUES).astype(np.uint16)
+            own, family = np.array(own), numbered(labels)
             left = np.flatnonzero(own == lo)
             right = left if lo == hi else np.flatnonzero(own == hi)
             if not len(left) or not len(right):
                 continue
+            apart = family[left][:, None] != family[right][None]
+            if not apart.any():
+                continue
             a, b = values[left], values[right]
             agree = np.zeros((len(a), len(b)), np.uint8)
             for k in range(VALUES):
                 agree += (a[:, k][:, None] == b[:, k][None]).view(np.uint8)
-            linked = agree >= LEAST_AGREEMENT * VALUES
+            linked = (agree >= LEAST_AGREEMENT * VALUES) & apart
             if lo == hi:
                 linked = np.triu(linked, 1)
-            pairs = forest_edges([names[i] for i in left], linked, None if lo == hi else [names[i] for i in right])
+            pairs = forest_edges([labels[i] for i in left], linked, None if lo == hi else [labels[i] for i in right])
             if pairs:
                 yield pa.RecordBatch.from_pydict({
                     "a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
@@ -215,28 +225,64 @@ def candidate_edges(active: DataFrame, depth: int) -> DataFrame:
     return blocks.mapInArrow(task, "a binary, b binary")
 
 
-def prefix_length() -> int:
-    """The longest prefix that a pair at the threshold shares in some tree with a chance of TARGET, FLOOR at least."""
-    lengths = range(DEPTH, FLOOR, -1)
-    return next((n for n in lengths if 1 - (1 - (NUMERATOR / DENOMINATOR) ** n) ** TREES >= TARGET), FLOOR)
+def numbered(labels: list[bytes]) -> np.ndarray:
+    """A number for each label, the same for equal ones."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    return np.array([number[x] for x in labels])
 
 
-def trie_keys(nodes: DataFrame, depth: int) -> DataFrame:
-    """(s, tree, prefix) of every node in every tree."""
-    rows = nodes.select("s", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+def trie_keys(active: DataFrame, depth: int) -> DataFrame:
+    """(s, t, family) of every node in every tree: hashes of the tree's prefix and of the node's family."""
+    rows = active.select("s", "sig", F.xxhash64("l").alias("family"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     prefix = F.substring(F.col("sig"), F.col("tree") * F.lit(2 * DEPTH) + 1, F.lit(2 * depth))
-    return rows.select("s", "tree", prefix.alias("prefix"))
-
-
-def families(nodes: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that have a candidate, labelled by family."""
-    depth = prefix_length()
-    keys = trie_keys(nodes, depth)
-    shared = keys.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = shared.select(F.col("tree").alias("t"), F.col("prefix").alias("p"))
-    held = keys.join(shared, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p")), "left_semi").select("s").distinct()
-    active = staged(nodes.select("s", "sig").join(held.withColumnRenamed("s", "x"), F.col("s") == F.col("x"), "left_semi"), "active")
-    return connected(staged(candidate_edges(active, depth), "candidates"))
+    return rows.select("s", F.xxhash64("tree", prefix).alias("t"), "family")
+
+
+def chance(similarity: float, depth: int) -> float:
+    """That a pair shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity ** depth) ** TREES
+
+
+def recall(near: dict[int, int], depth: int) -> float:
+    """Share of the pairs near the threshold that a prefix of this length finds, from those found by bin; 0 without any."""
+    due = sum(n / chance(NUMERATOR / DENOMINATOR + k * NEAR / BINS, depth) for k, n in near.items())
+    return sum(near.values()) / due if due else 0.0
+
+
+def descend(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(a, b, links) of all levels as ``verified`` gives them, and the length of the last prefix."""
+    active = nodes.select("s", "sig", F.col("s").alias("l"))
+    near: dict[int, int] = {}
+    found = None
+    for depth in range(DEPTH, FLOOR - 1, -1):
+        edges = staged(candidate_edges(active, depth), "candidates")
+        if not edges.isEmpty():
+            joined = connected(edges)
+            links = staged(verified(with_texts(docs, nodes, active, joined, key, text)), "links")
+            found = links if found is None else found.unionAll(links)
+            for r in links.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # BINS rows at most
+                near[r["bin"]] = near.get(r["bin"], 0) + r["n"]
+        if depth == FLOOR or recall(near, depth) >= TARGET:
+            break
+        if not edges.isEmpty():
+            active = active.join(joined, F.col("l") == F.col("node"), "left").select("s", "sig", F.coalesce("label", "l").alias("l"))
+            active = staged(active, "active")
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], LINKS)
+    return found, depth
+
+
+def with_texts(docs: DataFrame, nodes: DataFrame, active: DataFrame, joined: DataFrame, key: str, text: str) -> DataFrame:
+    """Members of the families that a level has joined, with their shingles and the family before, for ``verified``."""
+    members = active.select("s", "l").join(joined, F.col("l") == F.col("node")).select(
+        F.col("s").alias("m"), F.col("l").alias("before"), F.col("label").alias("family"))
+    members = members.join(nodes.select("s", "size", "copies", "first_id", "first_hash"), F.col("m") == F.col("s")).drop("s")
+    sizes = members.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("nodes"), F.sum(8 * F.col("size")).alias("bytes"))
+    members = members.join(sizes, F.col("family") == F.col("f")).drop("f", "size")
+    texts = docs.select(col(key).alias("id"), col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    texts = texts.join(members, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_hash")))
+    texts = with_sets(texts.select("t", "m", "before", "family", "copies", "nodes", "bytes"), "t", "s", shingles="sh")
+    return texts.filter("s = m").drop("t", "m").dropDuplicates(["s"])  # rows that repeat id and text
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -258,40 +304,49 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+LINKS = "a binary, b binary, links bigint, bin int"
+
+
 def verified(members: DataFrame) -> DataFrame:
-    """Exact links inside families. ``members``: family, s, copies, nodes, bytes, sh.
+    """Exact links between members of a family that were in different ones before.
 
-    Result: (a, b) edges of a spanning forest; (a, links): documents linked to each of a's documents by this block.
+    ``members``: family, before, s, copies, nodes, bytes, sh. Result: (a, b) edges of a spanning forest; (a, links):
+    documents linked to each of a's documents by this block; (links, bin): pairs near the threshold.
     """
     blocks = F.ceil(F.greatest(F.col("nodes") / FAMILY_NODES, F.col("bytes") / FAMILY_BYTES, F.lit(1)))
-    rows = in_blocks(members, ["family"], blocks).select("family", "lo", "hi", "s", "own", "copies", "sh")
+    rows = in_blocks(members, ["family"], blocks).select("family", "lo", "hi", "s", "own", "before", "copies", "sh")
 
     def task(batches):
-        for (_, lo, hi), (names, own, copies, shingles) in grouped(batches, 3):
-            sets = [np.frombuffer(x, np.uint64) for x in shingles]
-            own, copies = np.array(own), np.array(copies)
+        for (_, lo, hi), (names, own, before, copies, shingles) in grouped(batches, 3):
+            own, copies, before = np.array(own), np.array(copies), numbered(before)
             left = np.flatnonzero(own == lo)
             right = left if lo == hi else np.flatnonzero(own == hi)
             if not len(left) or not len(right):
                 continue
+            apart = before[left][:, None] != before[right][None]
+            if not apart.any():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in shingles]
             sizes = np.array([len(x) for x in sets])
             common = intersections([sets[i] for i in left], [sets[i] for i in right])
             union = sizes[left][:, None] + sizes[right][None] - common
-            linked = DENOMINATOR * common >= NUMERATOR * union
-            if lo == hi:
-                np.fill_diagonal(linked, False)
+            linked = (DENOMINATOR * common >= NUMERATOR * union) & apart
             pairs = forest_edges([names[i] for i in left], linked, None if lo == hi else [names[i] for i in right])
             counts = list(zip([names[i] for i in left], (linked @ copies[right]).tolist()))
             if lo != hi:
                 counts += zip([names[i] for i in right], (copies[left] @ linked).tolist())
             counts = [(s, n) for s, n in counts if n]
+            once = np.triu(linked) if lo == hi else linked
+            bins = ((common[once] / union[once] - NUMERATOR / DENOMINATOR) * (BINS / NEAR) + 1e-9).astype(np.int64)
+            bins = [(k, n) for k, n in enumerate(np.bincount(bins, minlength=BINS)[:BINS].tolist()) if n]
             if pairs or counts:
                 yield pa.RecordBatch.from_pydict({
-                    "a": pa.array([x for x, _ in [*pairs, *counts]], pa.binary()),
-                    "b": pa.array([*(y for _, y in pairs), *[None] * len(counts)], pa.binary()),
-                    "links": pa.array([*[None] * len(pairs), *(n for _, n in counts)], pa.int64())})
+                    "a": pa.array([*(x for x, _ in [*pairs, *counts]), *[None] * len(bins)], pa.binary()),
+                    "b": pa.array([*(y for _, y in pairs), *[None] * (len(counts) + len(bins))], pa.binary()),
+                    "links": pa.array([*[None] * len(pairs), *(n for _, n in [*counts, *bins])], pa.int64()),
+                    "bin": pa.array([*[None] * (len(pairs) + len(counts)), *(k for k, _ in bins)], pa.int32())})
 
-    return rows.mapInArrow(task, "a binary, b binary, links bigint")
+    return rows.mapInArrow(task, LINKS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,23 +356,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     set key of the class's least id; ``n_links``: other rows that are as alike as 0.8, copies included.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(col(key).alias("id"), col(text).alias("t"))
+    rows = docs.select(col(key).alias("id"), col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = staged(with_sets(rows, "t", "s", "size", "sig").drop("t"), "signatures")
     nodes = rows.filter("s IS NOT NULL").groupBy("s").agg(
-        F.count("*").alias("copies"), F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+        F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"),
+        F.first("size").alias("size"), F.first("sig").alias("sig"))
+    nodes = nodes.select("s", "copies", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_hash"), "size", "sig")
     nodes = staged(nodes, "nodes")
-    family = families(nodes)
-    sizes = family.join(nodes.select("s", "size"), F.col("node") == F.col("s")).groupBy("label").agg(
-        F.count("*").alias("nodes"), F.sum(8 * F.col("size")).alias("bytes"))
-    members = family.join(sizes.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).drop("l")
-    members = members.join(nodes.select("s", "copies", "first_id"), F.col("node") == F.col("s")).select(
-        F.col("label").alias("family"), F.col("s").alias("m"), "copies", "first_id", "nodes", "bytes")
-    texts = docs.select(col(key).alias("id"), col(text).alias("t")).join(members, F.col("id").eqNullSafe(F.col("first_id")))
-    texts = with_sets(texts.select("t", "m", "family", "copies", "nodes", "bytes"), "t", "s", shingles="sh").filter("s = m")
-    texts = texts.drop("t", "m").dropDuplicates(["s"])  # rows that repeat id and text
-    links = staged(verified(texts), "links")
+    links, _ = descend(docs, nodes, key, text)
     classes = connected(links.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "c")
-    linked = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    linked = links.filter("b IS NULL AND bin IS NULL").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     found = nodes.select("s", "copies", "first_id").join(classes, F.col("s") == F.col("c"), "left").join(
         linked, F.col("s") == F.col("k"), "left").select("s", "copies", "first_id", F.coalesce("label", "s").alias("label"),
                                                          F.coalesce("links", F.lit(0)).alias("links"))

@@ -87,6 +87,45 @@ def test_isolated_pairs_at_the_threshold_are_found_beside_many_close_copies(spar
     assert min(links[5000 + i] for i in range(200)) == 199
 
 
+def pair_of(i, words, changed_at):
+    first = [f"w{i}x{k}" for k in range(words)]
+    return " ".join(first), " ".join([*first[:changed_at], "other", *first[changed_at + 1:]])
+
+
+@pytest.mark.parametrize("words, last", [(49, 4), (54, 5)])  # similarities of 0.8 and 45 / 55
+def test_prefixes_shorten_until_pairs_near_the_threshold_are_found(spark, words, last):
+    """Close copies alone say nothing, so the floor is reached; pairs at 0.818 are found in full by five values."""
+    from revlens.llm import lsh_forest
+
+    data = [(2 * i + k, text) for i in range(300) for k, text in enumerate(pair_of(i, words, words // 2))]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = lsh_forest.with_sets(docs, "text", "s", "size", "sig").selectExpr(
+        "s", "1L AS copies", "doc_id AS first_id", "xxhash64(text) AS first_hash", "size", "sig")
+    links, depth = lsh_forest.descend(docs, rows, "doc_id", "text")
+    assert depth == last
+    assert links.filter("b IS NOT NULL").count() >= 299
+    close = docs.limit(0).unionAll(spark.createDataFrame([(i, changed(prose(4, 400), i, 0.002)) for i in range(20)], docs.schema))
+    rows = lsh_forest.with_sets(close, "text", "s", "size", "sig").selectExpr(
+        "s", "1L AS copies", "doc_id AS first_id", "xxhash64(text) AS first_hash", "size", "sig").dropDuplicates(["s"])
+    assert lsh_forest.descend(close, rows, "doc_id", "text")[1] == lsh_forest.FLOOR
+
+
+def test_estimated_recall():
+    from revlens.llm.lsh_forest import chance, recall
+
+    assert recall({}, 6) == 0
+    assert recall({0: 10}, 6) == pytest.approx(chance(0.8, 6)) and recall({0: 10}, 4) > 0.999
+    assert recall({0: 10}, 5) < recall({0: 10, 3: 10}, 5) < recall({3: 10}, 5)
+
+
+def test_rows_that_repeat_an_id_do_not_multiply(spark):
+    text = prose(31, 200)
+    data = [(7, changed(text, i, 0.005), "en", "a") for i in range(40)] + [(None, changed(text, 90 + i, 0.005), "en", "a") for i in range(20)]
+    data += [(7, text, "en", "a")] * 30
+    out = near_duplicates(plain(spark, data)).select("id", "class_id", "n_links")
+    assert sorted(map(tuple, out.collect()), key=str) == brute(data)
+
+
 def test_one_of_each_keeps_the_least_id(spark):
     data = near_rows()
     docs = table(spark, data)
