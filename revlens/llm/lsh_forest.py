@@ -278,7 +278,7 @@ def with_texts(docs: DataFrame, nodes: DataFrame, active: DataFrame, joined: Dat
         F.col("s").alias("m"), F.col("l").alias("before"), F.col("label").alias("family"))
     members = members.join(nodes.select("s", "size", "copies", "first_id", "first_hash"), F.col("m") == F.col("s")).drop("s")
     sizes = members.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("nodes"), F.sum(8 * F.col("size")).alias("bytes"))
-    members = members.join(sizes, F.col("family") == F.col("f")).drop("f", "size")
+    members = staged(members.join(sizes, F.col("family") == F.col("f")).drop("f", "size"), "members")  # Spark knows its size
     texts = docs.select(col(key).alias("id"), col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     texts = texts.join(members, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_hash")))
     texts = with_sets(texts.select("t", "m", "before", "family", "copies", "nodes", "bytes"), "t", "s", shingles="sh")
