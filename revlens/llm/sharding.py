@@ -117,12 +117,16 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id"
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> list[str]:
-    """Write the rows to ``path``, one folder per shard; returns the names of the columns that folders stand for."""
+    """Write the rows to ``path``, one folder per shard; returns the names of the columns that folders stand for.
+
+    There are as many tasks as shards half full would hold the bytes, so a task's share stays the same as tables grow.
+    """
     names = fresh(docs, "_h", "_bytes", "_depth", "_prefix", "_page")
     sizes = staged(docs.select(hash60(col(key)).alias("h"), text_bytes(text).alias("n_bytes")), "shard-rows")
     rows = docs.withColumn(names[0], hash60(col(key))).withColumn(names[1], text_bytes(text))
     rows = placed(rows, sizes, limit, names).drop(*names[:2])
-    rows.repartition(*[col(n) for n in names[2:]]).write.partitionBy(*names[2:]).parquet(path)
+    held = sizes.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
+    rows.repartition(max(1, math.ceil(2 * held / limit)), *[col(n) for n in names[2:]]).write.partitionBy(*names[2:]).parquet(path)
     return names[2:]
 
 

@@ -349,6 +349,16 @@ def test_repeated_and_null_ids_stay_as_many_rows_in_the_shards(spark, tmp_path):
     assert all((r["b"] or 0) <= 1000 for r in sizes)
 
 
+def test_tasks_that_write_shards_grow_with_the_bytes(spark, tmp_path):
+    docs = plain(spark, [(i, "x" * 1000, "en", "a") for i in range(400)])
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for limit, tasks in ((400_000, 2), (10_000, 80)):
+        write_shards(docs, f"{tmp_path}/{limit}", limit)
+        writers = {f.split("part-")[1][:5] for _, _, names in os.walk(f"{tmp_path}/{limit}") for f in names if f.startswith("part-")}
+        assert len(writers) <= tasks
+    assert len(writers) > setting  # shards, not the setting, decide
+
+
 def test_op6_tells_what_the_written_shards_hold(spark, tmp_path):
     data = rows()
     path = folder(spark, tmp_path, data)
