@@ -82,6 +82,20 @@ def test_weights_add_up(rows):
     assert all(abs(r.w - 200) < 1e-6 for r in out)
 
 
+def test_rows_of_a_class_or_an_ecosystem_are_not_gathered(spark, rows):
+    from revlens.plans.q_models import planted
+
+    frames = [ft.balanced_weights(rows, "Composite_Trust"), planted(rows.withColumn("ecosystem", F.when(F.col("score") == 5, "x").otherwise("y")))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in frames:
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+            assert frame.count() == rows.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def brute_tfidf(texts, limit):
     import re
 
