@@ -118,6 +118,32 @@ def brute_tfidf(texts, limit):
     return out
 
 
+@pytest.mark.parametrize("limit", [3, 8, 25, 1000])
+def test_vocabulary_counts_only_pairs_that_may_be_in_it(spark, limit, monkeypatch):
+    r = random.Random(limit)
+    words = [f"w{min(int(r.expovariate(0.4)), 9)}" for _ in range(1200)]
+    texts = [" ".join(words[i: i + 12]) for i in range(0, 1200, 12)] + ["", None, "w0", "rare one", "w1 w1 w1 w1"]
+    total, df = {}, {}
+    for t in texts:
+        own = [w for w in (t or "").split() if len(w) > 1]
+        terms = own + [f"{a} {b}" for a, b in zip(own, own[1:])]
+        for x in terms:
+            total[x] = total.get(x, 0) + 1
+        for x in set(terms):
+            df[x] = df.get(x, 0) + 1
+    want = [(x, total[x], df[x]) for x in sorted(total, key=lambda x: (-total[x], x))[:limit]]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [tuple(x) for x in ft.vocabulary(rows, limit, "text").collect()] == want
+    counted = []
+    plain = ft.materialised
+    monkeypatch.setattr(ft, "materialised", lambda table, name: plain(table, name) if name != "vocabulary" else counted.append(table) or plain(table, name))
+    ft.vocabulary(rows, 3, "text")
+    plan = counted[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # pairs meet the frequent words before they are counted
+    monkeypatch.setattr(ft, "MANY_WORDS", 0)
+    assert [tuple(x) for x in ft.vocabulary(rows, limit, "text").collect()] == want
+
+
 def test_tfidf_against_brute_force_in_both_forms(spark):
     texts = ["Good app, good price", "bad app", "good price is good", "a b", "سلام خوب است خوب", "bad bad price app"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
