@@ -40,6 +40,19 @@ def test_counts_equal_brute_force(spark, window):
     assert got == brute_pairs([t or [] for t in rows], window)
 
 
+@pytest.mark.parametrize("hot,held", [(0, 40), (2, 1), (5, 10_000), (1000, 100)])
+def test_counts_and_totals_do_not_depend_on_what_tasks_hold(spark, hot, held):
+    rows = [*texts(3)[:60], [], ["one"], ["a", "a", "a"], None, ["x", None, "y"], [None, None], ["é", "the", "é", "日本"]]
+    df = spark.createDataFrame([(t,) for t in rows], "tokens array<string>").repartition(3)
+    want = brute_pairs([t or [] for t in rows], 4)
+    assert {(r["word"], r["other"]): r["n"] for r in co.cooccurrences(df, window=4, hot=hot, held=held).collect()} == want
+    sums = {}
+    for (a, _), n in want.items():
+        sums[a] = (sums.get(a, (0, 0))[0] + n, sums.get(a, (0, 0))[1] + 1)
+    got = co.cooccurrences(df, window=4, totals=True, hot=hot, held=held).collect()
+    assert {r["word"]: (r["total"], r["others"]) for r in got} == sums and len(got) == len(sums)
+
+
 def test_information_equals_its_formula(tokens):
     counts = brute_pairs(texts(), 2)
     sums, total = Counter(), sum(counts.values())
