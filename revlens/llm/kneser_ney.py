@@ -324,11 +324,11 @@ def bands(rows: DataFrame, x: str) -> DataFrame:
     return staged(spread.select("l", "m", F.greatest(1.4826 * F.col("d"), F.lit(0.005)).alias("d")), "bands")
 
 
-def outside(scored: DataFrame, words: WordModel, key: str, names: list[str], mean: str, group: str, chars: str, failed) -> DataFrame:
-    """(id) of the rows outside their language's band of characters or below its limit of words."""
-    means = words.means(scored, key, names)
-    rows = scored.select(col(key).alias("i"), col(group).alias("g"), col(chars).alias("size"), failed.alias("bad"), col(mean).alias("mean"))
-    rows = staged(means.join(rows, F.col("id") == F.col("i")).drop("i"), "means")
+def outside(scored: DataFrame, means: DataFrame, row: str, text: str, mean: str, group: str, chars: str, failed) -> DataFrame:
+    """(id) of the rows outside their language's band of characters or below its limit of words; ``means`` has texts by key."""
+    rows = scored.select(col(row).alias("id"), col(text).alias("i"), col(group).alias("g"), col(chars).alias("size"), failed.alias("bad"),
+                         col(mean).alias("mean"))
+    rows = staged(rows.join(means.withColumnRenamed("id", "t"), F.col("i") == F.col("t")).drop("i", "t"), "means")
     unit = F.col("d") * F.sqrt(1 + SHORT_CHARS / F.greatest("size", F.lit(1)))
     out = []
     for x, wrong in (("mean", (F.col("mean") < F.col("m") - HIGH * unit) | (F.col("mean") > F.col("m") + LOW * unit)),
@@ -340,21 +340,24 @@ def outside(scored: DataFrame, words: WordModel, key: str, names: list[str], mea
 def judge(docs: DataFrame, names: list[str], keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep`` columns and BASE, the mean log probability, base_failed and kept under ``names``.
 
-    Fits the model and the bands on ``docs``; texts are scored once.
+    Fits the model and the bands on ``docs``. Equal texts have one mean log probability per word, so it is joined by the
+    texts' hash.
     """
     own = docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"))
     model, words = LanguageModel.fit(own), WordModel.fit(own)
-    chars, group, row, *counts = fresh(
+    chars, group, row, same = fresh(
         docs.select(*[col(c) for c in docs.columns], *[F.lit(0).alias(n) for n in names if n not in docs.columns]),
-        "_chars", "_group", "_row", "_words", "_likely", "_rest")
-    scored = words.append(score_rules(docs, model, names[:-2], text, lang), text, counts).select(
-        *[col(c) for c in keep], *[col(n) for n in [*names[:-2], *counts]], F.length(col(text)).alias(chars),
-        F.monotonically_increasing_id().alias(row),
+        "_chars", "_group", "_row", "_same")
+    scored = score_rules(docs, model, names[:-2], text, lang).select(
+        *[col(c) for c in keep], *[col(n) for n in names[:-2]], F.length(col(text)).alias(chars),
+        F.monotonically_increasing_id().alias(row), F.xxhash64(col(text)).alias(same),
         docs_language(lang).alias(group))
     scored = staged(scored, "rule-scores")
     failed = base_failed(names[0], names[4])
-    beyond = outside(scored, words, row, counts, names[5], group, chars, failed)
-    scored = scored.drop(*counts).join(beyond, col(row) == F.col("id"), "left")  # few rows, staged, so Spark knows their size
+    likely = words.append(own.select(F.xxhash64("text").alias("id"), "text"), "text", ["words", "held", "rest"])
+    means = words.means(likely, "id", ["words", "held", "rest"])
+    beyond = outside(scored, means, row, same, names[5], group, chars, failed)
+    scored = scored.drop(same).join(beyond, col(row) == F.col("id"), "left")  # few rows, staged, so Spark knows their size
     return scored.select(*[col(c) for c in [*keep, *names[:-2]]], failed.alias(names[-2]),
                          (~failed & beyond["id"].isNull()).alias(names[-1]))
 
