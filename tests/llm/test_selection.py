@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.llm import kneser_ney
+from revlens.llm import kneser_ney, word_grams
 from revlens.llm.additive_model import AdditiveModel, features, fit_quality, op9_additive_model, score_quality
 from revlens.llm.kneser_ney import CODES, OTHERS, LanguageModel, Scorer, fit, gram_codes, op8_kneser_ney, passing
 from revlens.llm.mixing import OP7_SQL, mix, mixed_rows, op7_fair_mix
@@ -386,3 +386,78 @@ def test_learned_words_of_a_family_keep_their_automata(spark, tmp_path):
     assert "grumbol" in model.stems and any(t.startswith("grumbol") for t in model.terms)
     twisted, clean = "you grunbola and gumbolb you grumbbolc the grumblu", "you garden and window you letter the music"
     assert score([twisted])[0][0] > score([clean])[0][0] + 0.1
+
+
+def brute_means(texts):
+    """Mean log probability per word of each text, from dictionaries of words as they stand."""
+    lines = [["<s>", *t.split()] for t in texts]
+    pairs, docs, before = Counter(), Counter(), {}
+    for line in lines:
+        own = list(zip(line, line[1:]))
+        pairs.update(own)
+        docs.update(set(own))
+        docs.update(set(line[1:]))
+    for v, w in pairs:
+        before.setdefault(w, []).append(docs[v, w] == 1)
+    count = {k: n * (docs[k] - 1) / docs[k] for k, n in pairs.items()}
+    a = {w: len(x) - sum(x) / docs[w] for w, x in before.items()}
+
+    def off(table):
+        near = Counter(round(x) for x in table.values())
+        n, d = [near[k] for k in range(1, 5)], [0.5, 0.75, 0.75]
+        if min(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
+        return {k: min(x, d[min(max(round(x), 1), 3) - 1]) for k, x in table.items()}
+
+    less, total = off(a), sum(a.values())
+    low = {w: (a[w] - less[w]) / (total or 1) + (sum(less.values()) / total if total else 1) / len(a) for w in a}
+    less, sums, left = off(count), Counter(), Counter()
+    for (v, w), c in count.items():
+        sums[v] += c
+        left[v] += less[v, w]
+
+    def p(v, w):
+        return (count[v, w] - less[v, w] + left[v] * low[w]) / sums[v] if sums[v] else low[w]
+
+    return [np.mean([np.log(p(v, w)) for v, w in zip(x, x[1:])]) if len(x) > 1 else None for x in lines]
+
+
+@pytest.mark.parametrize("numbered, few_words, hot", [(1 << 18, 500_000, 1 << 21), (10, 700, 0), (30, 700, 25), (0, 500_000, 0)])
+def test_word_means_equal_dictionaries(spark, monkeypatch, numbered, few_words, hot):
+    r = random.Random(12)
+    rare = ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(400)]
+    texts = [" ".join(r.choice(rare) if r.random() < 0.15 else w for w in re.findall("[a-z]+", prose(i, 60))) for i in range(60)]
+    texts += [texts[3], texts[3], "", texts[5] + " " + texts[5]]
+    monkeypatch.setattr(word_grams, "NUMBERED", numbered)
+    monkeypatch.setattr(word_grams, "FEW_WORDS", few_words)
+    docs = plain(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    model = WordModel.fit(docs, hot=hot)
+    assert model.known.numbers.parts == (1 if few_words == 500_000 else min(12, -(-sum(len(t.split()) for t in texts) // 700)))
+    names = ["w", "h", "r"]
+    got = {x["id"]: x["x"] for x in model.means(model.append(docs, "text", names), "doc_id", names).collect()}
+    assert got == {i: x if x is None else pytest.approx(x, rel=1e-6) for i, x in enumerate(brute_means(texts))}
+
+
+def test_words_exchange_with_numbers_one_to_one():
+    r = np.random.default_rng(1)
+    words = np.unique(np.append(r.integers(2, 2**32, 5000), np.arange(5, 300))).astype(np.uint64)
+    r.shuffle(words)
+    numbers = word_grams.Numbers(words, np.ones(len(words), np.int64), 7)
+    some = np.unique(np.concatenate([words, r.integers(0, 2**32, 5000).astype(np.uint64), np.arange(9000, dtype=np.uint64)]))
+    there = numbers.of(some)
+    assert (numbers.of(there, True) == some).all() and len(np.unique(there)) == len(some)
+    assert (numbers.of(words) == np.arange(len(words)) + 2).all() and numbers.of(np.arange(2, dtype=np.uint64)).tolist() == [0, 1]
+
+
+def test_tables_leave_out_what_one_document_alone_has(spark, tmp_path):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    data = [(i, " ".join(r.choices(words, k=300)), "en", "a") for i in range(300)]
+    path = folder(spark, tmp_path, data)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    assert op8_kneser_ney(spark, path).count() == 300
+    new = [d for d in set(os.listdir(shared)) - before if d.startswith(("word-", "rule-scores"))]
+    size = sum(os.path.getsize(f"{at}/{f}") for d in new for at, _, files in os.walk(f"{shared}/{d}") for f in files)
+    assert new and size < 0.5 * sum(len(t) for _, t, *_ in data)
