@@ -39,7 +39,8 @@ HOT = 1 << 21
 NONE, START, FIRST_WORD = 0, 1, 2  # before a word that counts alone, before a text's first word, least hash of a word
 #: Scripts without spaces between words, as the names of their characters begin.
 UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ")
-HELD = 3_000_000  # keys that a task sums before it passes them on
+HELD = 2_000_000  # keys that a task sums before it passes them on
+ASKED_AT_ONCE = 1_000_000  # keys of the texts that a task asks about at once
 NUMBERED = 1 << 18  # words with a number
 PART_WORDS = 8_000_000  # words of the texts for each part
 FEW_WORDS = 500_000  # the same for the first FEW_PARTS parts
@@ -157,10 +158,10 @@ class Numbers:
         self.end = FIRST_WORD + len(words)
 
     def __getstate__(self):
-        return self.words, self.counts, self.parts
+        return packed(self.words), packed(self.counts), self.parts
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.__init__(unpacked(state[0], np.uint64), unpacked(state[1], np.int64), state[2])
 
     @lru_cache  # noqa: B019
     def table(self, back: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -469,6 +470,19 @@ class Part:
         return out
 
 
+class Held:
+    """The most frequent bigrams; packed on their way to tasks, as every executor writes them to its disk."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    def __getstate__(self):
+        return packed_run(self.keys), packed(self.logs)
+
+    def __setstate__(self, state):
+        self.__init__(unpacked_run(state[0]), unpacked(state[1], np.float64))
+
+
 class WordModel:
     """``tables``: runs of all parts; ``keys`` and ``logs``: the most frequent bigrams, sorted by key."""
 
@@ -530,10 +544,11 @@ class WordModel:
 
     def append(self, docs: DataFrame, text: str, names: list[str]) -> DataFrame:
         """Append the words, the log probability of the bigrams that tasks hold, and the keys of all others."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.known.numbers, self.keys, self.logs))
+        shared = docs.sparkSession.sparkContext.broadcast((self.known.numbers, Held(self.keys, self.logs)))
 
         def make():
-            numbers, known, logs = shared.value
+            numbers, often = shared.value
+            known, logs = often.keys, often.logs
 
             def work(texts):
                 keys, at = bigrams([t or "" for t in texts])
@@ -579,7 +594,7 @@ class WordModel:
 
             for batch in batches:
                 texts.append(batch)
-                if sum(len(b.column(3).flatten()) + len(b) for b in texts) > HELD:
+                if sum(len(b.column(3).flatten()) + len(b) for b in texts) > ASKED_AT_ONCE:
                     yield from flush()
             if texts:
                 yield from flush()
