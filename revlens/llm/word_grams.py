@@ -39,8 +39,8 @@ HOT = 1 << 21
 NONE, START, FIRST_WORD = 0, 1, 2  # before a word that counts alone, before a text's first word, least hash of a word
 #: Scripts without spaces between words, as the names of their characters begin.
 UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ")
-HELD = 2_000_000  # keys that a task sums before it passes them on
-ASKED_AT_ONCE = 1_000_000  # keys of the texts that a task asks about at once
+HELD = 1_000_000  # keys that a task sums before it passes them on
+ASKED_AT_ONCE = 500_000  # keys of the texts that a task asks about at once
 NUMBERED = 1 << 18  # words with a number
 PART_WORDS = 8_000_000  # words of the texts for each part
 FEW_WORDS = 500_000  # the same for the first FEW_PARTS parts
@@ -151,7 +151,7 @@ class Numbers:
     ``words`` get the numbers from FIRST_WORD on; the hashes that are such numbers get what is left.
     """
 
-    BUCKET = np.uint64(10)
+    BUCKET = np.uint64(13)
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, parts: int):
         self.words, self.counts, self.parts = words.astype(np.uint64), counts, parts
@@ -175,7 +175,7 @@ class Numbers:
         few, small = np.searchsorted(source, self.end), np.arange(self.end, dtype=np.uint64)
         small[source[:few]] = target[:few]
         source, target = source[few:], target[few:]
-        first = np.searchsorted(source, np.arange((1 << 22) + 1, dtype=np.uint64) << self.BUCKET).astype(np.int32)
+        first = np.searchsorted(source, np.arange((1 << 19) + 1, dtype=np.uint64) << self.BUCKET).astype(np.int32)
         return small, source, target, first, int(np.diff(first).max())
 
     def of(self, words: np.ndarray, back: bool = False) -> np.ndarray:
