@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from revlens import session
 from revlens.operators import cooccurrence as co
 from revlens.operators import models as md
 
@@ -85,3 +87,48 @@ def test_rare_and_lonely_words(spark):
     got = {r["word"]: r["vector"] for r in co.factor_vectors(df, size=3).collect()}
     assert got.keys() == {"a", "b", "lonely"} and got["lonely"] == [0.0] * 3
     assert co.factor_vectors(spark.createDataFrame([], "tokens array<string>"), size=2).count() == 0
+
+
+def test_packed_counts_are_the_pairs_of_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(co, "ENTRIES", 7)
+    monkeypatch.setattr(co, "PAIRS_A_PART", 50)
+    monkeypatch.setattr(co, "HELD", 30)
+    rows = [*texts(5)[:40], [], None, ["a", "a", None, "the"], [None], ["é"] * 3]
+    kept = sorted({w for t in rows for w in t or [] if w} - {"a"})
+    df = spark.createDataFrame([(t,) for t in rows], "tokens array<string>").repartition(3)
+    word_hash = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in kept], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    numbers = co.Numbers(np.sort(np.array(list(word_hash.values()))))
+    hashed = lambda c: F.transform(c, lambda w: F.when(w.isNotNull(), F.xxhash64(w))).alias("t")
+    packs = co.packed_counts(df, "tokens", 3, numbers, hashed, 400)
+    got = Counter()
+    for r in packs.collect():
+        first, second, n = co.entries(r.asDict(), numbers.width)
+        assert r["i"] >= r["j"] and 0 < len(first) <= 7
+        for a, b, k in zip(first, second, n):
+            got[r["i"] * numbers.width + int(a), r["j"] * numbers.width + int(b)] += int(k)
+    names = {int(np.searchsorted(numbers.hashes, h)): w for w, h in word_hash.items()}
+    want = {k: n for k, n in brute_pairs([t or [] for t in rows], 3).items() if "a" not in k}
+    assert {(names[a], names[b]): n for (a, b), n in got.items()} | {(names[b], names[a]): n for (a, b), n in got.items()} == want
+    sums = co.sums_of(packs, numbers)
+    assert {w: sums[i] for i, w in names.items()} == {w: sum(n for (a, _), n in want.items() if a == w) for w in names.values()}
+
+
+@pytest.mark.parametrize("cells,piece", [(24, 2), (10_000_000, 3)])
+def test_vectors_do_not_depend_on_what_a_task_holds(spark, tokens, monkeypatch, cells, piece):
+    want = {r["word"]: np.array(r["vector"]) for r in co.factor_vectors(tokens, size=4).collect()}
+    for name, value in (("CELLS", cells), ("COLUMNS", 1), ("PIECE", piece), ("ADDED", 5), ("BLOCKS", (4, 4)), ("HELD", 100), ("STEP", 3)):
+        monkeypatch.setattr(co, name, value)
+    got = {r["word"]: np.array(r["vector"]) for r in co.factor_vectors(tokens, size=4).collect()}
+    words = sorted(want)
+    a, b = (np.array([x[w] for w in words]) for x in (want, got))
+    assert got.keys() == want.keys() and np.allclose(a @ a.T, b @ b.T, atol=1e-4)
+
+
+def test_disk_of_vectors_stays_near_the_vocabulary(spark, tmp_path, monkeypatch):
+    """Staged tables that the next step does not need are removed, and shuffles go with the step."""
+    r = random.Random(6)
+    rows = spark.createDataFrame([([f"w{min(int(r.paretovariate(0.3)), 3000)}" for _ in range(40)],) for _ in range(400)], "tokens array<string>").repartition(4)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    words = co.factor_vectors(rows, size=20).count()
+    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert words > 100 and sorted(left) == ["block", "vocabulary"]
