@@ -132,3 +132,16 @@ def test_disk_of_vectors_stays_near_the_vocabulary(spark, tmp_path, monkeypatch)
     words = co.factor_vectors(rows, size=20).count()
     left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
     assert words > 100 and sorted(left) == ["block", "vocabulary"]
+
+
+def test_trained_lexicons_stage_the_vectors_alone(spark, tmp_path, monkeypatch):
+    from revlens.plans import q_models as q
+
+    seeds = ["the", "of", "this", "was"]
+    rows = [(i, " ".join([*seeds, *texts()[i]]), "en", "s") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "in/documents.parquet"))
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "out"))
+    got = {r["label"]: r["seeds"].split() for r in __import__("__spark_entry__").queries()["expand_lexicon_trained"](spark, str(tmp_path / "in")).collect()}
+    assert {"the", "this"} <= set(got["first"]) and {"of", "was"} <= set(got["second"])
+    assert sorted(p.name.rsplit("-", 2)[0] for p in (tmp_path / "out").iterdir()) == ["block", "vocabulary", "word-vectors"]
+    q._VECTORS.clear()
