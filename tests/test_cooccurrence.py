@@ -92,7 +92,7 @@ def test_rare_and_lonely_words(spark):
 def test_packed_counts_are_the_pairs_of_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(co, "ENTRIES", 7)
     monkeypatch.setattr(co, "PAIRS_A_PART", 50)
-    monkeypatch.setattr(co, "HELD", 30)
+    monkeypatch.setattr(co, "COUNTED", 30)
     rows = [*texts(5)[:40], [], None, ["a", "a", None, "the"], [None], ["é"] * 3]
     kept = sorted({w for t in rows for w in t or [] if w} - {"a"})
     df = spark.createDataFrame([(t,) for t in rows], "tokens array<string>").repartition(3)
@@ -116,7 +116,7 @@ def test_packed_counts_are_the_pairs_of_frequent_words(spark, monkeypatch):
 @pytest.mark.parametrize("cells,piece", [(24, 2), (10_000_000, 3)])
 def test_vectors_do_not_depend_on_what_a_task_holds(spark, tokens, monkeypatch, cells, piece):
     want = {r["word"]: np.array(r["vector"]) for r in co.factor_vectors(tokens, size=4).collect()}
-    for name, value in (("CELLS", cells), ("COLUMNS", 1), ("PIECE", piece), ("ADDED", 5), ("BLOCKS", (4, 4)), ("HELD", 100), ("STEP", 3)):
+    for name, value in (("CELLS", cells), ("COLUMNS", 1), ("PIECE", piece), ("ADDED", 5), ("BLOCKS", (4, 4)), ("COUNTED", 100), ("STEP", 3)):
         monkeypatch.setattr(co, name, value)
     got = {r["word"]: np.array(r["vector"]) for r in co.factor_vectors(tokens, size=4).collect()}
     words = sorted(want)
